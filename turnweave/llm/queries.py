@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnweave.llm import forms, turns
+from turnweave.llm import cutoff, forms, packing, pieces, turns
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,24 @@ def _words(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
     return table(spark, d, "word_transcripts"), table(spark, d, "speaker_roles"), table(spark, d, "dialogues")
 
 
+def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """Every transcript in ordered pieces of at most 50 s and 600 characters, with their text."""
+    return pieces.split_transcripts(*_words(spark, d))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return pieces.oversized(pieces.split_transcripts(*_words(spark, d), with_text=False))
+
+
+def p3_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Every dialogue, or part of one longer than 1,024 frames, with its container."""
+    return packing.pack_dialogues(table(spark, d, "dialogue_tokens"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return packing.split_dialogues(packing.pack_dialogues(table(spark, d, "dialogue_tokens")))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     fillers = turns.filler_forms(table(spark, d, "fillers"))
     out = turns.speaker_turns(*_words(spark, d), fillers, with_text=False)
@@ -39,9 +57,39 @@ def p5_forms(spark: SparkSession, d: str) -> DataFrame:
     return forms.with_form(table(spark, d, "word_transcripts"), table(spark, d, "dialogues")).select("row_id", "word", "form")
 
 
+def p6_cutoffs(spark: SparkSession, d: str) -> DataFrame:
+    """Per source: the cutoff that keeps 80 %, records counted and records kept."""
+    return cutoff.cutoffs(cutoff.counted(table(spark, d, "cer_all")))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    records = cutoff.counted(table(spark, d, "cer_all"))
+    return cutoff.kept(records, cutoff.cutoffs(records)).select("stem")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p4_found, p4_turns, p5_found, p5_forms)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_containers, p4_found, p4_turns, p5_found, p5_forms, p6_found, p6_cutoffs)}
+
+
+_LENGTHS = """WITH l AS (
+  SELECT dialogue_id, arg_max(greatest(coalesce(list_max(list_transform("A", lambda x: coalesce(len(x), 0))), 0), coalesce(list_max(list_transform("B", lambda x: coalesce(len(x), 0))), 0)),
+    {'t': exported_at, 'r': row_id}) AS frames FROM dialogue_tokens GROUP BY dialogue_id)
+"""
+_COUNTED = r"""WITH named AS (
+  SELECT lower(regexp_replace(regexp_extract(trim(stem), '([^/\\]*)$', 1), '\.[A-Za-z][A-Za-z0-9]{0,5}$', '')) AS stem, cer, scored_at, rec_id FROM cer_all WHERE stem IS NOT NULL
+), latest AS (
+  SELECT stem, cer FROM named QUALIFY row_number() OVER (PARTITION BY stem ORDER BY scored_at DESC NULLS LAST, rec_id DESC) = 1
+), counted AS (
+  SELECT stem, cer, array_to_string(string_split(stem, '_')[1:2], '_') AS source FROM latest WHERE cer IS NOT NULL AND NOT isnan(cer) AND NOT isinf(cer) AND cer >= 0
+), ranked AS (
+  SELECT *, count(*) OVER (PARTITION BY source) AS n, count(*) OVER (PARTITION BY source ORDER BY cer RANGE UNBOUNDED PRECEDING) AS rank FROM counted
+), cut AS (SELECT source, min(cer) AS cutoff, any_value(n) AS n_records, min(rank) AS n_kept FROM ranked WHERE rank * 100 >= n * 80 GROUP BY source)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p3_found": _LENGTHS + "SELECT dialogue_id FROM l WHERE frames > 1024",
+        "p6_found": _COUNTED + "SELECT stem FROM counted JOIN cut USING (source) WHERE cer <= cutoff",
+        "p6_cutoffs": _COUNTED + "SELECT source, cutoff, n_records, n_kept FROM cut",
+    }
