@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnweave.llm import cutoff, forms, packing, pieces, turns
+from turnweave.llm import bpe, cutoff, forms, leaks, packing, pieces, spans, turns
+from turnweave.operators import intervals
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,8 +68,38 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return cutoff.kept(records, cutoff.cutoffs(records)).select("stem")
 
 
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.encode_documents(table(spark, d, "documents"))
+
+
+def _passages(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaked_passages(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaked_items(_passages(spark, d))
+
+
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    """Each leaked item with the number of documents that hold a passage of it."""
+    return leaks.leaked_items(_passages(spark, d)).groupBy("item_id").agg(F.count("*").alias("n_documents"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return spans.sharing_pairs(table(spark, d, "documents"))
+
+
+def p9_shared(spark: SparkSession, d: str) -> DataFrame:
+    """Each document's shared spans, merged, and how much of the document they are."""
+    documents = table(spark, d, "documents").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.length("text").alias("n_chars"))
+    states = intervals.interval_states(spans.shared_parts(table(spark, d, "documents")), F.col("doc_id"), F.lit(""), F.col("start"), F.col("end"))
+    merged = intervals.periods(states).select(F.col("entity").cast("bigint").alias("doc_id"), F.col("period_start").alias("s"), F.col("period_end").alias("e"))
+    totals = merged.groupBy("doc_id").agg(F.count("*").alias("n_spans"), F.sum(F.col("e") - F.col("s")).alias("shared_chars"), F.max(F.col("e") - F.col("s")).alias("longest"))
+    return totals.join(documents, "doc_id").withColumn("share", F.col("shared_chars") / F.col("n_chars"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_containers, p4_found, p4_turns, p5_found, p5_forms, p6_found, p6_cutoffs)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_containers, p4_found, p4_turns, p5_found, p5_forms, p6_found, p6_cutoffs, p7_ids, p8_found, p8_items, p9_found, p9_shared)}
 
 
 _LENGTHS = """WITH l AS (
