@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from turnweave.llm.forms import Forms
 from turnweave.llm.words import BLOCK_MS, KEYS, ORDER, blocked, delivered_once
-from turnweave.session import map_groups
+from turnweave.session import checkpointed, map_groups
 
 # Pairs of brackets that set an annotation off, and marks that do so on both sides.
 BRACKETS = {"[": "]", "(": ")", "<": ">", "{": "}", "【": "】", "〔": "〕", "〈": "〉", "《": "》"}
@@ -155,7 +155,8 @@ def speaker_turns(
     a dialogue without speech gives no turn. Ties in start go by row id. Extra columns are not read.
     """
     rows = blocked(words, roles, dialogues, block_ms)
-    parts = map_groups(rows, KEYS, ORDER, _partial_turns(fillers, pause_ms, with_text), _PART_DDL, _PART)
+    # Read three times below; one row per turn, so writing it is far cheaper than a second sweep.
+    parts = checkpointed(map_groups(rows, KEYS, ORDER, _partial_turns(fillers, pause_ms, with_text), _PART_DDL, _PART))
     level = _stitch(parts, span, pause_ms)
     inner = parts.where("edge = 0").select(*_OUT)
     return inner.unionByName(level.where("edge = 0").select(*_OUT)).unionByName(_stitch(level, None, pause_ms).select(*_OUT))
