@@ -18,7 +18,7 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
         behind = np.zeros(n, dtype=np.int64)
         behind[: max(0, n - width)] = rank[width:]
         key = rank * (n + 2) + behind
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ordered = key[order]
         fresh = np.concatenate(([True], ordered[1:] != ordered[:-1]))
         rank = np.empty(n, dtype=np.int64)
@@ -75,8 +75,11 @@ class FMIndex:
         self.bwt = WaveletMatrix(whole[self.order - 1], sigma)
         self.before = np.concatenate(([0], np.cumsum(np.bincount(whole, minlength=sigma))))[:-1]
 
-    def search(self, symbols: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Suffix intervals [low, high) of the patterns ``symbols[end - length : end]``, by backward search."""
+    def search(self, symbols: np.ndarray, ends: np.ndarray, length: int, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
+        """Suffix intervals [low, high) of the patterns ``symbols[end - length : end]``, by backward search.
+
+        A pattern with fewer than ``least`` places is given up on the way, its interval then has under ``least``.
+        """
         low = np.zeros(len(ends), dtype=np.int64)
         high = np.full(len(ends), len(self.order), dtype=np.int64)
         alive = np.arange(len(ends))
@@ -85,7 +88,7 @@ class FMIndex:
             both = self.bwt.rank(np.concatenate((c, c)), np.concatenate((low[alive], high[alive])))
             low[alive] = self.before[c] + both[: len(c)]
             high[alive] = self.before[c] + both[len(c) :]
-            alive = alive[high[alive] > low[alive]]
+            alive = alive[high[alive] - low[alive] >= least]
             if not len(alive):
                 break
         return low, high

@@ -6,7 +6,7 @@ characters holds an anchor that depends on the span alone, so two documents that
 anchor. Around each anchor found in two documents or more, the text that a shortest shared span can
 reach (its context) goes to the anchor's shard. There an FM-index is built over the contexts, and the
 same contexts are streamed through it: backward search over a wavelet matrix finds where the
-characters before every 24th place stand elsewhere, and comparing outwards gives the matching
+characters before every 60th place stand elsewhere, and comparing outwards gives the matching
 statistic at that place, the maximal common interval. Intervals of ``least`` or more are reported.
 
 An anchor of many contexts (boilerplate) is cut into blocks, and each pair of blocks is a group of its
@@ -26,7 +26,8 @@ from turnweave.llm.fm import FMIndex
 from turnweave.llm.leaks import gram_hashes
 from turnweave.session import checkpointed, key_groups
 
-LEAST, GRAM, STEP = 120, 24, 24
+LEAST, GRAM, STEP = 120, 60, 60
+#: An anchor of 60 characters is rarely shared by chance, where 24 leave 40 % of all anchors as candidates.
 #: Contexts in a block of an anchor, and characters of contexts in one index.
 BLOCK, SHARD_CHARS = 1_500, 400_000
 
@@ -146,7 +147,7 @@ def shared_intervals(groups: list[tuple[str, list[tuple[int, int]]]], least: int
     if not len(who):
         return
     ends = np.concatenate(places) + begins[who]
-    low, high = index.search(code, ends, probe)
+    low, high = index.search(code, ends, probe, 2)
     found = np.maximum(high - low, 0)
     several = found > 1
     who, ends, low, found = who[several], ends[several], low[several], found[several]

@@ -107,12 +107,18 @@ def _stitch(parts: DataFrame, span: int | None, pause_ms: int | None) -> DataFra
     edges = parts.where("edge > 0")
     where = [F.col("dialogue_id"), *([F.floor(F.col("block") / span)] if span else [])]
     w = Window.partitionBy(*where).orderBy("block", "at")
-    breaks = ~F.col("channel").eqNullSafe(F.lag("channel").over(w))
-    if pause_ms is not None:
-        breaks = breaks | (F.col("first_ms") - F.lag("reach_ms").over(w) > pause_ms)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
     # An inner part lies between a block's two edges, so its first and last edge never belong to one turn.
+    breaks = ~F.col("channel").eqNullSafe(F.lag("channel").over(w))
     breaks = breaks | ((F.col("edge") == 2) & (F.lag("edge").over(w) == 1) & (F.lag("block").over(w) == F.col("block")))
-    runs = edges.withColumn("run", F.sum(F.when(breaks, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    edges = edges.withColumn("breaks", breaks)
+    if pause_ms is not None:
+        # What a channel's earlier words reach can only matter up to the next pause, so the run's maximum serves.
+        edges = edges.withColumn("same", F.sum(F.when(F.col("breaks"), 1).otherwise(0)).over(upto))
+        before = Window.partitionBy(*where, "same").orderBy("block", "at").rowsBetween(Window.unboundedPreceding, -1)
+        paused = F.coalesce(F.col("first_ms") - F.max("reach_ms").over(before) > pause_ms, F.lit(False))
+        edges = edges.withColumn("breaks", F.col("breaks") | paused)
+    runs = edges.withColumn("run", F.sum(F.when(F.col("breaks"), 1).otherwise(0)).over(upto))
     key = F.floor(F.col("block") / span) if span else F.lit(0)
     joined = (
         runs.withColumn("node", key)
