@@ -95,8 +95,10 @@ def _partial_turns(fillers: dict[str, list[str]], pause_ms: int | None, with_tex
                     turn[7].append(form)
             else:
                 turns.append([channel, row_id, row_id, start, start, end, 1, [form] if with_text else []])
+        leading = True  # parts of one channel at the front: a word of an earlier block may bridge their pauses
         for k, (channel, first, last, first_ms, last_ms, reach, n, text) in enumerate(turns):
-            edge = (k == 0) + 2 * (k == len(turns) - 1)
+            leading = leading and channel == turns[0][0]
+            edge = leading + 2 * (k == len(turns) - 1)
             yield dialogue, block, channel, first, last, first_ms, last_ms, reach, n, " ".join(text) if with_text else None, edge, k
 
     return kernel
@@ -108,17 +110,18 @@ def _stitch(parts: DataFrame, span: int | None, pause_ms: int | None) -> DataFra
     where = [F.col("dialogue_id"), *([F.floor(F.col("block") / span)] if span else [])]
     w = Window.partitionBy(*where).orderBy("block", "at")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    # An inner part lies between a block's two edges, so its first and last edge never belong to one turn.
-    breaks = ~F.col("channel").eqNullSafe(F.lag("channel").over(w))
-    breaks = breaks | ((F.col("edge") == 2) & (F.lag("edge").over(w) == 1) & (F.lag("block").over(w) == F.col("block")))
-    edges = edges.withColumn("breaks", breaks)
+    # Between edges of one block that do not follow each other lie inner parts of another channel.
+    skips = F.coalesce((F.lag("block").over(w) == F.col("block")) & (F.lag("at").over(w) + 1 != F.col("at")), F.lit(False))
+    changes = ~F.col("channel").eqNullSafe(F.lag("channel").over(w))
+    edges = edges.withColumn("step", F.when(skips, 2).when(changes, 1).otherwise(0))
     if pause_ms is not None:
         # What a channel's earlier words reach can only matter up to the next pause, so the run's maximum serves.
-        edges = edges.withColumn("same", F.sum(F.when(F.col("breaks"), 1).otherwise(0)).over(upto))
+        edges = edges.withColumn("same", F.sum("step").over(upto))
         before = Window.partitionBy(*where, "same").orderBy("block", "at").rowsBetween(Window.unboundedPreceding, -1)
         paused = F.coalesce(F.col("first_ms") - F.max("reach_ms").over(before) > pause_ms, F.lit(False))
-        edges = edges.withColumn("breaks", F.col("breaks") | paused)
-    runs = edges.withColumn("run", F.sum(F.when(F.col("breaks"), 1).otherwise(0)).over(upto))
+        edges = edges.withColumn("step", F.when(paused, 1).otherwise(F.col("step")))
+    # Numbers of runs that follow each other differ by one, others by two.
+    runs = edges.withColumn("run", F.sum("step").over(upto))
     key = F.floor(F.col("block") / span) if span else F.lit(0)
     joined = (
         runs.withColumn("node", key)
@@ -136,9 +139,13 @@ def _stitch(parts: DataFrame, span: int | None, pause_ms: int | None) -> DataFra
     )
     if not span:
         return joined.withColumn("edge", F.lit(0)).drop("node", "run")
-    v = Window.partitionBy("dialogue_id", "node")
-    at_edge = F.when(F.col("run") == F.min("run").over(v), 1).otherwise(0) + F.when(F.col("run") == F.max("run").over(v), 2).otherwise(0)
-    return joined.withColumn("edge", at_edge).select("dialogue_id", F.col("node").alias("block"), *[c for c in joined.columns if c not in ("dialogue_id", "node", "run")], "edge", F.col("run").alias("at"))
+    o = Window.partitionBy("dialogue_id", "node").orderBy("run")
+    apart = ~F.col("channel").eqNullSafe(F.lag("channel").over(o)) | (F.lag("run").over(o) + 1 != F.col("run"))
+    joined = joined.withColumn("apart", F.when(apart, 1).otherwise(0))
+    joined = joined.withColumns({"changes": F.sum("apart").over(o.rowsBetween(Window.unboundedPreceding, 0)), "last": F.lead("run").over(o).isNull()})
+    at_edge = F.when(F.col("changes") == 1, 1).otherwise(0) + F.when(F.col("last"), 2).otherwise(0)
+    joined = joined.withColumn("edge", at_edge).drop("changes", "last", "apart")
+    return joined.select("dialogue_id", F.col("node").alias("block"), *[c for c in joined.columns if c not in ("dialogue_id", "node", "run")], F.col("run").alias("at"))
 
 
 _OUT = ["dialogue_id", "channel", "first_row_id", "last_row_id", "first_ms", "last_ms", "reach_ms", "n_words", "text"]
