@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnweave.plans import transcripts
+from turnweave.plans import token_streams, transcripts
 
-_MODULES = (transcripts,)
+_MODULES = (transcripts, token_streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
