@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnweave.plans import token_streams, transcripts
+from turnweave.plans import corpus, scoring, token_streams, transcripts
 
-_MODULES = (transcripts, token_streams)
+_MODULES = (transcripts, token_streams, corpus, scoring)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
