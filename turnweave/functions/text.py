@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -84,10 +87,6 @@ def chat_sentence(text: Column) -> Column:
 
 def normalize_ja(text: Column, lower: bool = True) -> Column:
     """NFKC, ordinary width, lower case on request, all white space deleted (NFKC needs Python: Arrow-batched)."""
-    import unicodedata
-
-    import pyarrow as pa
-
     @F.arrow_udf("string")
     def nfkc(texts: pa.Array) -> pa.Array:
         return pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], type=pa.string())
