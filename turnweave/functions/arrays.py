@@ -96,10 +96,12 @@ def labels(matrix: Column, cfg: TokenConfig = CFG) -> Column:
 def mask_prompt(label: Column, prompt_len: Column, cfg: TokenConfig = CFG) -> Column:
     """Labels whose cells before the end of the prompt, shifted by each row's delay, are ignored."""
     by_row = ints(cfg.delays)
-    return F.transform(
-        label,
-        lambda row, i: F.transform(row, lambda x, t: F.when(t < F.get(by_row, i) + 1 + prompt_len, F.lit(cfg.zero)).otherwise(x)),
-    )
+
+    def masked(row: Column, i: Column) -> Column:
+        end = F.get(by_row, i) + 1 + prompt_len
+        return F.concat(repeat(cfg.zero, F.least(end, F.size(row))), F.slice(row, end + 1, F.size(row)))
+
+    return F.transform(label, masked)
 
 
 def demux(text: Column, main_first: bool = True, cfg: TokenConfig = CFG) -> Column:
@@ -123,6 +125,12 @@ def tile(codes: Column, length: Column) -> Column:
     return F.slice(F.flatten(F.array_repeat(codes, times)), 1, length)
 
 
+def prompt_length(role: Column, voice: Column | None, delimiter: int | None) -> Column:
+    """Frames that ``prompt_prefix`` will have, from sizes alone."""
+    tv = F.lit(0) if voice is None else F.coalesce(F.size(F.get(voice, F.lit(0))), F.lit(0))
+    return tv + F.size(role) + (0 if delimiter is None else 1)
+
+
 def prompt_prefix(role: Column, voice: Column | None, delimiter: int | None, rows: int = 17, cfg: TokenConfig = CFG) -> Column:
     """``[voice | role text | delimiter]`` as a matrix; every cell that no part sets is padding.
 

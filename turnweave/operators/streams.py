@@ -114,12 +114,14 @@ def number_rows(rows: DataFrame, order: list[Column], out: str) -> DataFrame:
 
 def prompted(sides: DataFrame, role: Column, voice: Column | None, delimiter: int | None, most: int | None, least: int, cfg: TokenConfig = CFG) -> DataFrame:
     """Prompt before the dialogue with A as main speaker, the tail cut at ``most``, delayed, labelled, prompt labels ignored."""
-    prefix = X.prompt_prefix(role, voice, delimiter, 1 + 2 * cfg.codebooks, cfg)
-    rows = sides.withColumn("_prefix", prefix).withColumn("prompt_len", X.length_of(F.col("_prefix")))
+    # The length test comes first and from sizes alone: on the built matrix it would be pushed down with all of it.
+    whole = X.prompt_length(role, voice, delimiter) + X.length_of(F.col("A"))
+    whole = whole if most is None else F.least(whole, F.lit(most))
+    rows = sides.where(whole + 1 + max(cfg.delays) >= least)
+    rows = rows.withColumns({"prompt_len": X.prompt_length(role, voice, delimiter), "_prefix": X.prompt_prefix(role, voice, delimiter, 1 + 2 * cfg.codebooks, cfg)})
     joined = X.join_time(F.col("_prefix"), X.main_view(F.col("A"), F.col("B")))
     joined = joined if most is None else X.cut_time(joined, 0, most)
     rows = rows.withColumn("streams", X.delay(joined, cfg)).drop("A", "B", "_prefix")
-    rows = rows.where(X.length_of(F.col("streams")) >= least)
     return rows.withColumns(
         {"labels": X.mask_prompt(X.labels(F.col("streams"), cfg), F.col("prompt_len"), cfg), "num_streams": F.size("streams"), "num_frames": X.length_of(F.col("streams"))}
     )

@@ -31,7 +31,7 @@ def word_transcripts(spark: SparkSession, root: str) -> DataFrame:
 
 def text_chats(spark: SparkSession, root: str) -> DataFrame:
     """Chats ``[[speaker, text], ...]``: dialogue, texts in order; labels are dropped. Broken files give null texts."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").option("recursiveFileLookup", True).text(root)
+    files = spark.read.text(root, wholetext=True, pathGlobFilter="*.json", recursiveFileLookup=True)
     turns = F.from_json("value", "array<array<string>>")
     return files.select(_relative(root).alias("dialogue_id"), F.transform(turns, lambda t: F.get(t, F.lit(1))).alias("texts"))
 
@@ -43,7 +43,7 @@ def json_rows(spark: SparkSession, paths: str | list[str], schema: str) -> DataF
 
 def manifest_lines(spark: SparkSession, path: str, wanted: list[int] | None = None) -> DataFrame:
     """Lines of a text file addressed by number from 0."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
     return lines if wanted is None else lines.where(F.col("line_no").isin(*wanted))
 
 
