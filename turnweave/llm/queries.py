@@ -124,5 +124,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p3_found": _LENGTHS + "SELECT dialogue_id FROM l WHERE frames > 1024",
         "p6_found": _COUNTED + "SELECT stem FROM counted JOIN cut USING (source) WHERE cer <= cutoff",
+        "p9_found": """WITH g AS (SELECT DISTINCT doc_id, unnest(list_transform(range(length(text) - 119), lambda i: text[i + 1:i + 120])) AS s FROM documents WHERE length(text) >= 120)
+            SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM g a JOIN g b USING (s) WHERE a.doc_id < b.doc_id""",
         "p6_cutoffs": _COUNTED + "SELECT source, cutoff, n_records, n_kept FROM cut",
     }

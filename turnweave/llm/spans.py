@@ -93,19 +93,38 @@ def contexts(documents: DataFrame, least: int = LEAST, gram: int = GRAM, block:
     found = anchors(documents, least, gram)
     shared = found.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo < hi")
     shared = shared.select("anchor", F.ceil(F.col("n") / block).alias("n_blocks"))
-    kept = checkpointed(found.join(shared, "anchor"))
+    kept = found.join(shared, "anchor")
     reach = least - gram
-    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(kept.select("doc_id").distinct(), "doc_id", "left_semi")
-    start = F.greatest(F.col("pos") - reach, F.lit(0))
     own = F.pmod(F.xxhash64("doc_id", "pos"), F.col("n_blocks"))
-    rows = kept.join(texts, "doc_id").select(
-        "anchor", "n_blocks", own.alias("own"), "doc_id", start.alias("start"),
-        F.substring("text", (start + 1).cast("int"), (F.col("pos") + gram + reach - start).cast("int")).alias("context"),
-    )
+    # A document's anchors travel as one list, so its text is cut in one pass over the text, however long it is.
+    listed = checkpointed(kept.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "n_blocks", own.alias("own"), "pos")).alias("at")))
+    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text IS NOT NULL")
+    rows = listed.join(texts, "doc_id").select("doc_id", "text", "at").mapInArrow(_cut(reach, gram), _CONTEXT_DDL)
     paired = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_blocks") - 1)))
     return paired.select("anchor", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), "own", "doc_id", "start", "context")
 
 
+_CONTEXT = pa.schema([("anchor", pa.int64()), ("n_blocks", pa.int64()), ("own", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("context", pa.string())])
+_CONTEXT_DDL = "anchor bigint, n_blocks bigint, own bigint, doc_id bigint, start bigint, context string"
+
+
+def _cut(reach: int, gram: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for doc_id, text, at in zip(*(c.to_pylist() for c in batch.columns)):
+                for x in at:
+                    start = max(0, x["pos"] - reach)
+                    out.append((x["anchor"], x["n_blocks"], x["own"], doc_id, start, text[start : x["pos"] + gram + reach]))
+                if len(out) > 20_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out), _CONTEXT)], schema=_CONTEXT)
+                    out = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out), _CONTEXT)], schema=_CONTEXT)
+
+    return run
+
+
 def _extent(codes: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """How far the codes before and from places x and y agree, inside their contexts (0 separates)."""
     out = []
