@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +56,19 @@ def stm06_jitter(spark, d):
     return jitter(e)
 
 
+def stm09_text_cursor(spark, d):
+    """Text ids placed by the bookkeeping of an autoregressive run: A's text row emits, B's content is consumed."""
+    from turnweave.streaming.live import text_cursor
+
+    @F.arrow_udf("array<int>")
+    def placed(emissions: pa.Array, texts: pa.Array) -> pa.Array:
+        return pa.array([text_cursor(e, t) for e, t in zip(emissions.to_pylist(), texts.to_pylist())], type=pa.list_(pa.int32()))
+
+    rows = sides(spark, d).withColumn("texts", F.filter(F.get("B", F.lit(0)), lambda x: ~x.isin(0, 3)))
+    out = rows.select("row_id", placed(F.get("A", F.lit(0)), F.col("texts")).alias("ids"))
+    return out.select("row_id", F.size("ids").alias("n"), X.digest(F.col("ids")).alias("digest"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if re.match(r"[a-z]{3}\d\d_", k)}
 
