@@ -53,6 +53,28 @@ def test_sources(spark, tmp_path):
     assert {(r.a, r._corrupt_record) for r in files.json_rows(spark, str(tmp_path / "r.jsonl"), "a int").cache().collect()} == {(1, None), (None, "broken")}
 
 
+def test_paired_sources(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "gold").mkdir()
+    (tmp_path / "gold/x_gold.json").write_text('{"audio": {}, "segments": [{"id": "1", "channelId": "ch_1", "startMs": 0, "endMs": 5}]}')
+    (tmp_path / "gold/x_pre.json").write_text("{}")
+    assert [(r.name, r.segments[0].endMs) for r in files.annotation_exports(spark, str(tmp_path / "gold"), "_gold.json").collect()] == [("x", 5.0)]
+    (tmp_path / "cuts").mkdir()
+    for k in (1, 2):
+        with gzip.open(tmp_path / f"cuts/cuts.{k}.jsonl.gz", "wt") as f:
+            f.write(json.dumps({"id": f"c{k}", "duration": 2.5}) + "\n")
+    with tarfile.open(tmp_path / "cuts/recording.1.tar", "w") as t:
+        for name in ("b.flac", "a.flac"):
+            t.addfile(tarfile.TarInfo(name), io.BytesIO(b""))
+    assert [(r.id, r.members) for r in files.cuts_with_archives(spark, str(tmp_path / "cuts")).collect()] == [("c1", ["a.flac", "b.flac"])]
+    for name in ("d1", "d2"):
+        (tmp_path / "cascade" / name).mkdir(parents=True)
+        (tmp_path / "cascade" / name / "turns.json").write_text('[{"speaker": "A", "text": "hi", "t_start": 0, "t_end": 1}]')
+    (tmp_path / "cascade/d1/audio.wav").write_bytes(_wav(2, 9))
+    assert [(r.dialogue_id, r.frames, len(r.turns)) for r in files.cascade_folders(spark, str(tmp_path / "cascade")).collect()] == [("d1", 9, 1)]
+
+
 def test_sinks(spark, tmp_path):
     rows = spark.range(10).withColumnRenamed("id", "doc_id")
     numbered = C.shards(rows, "doc_id", 4, "x")

@@ -111,10 +111,11 @@ def demux(text: Column, main_first: bool = True, cfg: TokenConfig = CFG) -> Colu
     id included, goes to the speaker of the last marker.
     """
     is_marker = lambda x: (x == cfg.main_bos) | (x == cfg.other_bos)
-    start = F.struct(F.lit(cfg.main_bos if main_first else cfg.other_bos).alias("who"), F.array().cast("array<int>").alias("by"))
-    speakers = F.aggregate(
-        text, start, lambda s, x: F.struct(F.when(is_marker(x), x).otherwise(s.who).alias("who"), F.array_append(s.by, F.when(is_marker(x), x).otherwise(s.who)).alias("by"))
-    ).by
+    # Each marker's speaker is repeated up to the next marker, so the work is linear in the row.
+    found = F.filter(F.transform(text, lambda x, i: F.struct(i.alias("pos"), x.alias("who"))), lambda m: is_marker(m.who))
+    begins = F.concat(F.array(F.struct(F.lit(0).alias("pos"), F.lit(cfg.main_bos if main_first else cfg.other_bos).alias("who"))), found)
+    ends = F.concat(F.transform(found, lambda m: m.pos), F.array(F.size(text)))
+    speakers = F.flatten(F.zip_with(begins, ends, lambda m, end: F.array_repeat(m.who, end - m.pos)))
     one = lambda bos: F.zip_with(text, speakers, lambda x, who: F.when(is_marker(x) | (who != bos), F.lit(cfg.text_pad)).otherwise(x))
     return F.struct(one(cfg.main_bos).alias("main"), one(cfg.other_bos).alias("other"))
 

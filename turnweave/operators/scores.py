@@ -85,20 +85,20 @@ def silence_cuts(states: DataFrame, least_gap: int, totals: DataFrame) -> DataFr
 
 
 def overlap_ms(rows: DataFrame, key: str, channel: str, start: str, end: str) -> DataFrame:
-    """Milliseconds in which both channels of a key are active: a sweep over +1/-1 events, ends before starts.
+    """Milliseconds in which both channels of a key are active, per key.
 
-    Events at one time are summed first, so ties need no order and a hot instant is one row.
+    Active time of both together is that of each less that of their union; all three come from the
+    interval aggregate, which cuts a key of any size into blocks. Intervals that only touch do not overlap.
     """
-    events = rows.select(
-        key,
-        F.explode(F.array(F.struct(F.col(start).alias("t"), F.lit(1).alias("d")), F.struct(F.col(end).alias("t"), F.lit(-1).alias("d")))).alias("x"),
-        channel,
-    )
-    steps = events.groupBy(key, F.col("x.t").alias("t")).agg(*[F.sum(F.when(F.col(channel) == c, F.col("x.d")).otherwise(0)).alias(c) for c in ("A", "B")])
-    w = Window.partitionBy(key).orderBy("t")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    on = steps.select(key, F.sum("A").over(upto).alias("a"), F.sum("B").over(upto).alias("b"), (F.lead("t").over(w) - F.col("t")).alias("ms"))
-    return on.groupBy(key).agg(F.coalesce(F.sum(F.when((F.col("a") > 0) & (F.col("b") > 0), F.col("ms"))), F.lit(0)).alias("both_ms"))
+    from turnweave.operators.intervals import interval_states, periods
+
+    def active(part: Column) -> DataFrame:
+        spans = periods(interval_states(rows, F.col(key), part, F.col(start), F.col(end)))
+        return spans.groupBy("entity", "part").agg(F.sum(F.col("period_end") - F.col("period_start")).alias("ms"))
+
+    each = active(F.col(channel)).select("entity", "ms")
+    union = active(F.lit("")).select("entity", (-F.col("ms")).alias("ms"))
+    return each.unionByName(union).groupBy(F.col("entity").alias(key)).agg(F.sum("ms").alias("both_ms"))
 
 
 def sequence_log_prob(tokens: DataFrame, keys: list[str], label: str = "label", logp: str = "logp") -> DataFrame:

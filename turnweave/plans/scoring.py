@@ -64,7 +64,8 @@ def agg07_silence_cuts(spark, d):
 
 
 def agg08_overlap(spark, d):
-    return S.overlap_ms(_segments(spark, d), "user_id", "ch", "s", "e")
+    out = S.overlap_ms(_segments(spark, d), "user_id", "ch", "s", "e")
+    return out.select(F.col("user_id").cast("bigint").alias("user_id"), "both_ms")
 
 
 def agg10_channel_text(spark, d):
@@ -396,7 +397,7 @@ def stm04_phases(spark, d):
     a = read(spark, d, "documents").groupBy().agg(F.expr("sum(coalesce(n_chars, 0)) div 1920").alias("n"))
     prompt = a.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("k")).select(F.lit(0).alias("phase"), "k")
     live = stm03_rechunk(spark, d).where("user_id = 8").select(F.lit(1).alias("phase"), F.col("frame").alias("k"))
-    return prompt.unionByName(live).withColumn("frame", F.row_number().over(Window.orderBy("phase", "k")) - 1)
+    return number_rows(prompt.unionByName(live), [F.col("phase"), F.col("k")], "frame")
 
 
 def stm05_text_emission(spark, d):
@@ -551,7 +552,7 @@ def oracle_sql() -> dict[str, str]:
         "tim02_char_times": 'WITH w AS (SELECT row_id, start, "end" - start AS dur, length(word) AS n, unnest(range(length(word))) AS k FROM word_transcripts WHERE word <> \'\' AND "end" > start) SELECT row_id, CAST(k AS INTEGER) AS k, round(start + k * dur / n, 9) AS s, round(start + (k + 1) * dur / n, 9) AS e FROM w',
         "stm01_decode": "SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'empty' ELSE (['handshake', 'audio', 'text', 'control', 'metadata', 'error', 'ping', 'coloured', 'unknown'])[event_id % 9 + 1] END AS kind, CASE WHEN event_id % 10 <> 0 AND event_id % 9 IN (2, 4, 5) THEN event_type WHEN event_id % 10 <> 0 AND event_id % 9 = 7 THEN event_type[2:] END AS text FROM events",
         "stm03_rechunk": f"WITH {chunk} SELECT user_id, event_id, frame FROM f",
-        "stm04_phases": f"WITH {chunk}, p AS (SELECT 0 AS phase, unnest(range((SELECT CAST(sum(coalesce(n_chars, 0)) // 1920 AS BIGINT) FROM documents))) AS k UNION ALL SELECT 1, frame FROM f WHERE user_id = 8) SELECT CAST(phase AS INTEGER) AS phase, k, CAST(row_number() OVER (ORDER BY phase, k) - 1 AS INTEGER) AS frame FROM p",
+        "stm04_phases": f"WITH {chunk}, p AS (SELECT 0 AS phase, unnest(range((SELECT CAST(sum(coalesce(n_chars, 0)) // 1920 AS BIGINT) FROM documents))) AS k UNION ALL SELECT 1, frame FROM f WHERE user_id = 8) SELECT CAST(phase AS INTEGER) AS phase, k, row_number() OVER (ORDER BY phase, k) - 1 AS frame FROM p",
         "stm05_text_emission": f"WITH {Q.V1}, k AS (SELECT row_id, list_filter(a[1], lambda x: x NOT IN (0, 3)) AS x FROM v1) SELECT row_id, CAST(len(x) AS INTEGER) AS n, replace('▁' || array_to_string(list_transform(x[1:3], lambda q: CAST(q AS VARCHAR)), '▁'), '▁', ' ') AS text FROM k",
         "stm07_idle_sessions": "WITH s AS (SELECT user_id, event_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS f, ts FROM events), r AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts) AS g FROM s) SELECT user_id, min(event_id) AS first_id, count(*) AS n FROM r GROUP BY user_id, g",
         "stm08_accumulate": "SELECT user_id, CAST(count(*) AS INTEGER) AS n, md5(string_agg(event_type, '' ORDER BY event_id)) AS digest FROM events GROUP BY 1",

@@ -38,6 +38,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = context.getConf().get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="turnweave-checkpoint-"))
     return df.checkpoint(eager=True)
 

@@ -181,6 +181,35 @@ class TarReader(DataSourceReader):
             yield path, None, None, f"{type(e).__name__}: {e}"[:200]
 
 
+def annotation_exports(spark: SparkSession, root: str, suffix: str) -> DataFrame:
+    """Annotation files whose name ends in ``suffix``: name without it, and their segments."""
+    segment = "array<struct<id:string,channelId:string,startMs:double,endMs:double,transcript:string>>"
+    rows = spark.read.schema(f"segments {segment}").option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").json(root)
+    return rows.select(F.regexp_replace(F.col("_metadata.file_name"), F.lit(f"\\Q{suffix}\\E$"), F.lit("")).alias("name"), "segments")
+
+
+def cuts_with_archives(spark: SparkSession, root: str, suffix: str = ".flac") -> DataFrame:
+    """Cuts of gzipped JSON lines (``cuts.N.jsonl.gz``) with the names in the archive of the same index (``recording.N.tar``).
+
+    Cuts without an archive are left out, as are archives without cuts; members stay in name order.
+    """
+    index = lambda c: F.regexp_extract(c, r"\.(\d+)\.[a-z.]+$", 1)
+    cuts = spark.read.schema("id string, duration double").option("pathGlobFilter", "*.jsonl.gz").json(root)
+    cuts = cuts.select(index(F.col("_metadata.file_name")).alias("index"), "id", "duration")
+    names = tar_members(spark, root, suffix).where("error IS NULL").groupBy(index(F.col("path")).alias("index")).agg(F.array_sort(F.collect_list("name")).alias("members"))
+    return cuts.join(names, "index")
+
+
+def cascade_folders(spark: SparkSession, root: str) -> DataFrame:
+    """Folders that hold both ``audio.wav`` and ``turns.json``: header and turns; folders that lack one give no row."""
+    turn = "array<struct<speaker:string,text:string,t_start:double,t_end:double>>"
+    folder = lambda c: F.regexp_extract(c, r"([^/]+)/[^/]+$", 1)
+    turns = spark.read.text(root, wholetext=True, pathGlobFilter="turns.json", recursiveFileLookup=True)
+    turns = turns.select(folder(F.col("_metadata.file_path")).alias("dialogue_id"), F.from_json("value", turn).alias("turns")).where("turns IS NOT NULL")
+    audio = wav_headers(spark, root).where("error IS NULL AND path LIKE '%/audio.wav'").select(folder(F.col("path")).alias("dialogue_id"), "channels", "rate", "frames")
+    return turns.join(audio, "dialogue_id")
+
+
 def tar_members(spark: SparkSession, root: str, suffix: str = ".wav") -> DataFrame:
     spark.dataSource.register(TarSource)
     return spark.read.format("tar_members").option("path", root).option("suffix", suffix).load()
