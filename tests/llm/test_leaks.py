@@ -30,8 +30,8 @@ def test_against_brute_force(spark, monkeypatch):
             passage = "-".join(passage).upper()
         docs.append((d, " ".join(word() for _ in range(rng.randint(0, 30))) + " " + passage + " " + word()))
     docs += [(80, None), (81, ""), (82, "ab" * 500), (83, items[3][1]), (84, items[3][1])]
-    documents = spark.createDataFrame([(d, t, "x") for d, t in docs], "doc_id long, text string, item_id string")
-    benchmark = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, doc_id string")
+    documents = spark.createDataFrame([(d, t, "x") for d, t in [*docs, (None, docs[0][1])]], "doc_id long, text string, item_id string")
+    benchmark = spark.createDataFrame([(i, t, "x") for i, t in [*items, (None, items[0][1])]], "item_id long, text string, doc_id string")
     want = _brute(docs, items, 60)
     assert len(want) > 20
     found = leaks.leaked_items(leaks.leaked_passages(documents, benchmark)).collect()

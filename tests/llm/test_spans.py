@@ -41,7 +41,7 @@ def _brute(docs, least):
 @pytest.mark.parametrize("block", [1_500, 3])
 def test_pairs_and_parts(spark, monkeypatch, block):
     docs = _docs(random.Random(8))
-    documents = spark.createDataFrame([(d, t, "x") for d, t in docs], "doc_id long, text string, anchor string")
+    documents = spark.createDataFrame([(d, t, "x") for d, t in [*docs, (None, docs[0][1])]], "doc_id long, text string, anchor string")
     monkeypatch.setattr(spans.contexts, "__defaults__", (spans.LEAST, spans.GRAM, block))
     want = _brute(docs, 120)
     found = spans.sharing_pairs(documents).collect()

@@ -104,7 +104,7 @@ def postings(documents: DataFrame, gram: int, least: int, terms: np.ndarray | No
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), _POSTING)], schema=_POSTING)
 
-    return documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(index, _POSTING_DDL)
+    return documents.select(F.col("doc_id").cast("bigint"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(index, _POSTING_DDL)
 
 
 def item_phrases(items: DataFrame, gram: int, least: int) -> DataFrame:
@@ -123,7 +123,7 @@ def item_phrases(items: DataFrame, gram: int, least: int) -> DataFrame:
                 columns = [np.full(n, item_id), np.arange(n), h[:n], h[gram:]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds)], names=names)
 
-    return items.select(F.col("item_id").cast("bigint"), "text").mapInArrow(phrases, "item_id bigint, offset bigint, term bigint, next_term bigint")
+    return items.select(F.col("item_id").cast("bigint"), "text").where("item_id IS NOT NULL AND text IS NOT NULL").mapInArrow(phrases, "item_id bigint, offset bigint, term bigint, next_term bigint")
 
 
 def _run(doc_before: str, doc_after: str, item: str, at: int, gram: int) -> tuple[int, int]:
@@ -163,7 +163,7 @@ def _exact(gram: int, least: int):
 def leaked_passages(documents: DataFrame, items: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
     """Document, item, and the range of reduced characters of each phrase that is part of a passage of ``least`` or more.
 
-    Null and empty texts and items under ``least`` reduced characters match nothing; items that repeat
+    Rows without an id, null and empty texts and items under ``least`` reduced characters match nothing; items that repeat
     others match under each id. A range reaches at most ``least`` characters beyond its two tokens, so
     longer passages show as ranges that overlap.
     """

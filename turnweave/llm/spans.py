@@ -61,7 +61,7 @@ _ANCHOR = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.
 
 
 def anchors(documents: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
-    """(anchor, doc_id, pos) of every document; texts under ``least`` characters have none."""
+    """(anchor, doc_id, pos) of every document; null texts, texts under ``least`` characters and documents without an id have none."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,7 +82,7 @@ def anchors(documents: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataF
                     yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[a:b][who].astype(np.int64)), pa.array(at - begins[who])], schema=_ANCHOR)
                 a = b
 
-    return documents.select(F.col("doc_id").cast("bigint"), "text").where("text IS NOT NULL").mapInArrow(find, "anchor bigint, doc_id bigint, pos bigint")
+    return documents.select(F.col("doc_id").cast("bigint"), "text").where("text IS NOT NULL AND doc_id IS NOT NULL").mapInArrow(find, "anchor bigint, doc_id bigint, pos bigint")
 
 
 def contexts(documents: DataFrame, least: int = LEAST, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
@@ -274,7 +274,7 @@ def _shards(documents: DataFrame, least: int, gram: int) -> DataFrame:
 def sharing_pairs(documents: DataFrame, least: int = LEAST, gram: int = GRAM, step: int = STEP) -> DataFrame:
     """Pairs of documents (doc_id_a < doc_id_b) whose stored texts have a common substring of ``least`` code points.
 
-    Null texts and texts under ``least`` share nothing; a repeated doc_id is one document.
+    Null texts, texts under ``least`` and documents without an id share nothing; a repeated doc_id is one document.
     """
     found = _shards(documents, least, gram).mapInArrow(_shard(least, step, True), "doc_id_a bigint, doc_id_b bigint")
     return found.distinct()
