@@ -16,6 +16,20 @@ def test_rechunk_equals_its_batch_twin(spark, sf, tmp_path):
     assert found and found == {tuple(r) for r in scoring.stm03_rechunk(spark, sf).collect()}
 
 
+def test_jitter_equals_its_batch_twin(spark, sf, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    e = spark.read.parquet(f"{sf}/events.parquet").where("user_id < 6").select("user_id", "event_id", (F.col("value") % 40).alias("arrive_ms"), F.lit(20.0).alias("play_ms"))
+    for k in range(3):
+        e.where((F.col("event_id") >= k * 400) & (F.col("event_id") < (k + 1) * 400)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = live.jitter_stream(stream).writeStream.outputMode("update").format("memory").queryName("jitter").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination(180)
+    last = {}
+    for r in spark.sql("SELECT * FROM jitter").collect():
+        last[r.user_id] = max(last.get(r.user_id, (0,)), (r.n, *tuple(r)[1:7]))
+    assert last and {k: v[1:] for k, v in last.items()} == {r.user_id: tuple(r)[1:] for r in live.jitter(e).collect()}
+
+
 def test_idle_sessions_on_a_stream(spark, sf, tmp_path):
     rows = spark.read.parquet(f"{sf}/events.parquet").select("user_id", "event_id", "ts")
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))

@@ -51,7 +51,7 @@ def agg06_channel_balance(spark, d):
 
 
 def _segments(spark, d):
-    start = (F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("bigint")
+    start = F.expr("timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01', ts)")
     e = read(spark, d, "events").select("user_id", "event_id", F.when(F.col("event_id") % 2 == 0, "A").otherwise("B").alias("ch"), start.alias("s"))
     return e.withColumn("e", F.col("s") + 1000 + F.col("event_id") % 9000 * 100)
 

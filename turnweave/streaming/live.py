@@ -101,6 +101,34 @@ class JitterBuffer:
         return self.level, self.partial, self.maximum, self.dropped, self.underruns, self.started
 
 
+class Jitter(StatefulProcessor):
+    """The buffer of each key on a stream; its state goes from micro-batch to micro-batch."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.kept = handle.getValueState("buffer", "level double, partial double, maximum double, dropped double, underruns long, started boolean, wait double, n long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        buffer, n = JitterBuffer(), 0
+        if self.kept.exists():
+            buffer.level, buffer.partial, buffer.maximum, buffer.dropped, buffer.underruns, buffer.started, buffer.wait, n = self.kept.get()
+        arrivals = pd.concat(list(rows)).sort_values("event_id")
+        for a, p in zip(arrivals["arrive_ms"], arrivals["play_ms"]):
+            buffer.play(float(p))
+            buffer.arrive(float(a))
+        n += len(arrivals)
+        self.kept.update((*buffer.state(), buffer.wait, n))
+        yield pd.DataFrame([(key[0], *buffer.state(), n)], columns=["user_id", "level", "partial", "maximum", "dropped", "underruns", "playing", "n"])
+
+    def close(self) -> None:
+        pass
+
+
+def jitter_stream(stream: DataFrame) -> DataFrame:
+    """The buffer's state of each key after each micro-batch, with the messages seen so far. Needs the RocksDB state store."""
+    ddl = "user_id long, level double, partial double, maximum double, dropped double, underruns long, playing boolean, n long"
+    return stream.groupBy("user_id").transformWithStateInPandas(statefulProcessor=Jitter(), outputStructType=ddl, outputMode="Update", timeMode="None")
+
+
 def jitter(arrivals: DataFrame) -> DataFrame:
     """Batch twin: the buffer of each key (user_id) at its end, fed with (event_id, arrive_ms, play_ms) in order."""
     import pyarrow as pa
