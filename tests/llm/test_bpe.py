@@ -36,6 +36,14 @@ def test_any_text(both, texts):
     assert ours.encode(texts).to_pylist() == [theirs.encode_ordinary(t) for t in texts]
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="ab '1\n　é", max_size=200), st.integers(1, 20))
+def test_stretches_split_alike(both, text, size):
+    stretches = list(bpe.segments(text, size))
+    assert "".join(stretches) == text
+    assert [w for s in stretches for w in both[0].split(s)] == both[0].split(text)
+
+
 def test_documents(spark, both):
     rows = [(k, t, "x", [1]) for k, t in enumerate(TEXTS)] + [(99, None, "x", None), (0, "again", "x", None)]
     documents = spark.createDataFrame(rows, "doc_id long, text string, lang string, ids array<int>")

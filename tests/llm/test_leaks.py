@@ -37,6 +37,7 @@ def test_against_brute_force(spark, monkeypatch):
     found = leaks.leaked_items(leaks.leaked_passages(documents, benchmark)).collect()
     assert {tuple(r) for r in found} == want and len(found) == len(want)
     monkeypatch.setattr(leaks, "BROADCAST_CHARS", 0)
+    monkeypatch.setattr(leaks, "SEGMENT", 100)
     assert {tuple(r) for r in leaks.leaked_items(leaks.leaked_passages(documents, benchmark)).collect()} == want
     assert leaks.leaked_passages(documents.limit(0), benchmark).count() == 0
     assert leaks.leaked_passages(documents, benchmark.limit(0)).count() == 0

@@ -25,6 +25,16 @@ def test_index_counts_and_places(text, length):
         assert sorted(index.order[a:b].tolist()) == want
 
 
+def test_anchors_of_long_inputs_are_those_of_the_whole():
+    rng = np.random.default_rng(3)
+    codes = rng.integers(97, 100, 5_000).astype(np.uint32)
+    owner = np.sort(rng.integers(0, 9, 5_000))
+    whole = spans._anchors_of(codes, owner, 120, 60)
+    for segment in (130, 500, 4_990):
+        cut = spans.anchors_of(codes, owner, 120, 60, segment)
+        assert len(whole[0]) and whole[0].tolist() == cut[0].tolist() and whole[1].tolist() == cut[1].tolist()
+
+
 def _docs(rng):
     make = lambda n: "".join(rng.choice("abcdefgh 漢字\n") for _ in range(n))
     shared = [make(n) for n in (119, 120, 121, 150, 400)]

@@ -10,6 +10,7 @@ are kept for the next batch; the texts' ids are then gathered from the word resu
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -106,6 +107,24 @@ def merge_words(words: list[bytes], vocabulary: Vocabulary) -> list[np.ndarray]:
     return np.split(out_symbols[order].astype(np.int32), np.cumsum(counts)[:-1])
 
 
+#: Characters of a text that are split at once.
+SEGMENT = 1_000_000
+# A single space between two characters that are no white space: the split always begins a word there.
+_SAFE = regex.compile(r"(?<=\S) (?=\S)")
+
+
+def segments(text: str, size: int) -> Iterator[str]:
+    """A text in stretches of about ``size`` that can be split each by itself."""
+    at = 0
+    while len(text) - at > size:
+        cut = _SAFE.search(text, at + size)
+        if not cut:
+            break
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:] if at else text
+
+
 class Encoder:
     """Ids of texts, batch by batch, with a bounded memory of word results."""
 
@@ -119,21 +138,22 @@ class Encoder:
         """A list of ids per text; null and empty texts both give an empty list."""
         if len(self.number) > self.most:
             self.number, self.results = {}, []
-        number, tokens, counts, fresh = self.number, [], [], []
+        number, tokens, counts, fresh = self.number, array("q"), [], []
         for text in texts:
-            words = self.split(text) if text else ()
-            counts.append(len(words))
-            for word in words:
-                k = number.get(word)
-                if k is None:
-                    k = number[word] = len(number)
-                    fresh.append(word.encode())
-                tokens.append(k)
+            before = len(tokens)
+            for stretch in segments(text, SEGMENT) if text else ():
+                for word in self.split(stretch):
+                    k = number.get(word)
+                    if k is None:
+                        k = number[word] = len(number)
+                        fresh.append(word.encode())
+                    tokens.append(k)
+            counts.append(len(tokens) - before)
         if fresh:
             self.results.extend(merge_words(fresh, self.vocabulary))
         if not tokens:
             return pa.ListArray.from_arrays(pa.array(np.zeros(len(texts) + 1, dtype=np.int32)), pa.array([], type=pa.int32()))
-        used, place = np.unique(np.array(tokens), return_inverse=True)
+        used, place = np.unique(np.frombuffer(tokens, dtype=np.int64), return_inverse=True)
         parts = [self.results[k] for k in used]
         sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
         begins = np.cumsum(sizes) - sizes

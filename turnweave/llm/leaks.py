@@ -25,6 +25,8 @@ from turnweave.session import checkpointed
 LEAST, GRAM = 60, 20
 #: Most characters of all items together for which their terms are broadcast; beyond that they are joined.
 BROADCAST_CHARS = 8_000_000
+#: Characters hashed at once.
+SEGMENT = 1_000_000
 
 _OTHER = re.compile(r"[\W_]+")
 
@@ -69,6 +71,7 @@ def postings(documents: DataFrame, gram: int, least: int, terms: np.ndarray | No
     """Term, document, position, and the characters around, for every token; only ``terms`` (sorted) where given."""
     shared = None if terms is None else documents.sparkSession.sparkContext.broadcast(terms)
     margin = least - gram
+    segment = SEGMENT - SEGMENT % gram
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,27 +83,28 @@ def postings(documents: DataFrame, gram: int, least: int, terms: np.ndarray | No
                     texts.append(reduced)
                     ids.append(doc_id)
                     sizes.append(len(reduced))
-            step, total = 0, 0
-            bounds = [0]
-            for k, size in enumerate(sizes):  # about a million characters at a time
-                total += size
-                if total > 1_000_000 or k == len(sizes) - 1:
-                    bounds.append(k + 1)
-                    total = 0
-            for a, b in zip(bounds, bounds[1:]):
-                hashes = gram_hashes(_codes("".join(texts[a:b])), gram).view(np.int64)
+            # Stretches of whole tokens, about SEGMENT characters at a time, however the texts are cut up.
+            stretches = [(k, a, min(size, a + segment)) for k, size in enumerate(sizes) for a in range(0, size, segment)]
+            at = 0
+            while at < len(stretches):
+                upto, total = at, 0
+                while upto < len(stretches) and (upto == at or total < segment):
+                    total += stretches[upto][2] - stretches[upto][1]
+                    upto += 1
+                hashes = gram_hashes(_codes("".join(texts[k][a:b] for k, a, b in stretches[at:upto])), gram).view(np.int64)
                 base = 0
-                for k in range(a, b):
-                    step = np.arange(0, sizes[k] - gram + 1, gram)
+                for k, a, b in stretches[at:upto]:
+                    step = np.arange(0, b - a - gram + 1, gram)
                     own = hashes[base + step]
                     if shared is not None:
                         known = shared.value
-                        at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-                        hit = known[at] == own
+                        near = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                        hit = known[near] == own
                         step, own = step[hit], own[hit]
-                    for pos, term in zip(step.tolist(), own.tolist()):
+                    for pos, term in zip((step + a).tolist(), own.tolist()):
                         rows.append((term, ids[k], pos, texts[k][max(0, pos - margin) : pos], texts[k][pos : pos + gram + margin]))
-                    base += sizes[k]
+                    base += b - a
+                at = upto
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), _POSTING)], schema=_POSTING)
 

@@ -42,8 +42,28 @@ def _sliding(values: np.ndarray, width: int, of) -> np.ndarray:
     return of(values[:n], values[width - have : width - have + n])
 
 
-def anchors_of(codes: np.ndarray, owner: np.ndarray, least: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the anchors in texts that lie end to end; ``owner`` numbers the text of each code."""
+#: Codes whose anchors are looked for at once.
+SEGMENT = 1_000_000
+
+
+def anchors_of(codes: np.ndarray, owner: np.ndarray, least: int, gram: int, segment: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the anchors in texts that lie end to end; ``owner`` numbers the text of each code.
+
+    Long inputs are taken in stretches that overlap by one window, so every window lies in one of them.
+    """
+    segment = segment or SEGMENT
+    if len(codes) <= segment + least:
+        return _anchors_of(codes, owner, least, gram)
+    found = []
+    for a in range(0, len(codes), segment):
+        b = a + segment + least - 1
+        at, h = _anchors_of(codes[a:b], owner[a:b], least, gram)
+        found.append((at + a, h))
+    places, first = np.unique(np.concatenate([at for at, _ in found]), return_index=True)
+    return places, np.concatenate([h for _, h in found])[first]
+
+
+def _anchors_of(codes: np.ndarray, owner: np.ndarray, least: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     window = least - gram + 1
     h = gram_hashes(codes, gram)
     if len(h) < window:
