@@ -47,7 +47,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def small_enough(df: DataFrame, most_bytes: int) -> bool:
     """Whether the optimizer's size estimate of ``df`` is at most ``most_bytes``."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(size.toString()) <= most_bytes
+    return int(str(size)) <= most_bytes
 
 
 def key_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
