@@ -48,6 +48,25 @@ def test_blocks_are_stitched(spark, transcripts, block_ms, span, pause):
     assert found == _brute(rows, pause) and len(out) == len(found)
 
 
+def test_languages_ride_along_like_a_join(spark, transcripts):
+    from turnweave.llm import words as W
+
+    rows = [(1, "r", "A", "cop", 0.0, 1.0), (2, "r", "B", "x", 700.0, 701.0), (3, "e", "A", "cop", 1.0, 2.0), (4, None, "A", "no", 1.0, 2.0), (5, "r", "A", "no", 590.0, None)]
+    tables = transcripts(rows, {"r": "ru"})
+    for halo in (0, 50_000):
+        seen = []
+        for limit in (-1, 10**9):
+            blocks = {}
+            for r in W.blocked(*tables, halo_ms=halo, broadcast_bytes=limit).collect():
+                blocks.setdefault((r.dialogue_id, r.block), []).append(r)
+            out = set()
+            for key, rs in blocks.items():
+                head = [r.lang for r in rs if r.start_ms is None]
+                out |= {(*key, r.row_id, r.own, r.lang or (head[0] if head else None)) for r in rs if r.start_ms is not None}
+            seen.append(out)
+        assert seen[0] == seen[1] and {x[4] for x in seen[0]} == {"ru", "en", None}
+
+
 def test_odd_rows(spark, transcripts):
     rows = [(1, "d", "S 1", "один", 0.0, 1.0), (2, "d", "A/B", "no", 1.0, 2.0), (3, "d", None, "no", 1.0, 2.0), (4, "d", "**ch_2**", "x" * 10_000, None, 2.0), (5, None, "A", "hi", 0.0, 1.0), (6, "d", "В:", "yes", 0.0, float("nan"))]
     words, roles, dialogues = transcripts(rows, {"d": "ru"})

@@ -8,32 +8,48 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnweave.functions.labels import usable
+from turnweave.functions.labels import to_ms, usable
 from turnweave.llm.forms import Forms, languages
+from turnweave.session import small_enough
 
 #: Width of a block of a dialogue. A dialogue of any length is spread over its blocks.
 BLOCK_MS = 600_000
 KEYS, ORDER = ["dialogue_id", "block"], ["start_ms", "row_id"]
 
 
-def blocked(words: DataFrame, roles: DataFrame, dialogues: DataFrame, block_ms: int = BLOCK_MS, halo_ms: int = 0) -> DataFrame:
+def _placed(rows: DataFrame, block_ms: int, halo_ms: int) -> DataFrame:
+    """Rows with ``start_ms`` in their block, and with a halo in the neighbours it reaches into."""
+    start = F.col("start_ms")
+    if not halo_ms:
+        return rows.withColumn("block", F.floor(start / block_ms))
+    first = F.greatest(F.floor((start - halo_ms) / block_ms), F.when(start >= 0, 0))
+    return rows.withColumn("block", F.explode(F.sequence(first, F.floor((start + halo_ms) / block_ms))))
+
+
+def blocked(
+    words: DataFrame, roles: DataFrame, dialogues: DataFrame, block_ms: int = BLOCK_MS, halo_ms: int = 0, broadcast_bytes: int | None = None
+) -> DataFrame:
     """Usable rows with their dialogue's language and block, in the column order the kernels read.
 
     With a halo, rows within ``halo_ms`` of a neighbouring block stand in that block too, ``own`` false.
+    Where the languages are small enough to broadcast (by default as the session says), they are joined
+    to the rows. Beyond that they do not cost a shuffle of the words either: each block gets one more
+    row with the language, without a start, and the one shuffle into blocks brings both together.
     """
     rows = words.select("row_id", "dialogue_id", "speaker", "word", "start", "end")
-    joined = usable(rows, roles).join(languages(dialogues), "dialogue_id", "left")
-    start = F.col("start_ms")
-    home = F.floor(start / block_ms)
-    if halo_ms:
-        first = F.greatest(F.floor((start - halo_ms) / block_ms), F.when(start >= 0, 0))
-        joined = joined.withColumn("block", F.explode(F.sequence(first, F.floor((start + halo_ms) / block_ms))))
-    else:
-        joined = joined.withColumn("block", home)
-    return joined.select(
-        "dialogue_id", "block", "start_ms", "end_ms", "row_id", "channel", "word", F.col("_lang").alias("lang"),
-        (home == F.col("block")).alias("own"),
-    )
+    body = _placed(usable(rows, roles), block_ms, halo_ms)
+    own = F.floor(F.col("start_ms") / block_ms) == F.col("block")
+    columns = ["dialogue_id", "block", "start_ms", "end_ms", "row_id", "channel", "word"]
+    langs = languages(dialogues)
+    if broadcast_bytes is None:
+        broadcast_bytes = words.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    if small_enough(langs, broadcast_bytes):
+        return body.join(langs, "dialogue_id", "left").select(*columns, F.col("_lang").alias("lang"), own.alias("own"))
+    starts = words.select("dialogue_id", to_ms(F.col("start")).alias("start_ms")).where("start_ms IS NOT NULL")
+    blocks = _placed(starts, block_ms, halo_ms).select("dialogue_id", "block").distinct()
+    empty = {c: F.lit(None).cast(body.schema[c].dataType).alias(c) for c in columns[2:]}
+    heads = blocks.join(langs, "dialogue_id").select("dialogue_id", "block", *empty.values(), F.col("_lang").alias("lang"), F.lit(False).alias("own"))
+    return body.select(*columns, F.lit(None).cast("string").alias("lang"), own.alias("own")).unionByName(heads)
 
 
 def delivered_once(table: pa.Table, forms: Forms) -> Iterator[tuple]:
@@ -43,8 +59,12 @@ def delivered_once(table: pa.Table, forms: Forms) -> Iterator[tuple]:
     sort by start and row id makes that the first one met.
     """
     _, _, starts, ends, ids, channels, words, langs, own = (c.to_pylist() for c in table.columns)
-    at, seen = None, set()
+    at, seen, spoken = None, set(), None
     for start, end, row_id, channel, word, lang, mine in zip(starts, ends, ids, channels, words, langs, own):
+        if start is None:  # the block's language, first as it has no start
+            spoken = lang
+            continue
+        lang = spoken if lang is None else lang
         form = (forms(word, lang) or "").strip(" ")
         if start != at:
             at = start
