@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from turnweave.llm import spans
-from turnweave.llm.fm import FMIndex, suffix_order
+from turnweave.llm.fm import FMIndex, common_after, common_before, suffix_order, suffix_ranks
 
 
 @settings(max_examples=100, deadline=None)
@@ -25,6 +25,19 @@ def test_index_counts_and_places(text, length):
         assert sorted(index.order[a:b].tolist()) == want
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 3), min_size=2, max_size=40), st.data())
+def test_common_stretches(text, data):
+    codes = np.array(text, dtype=np.int64)
+    ranks = suffix_ranks(codes)[1]
+    places = st.lists(st.integers(0, len(text) - 1), min_size=2, max_size=2, unique=True)
+    x, y = (np.array([k]) for k in data.draw(places))
+    after = next(k for k in range(len(text) + 1) if max(x[0], y[0]) + k >= len(text) or text[x[0] + k] != text[y[0] + k])
+    before = next(k for k in range(len(text) + 1) if min(x[0], y[0]) - k <= 0 or text[x[0] - k - 1] != text[y[0] - k - 1])
+    assert common_after(ranks, x, y, len(text) - np.maximum(x, y))[0] == after
+    assert common_before(ranks, x, y, np.minimum(x, y))[0] == before
+
+
 def test_anchors_of_long_inputs_are_those_of_the_whole():
     rng = np.random.default_rng(3)
     codes = rng.integers(97, 100, 5_000).astype(np.uint32)

@@ -11,9 +11,17 @@ import numpy as np
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
     """Positions of all suffixes in lexicographic order, by prefix doubling. A shorter suffix sorts first."""
+    return suffix_ranks(text)[0]
+
+
+def suffix_ranks(text: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The suffix order, and for each width 1, 2, 4, ... the rank of the substring that begins at each position.
+
+    Two substrings of such a width are equal exactly if their ranks are. The last list has no equal ranks.
+    """
     n = len(text)
     rank = np.unique(text, return_inverse=True)[1].astype(np.int64) + 1
-    width = 1
+    levels, width = [rank.astype(np.int32)], 1
     while True:
         behind = np.zeros(n, dtype=np.int64)
         behind[: max(0, n - width)] = rank[width:]
@@ -23,11 +31,32 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
         fresh = np.concatenate(([True], ordered[1:] != ordered[:-1]))
         rank = np.empty(n, dtype=np.int64)
         rank[order] = np.cumsum(fresh)
+        levels.append(rank.astype(np.int32))
         if fresh.all():
-            return order
+            return order, levels
         width *= 2
 
 
+def common_after(levels: list[np.ndarray], x: np.ndarray, y: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """How many symbols from two different places on agree, ``most`` at the highest; a step per level, not per symbol."""
+    done = np.zeros(len(x), dtype=np.int64)
+    for k in range(len(levels) - 1, -1, -1):
+        fits = done + (1 << k) <= most
+        at = np.where(fits, done, 0)
+        done += (fits & (levels[k][x + at] == levels[k][y + at])).astype(np.int64) << k
+    return done
+
+
+def common_before(levels: list[np.ndarray], x: np.ndarray, y: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """How many symbols before two different places agree, ``most`` at the highest."""
+    done = np.zeros(len(x), dtype=np.int64)
+    for k in range(len(levels) - 1, -1, -1):
+        fits = done + (1 << k) <= most
+        at = np.where(fits, done + (1 << k), 0)
+        done += (fits & (levels[k][x - at] == levels[k][y - at])).astype(np.int64) << k
+    return done
+
+
 class WaveletMatrix:
     """Rank of a symbol in a prefix, over symbols 0..sigma-1."""
 
@@ -71,7 +100,7 @@ class FMIndex:
 
     def __init__(self, text: np.ndarray, sigma: int):
         whole = np.concatenate((text, [0]))
-        self.order = suffix_order(whole)
+        self.order, self.ranks = suffix_ranks(whole)
         self.bwt = WaveletMatrix(whole[self.order - 1], sigma)
         self.before = np.concatenate(([0], np.cumsum(np.bincount(whole, minlength=sigma))))[:-1]
 

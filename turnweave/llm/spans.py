@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnweave.llm.fm import FMIndex
+from turnweave.llm.fm import FMIndex, common_after, common_before
 from turnweave.llm.leaks import gram_hashes
 from turnweave.session import checkpointed, key_groups
 
@@ -145,29 +145,13 @@ def _cut(reach: int, gram: int):
     return run
 
 
-def _extent(codes: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """How far the codes before and from places x and y agree, inside their contexts (0 separates)."""
-    out = []
-    for step in (-1, 1):
-        n = np.zeros(len(x), dtype=np.int64)
-        alive = np.arange(len(x))
-        at = -1 if step < 0 else 0
-        while len(alive):
-            a, b = codes[x[alive] + at], codes[y[alive] + at]
-            alive = alive[(a == b) & (a != 0)]
-            n[alive] += 1
-            at += step
-        out.append(n)
-    return out[0], out[1]
+def shared_intervals(texts: list[str], least: int, step: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Maximal common intervals of two different contexts, as arrays: x, its from and to, y (> x), its from.
 
-
-def shared_intervals(groups: list[tuple[str, list[tuple[int, int]]]], least: int, step: int) -> Iterator[tuple[int, int, int, int, int]]:
-    """Maximal common intervals of two different contexts: context, its from and to, other context, its from.
-
-    ``groups``: distinct contexts. Each common interval of ``least`` or more holds a place that is a
-    multiple of ``step`` with ``least - step + 1`` characters of the interval before it.
+    Each common interval of ``least`` or more holds a place that is a multiple of ``step`` with
+    ``least - step + 1`` characters of the interval before it; the index finds where those stand
+    elsewhere, and the ranks of the suffix order say how far both sides go on alike.
     """
-    texts = [g[0] for g in groups]
     sizes = np.array([len(t) for t in texts])
     joined = "\x00" + "\x00".join(texts) + "\x00"
     raw = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32)
@@ -179,12 +163,12 @@ def shared_intervals(groups: list[tuple[str, list[tuple[int, int]]]], least: int
     letters, code = np.unique(raw, return_inverse=True)
     code = code.astype(np.int64) + 2  # 0 ends the text, 1 separates
     code[separator] = 1
-    index = FMIndex(code, len(letters) + 2)
     probe = least - step + 1
     places = [np.arange(-(-probe // step) * step, s + 1, step) for s in sizes]
     who = np.repeat(np.arange(len(texts)), [len(p) for p in places])
     if not len(who):
         return
+    index = FMIndex(code, len(letters) + 2)
     ends = np.concatenate(places) + begins[who]
     low, high = index.search(code, ends, probe, 2)
     found = np.maximum(high - low, 0)
@@ -192,96 +176,117 @@ def shared_intervals(groups: list[tuple[str, list[tuple[int, int]]]], least: int
     who, ends, low, found = who[several], ends[several], low[several], found[several]
     if not len(who):
         return
-    compare = np.where(code == 1, 0, code)
-    limit = 2_000_000
-    cuts = np.concatenate(([0], np.flatnonzero(np.diff(np.cumsum(found) // limit)) + 1, [len(found)]))
+    cuts = np.concatenate(([0], np.flatnonzero(np.diff(np.cumsum(found) // 1_000_000)) + 1, [len(found)]))
     for a, b in zip(cuts, cuts[1:]):
         n = found[a:b]
         x = np.repeat(np.arange(a, b), n)
         offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        y = index.order[low[x] + offset] + probe
+        y_end = index.order[low[x] + offset] + probe
         x_end, x_who = ends[x], who[x]
-        y_who = owner[np.minimum(y - 2, len(owner) - 1)]
+        y_who = owner[np.minimum(y_end - 2, len(owner) - 1)]
         use = x_who < y_who
-        x_end, x_who, y, y_who = x_end[use], x_who[use], y[use], y_who[use]
-        if not len(y):
+        x_end, x_who, y_end, y_who = x_end[use], x_who[use], y_end[use], y_who[use]
+        if not len(y_end):
             continue
-        left, right = _extent(compare, x_end, y)
+        x_at, y_at = x_end - begins[x_who], y_end - begins[y_who]
+        left = common_before(index.ranks, x_end, y_end, np.minimum(x_at, y_at))
+        right = common_after(index.ranks, x_end, y_end, np.minimum(sizes[x_who] - x_at, sizes[y_who] - y_at))
         use = left + right >= least
-        rows = np.unique(np.stack((x_who, x_end - left - begins[x_who], x_end + right - begins[x_who], y_who, y - left - begins[y_who]), axis=1)[use], axis=0)
-        yield from map(tuple, rows.tolist())
+        yield x_who[use], (x_at - left)[use], (x_at + right)[use], y_who[use], (y_at - left)[use]
 
 
 _SPAN = pa.schema([("doc_id_a", pa.int64()), ("doc_id_b", pa.int64())])
 _PART = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 
 
+def _crossed(xs: np.ndarray, ys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of two sets of documents, the smaller id first, none with itself."""
+    a, b = np.repeat(xs, len(ys)), np.tile(ys, len(xs))
+    use = a != b
+    return np.minimum(a, b)[use], np.maximum(a, b)[use]
+
+
+def _pairs_of(texts: list[str], docs: list[np.ndarray], least: int, step: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Document pairs of a shard, as arrays; pairs may come more than once."""
+    for text, ids in zip(texts, docs):
+        if len(text) >= least and len(ids) > 1:
+            for k in range(0, len(ids), 500):
+                a, b = _crossed(ids[k : k + 500], ids[k:])
+                yield a, b
+    if len(texts) < 2:
+        return
+    single = np.array([len(d) == 1 for d in docs])
+    first = np.array([d[0] for d in docs])
+    for x, _, _, y, _ in shared_intervals(texts, least, step):
+        both = np.unique(x * len(texts) + y)
+        x, y = both // len(texts), both % len(texts)
+        simple = single[x] & single[y]
+        a, b = first[x[simple]], first[y[simple]]
+        use = a != b
+        yield np.minimum(a, b)[use], np.maximum(a, b)[use]
+        for i, j in zip(x[~simple].tolist(), y[~simple].tolist()):
+            yield _crossed(docs[i], docs[j])
+
+
+def _parts_of(texts: list[str], members: list[list[tuple[int, int]]], docs: list[np.ndarray], least: int, step: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Intervals of documents that stand in another document of the shard, as arrays."""
+
+    def rows(k: int, low: int, high: int, other: int | None) -> list[tuple[int, int, int]]:
+        return [(d, s + low, s + high) for d, s in members[k] if d != other]
+
+    out: set[tuple[int, int, int]] = set()
+    for k, text in enumerate(texts):
+        if len(text) >= least and len(docs[k]) > 1:
+            out.update(rows(k, 0, len(text), None))
+    if len(texts) > 1:
+        single = np.array([len(d) == 1 for d in docs])
+        first = np.array([d[0] for d in docs])
+        for x, low, high, y, y_low in shared_intervals(texts, least, step):
+            use = ~(single[x] & single[y] & (first[x] == first[y]))
+            x, low, high, y, y_low = x[use], low[use], high[use], y[use], y_low[use]
+            for k, a, b, other in ((x, low, high, y), (y, y_low, y_low + high - low, x)):
+                # A context of one document does not care which other context it meets.
+                met = np.where(single[k] | ~single[other], -1, other)
+                for row in np.unique(np.stack((k, a, b, met), axis=1), axis=0).tolist():
+                    out.update(rows(*row[:3], None if row[3] < 0 else int(first[row[3]])))
+    if out:
+        yield tuple(np.array(c, dtype=np.int64) for c in zip(*out))
+
+
 def _shard(least: int, step: int, pairs: bool):
     """Search the contexts of a shard: document pairs, or intervals of each document that are shared."""
     schema = _SPAN if pairs else _PART
 
-    def solve(members: dict[str, list[tuple[int, int]]]) -> Iterator[tuple]:
-        groups = list(members.items())
-        out: set = set()
-
-        def across(xs: list, ys: list) -> Iterator[tuple]:
-            for a in xs:
-                for b in ys:
-                    if a != b:
-                        out.add((a, b) if a < b else (b, a))
-                if len(out) > 200_000:
-                    yield from out
-                    out.clear()
-
-        docs = [sorted({d for d, _ in m}) for _, m in groups]
-        for (text, member), ids in zip(groups, docs):
-            if len(text) >= least and len(ids) > 1:
-                if pairs:
-                    for k, a in enumerate(ids):
-                        out.update((a, b) for b in ids[k + 1 :])
-                        if len(out) > 200_000:
-                            yield from out
-                            out.clear()
-                else:
-                    out.update((d, s, s + len(text)) for d, s in member)
-        if len(groups) > 1:
-            for x, x_from, x_to, y, y_from in shared_intervals(groups, least, step):
-                if len(docs[x]) == 1 and docs[x] == docs[y]:
-                    continue
-                if pairs:
-                    yield from across(docs[x], docs[y])
-                    continue
-                only_x, only_y = (docs[k][0] if len(docs[k]) == 1 else None for k in (x, y))
-                out.update((d, s + x_from, s + x_to) for d, s in groups[x][1] if d != only_y)
-                out.update((d, s + y_from, s + y_from + x_to - x_from) for d, s in groups[y][1] if d != only_x)
-        yield from out
-
-    def emit(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        for row in rows:
-            held.append(row)
-            if len(held) >= 100_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*held), schema)], schema=schema)
-                held.clear()
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+    def solve(held: dict[str, list[tuple[int, int]]]) -> Iterator[pa.RecordBatch]:
+        texts, members = list(held), list(held.values())
+        docs = [np.unique(np.array([d for d, _ in m], dtype=np.int64)) for m in members]
+        found = _pairs_of(texts, docs, least, step) if pairs else _parts_of(texts, members, docs, least, step)
+        waiting, n = [], 0
+        for columns in found:
+            waiting.append(columns)
+            n += len(columns[0])
+            if n >= 100_000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*waiting)], schema=schema)
+                waiting, n = [], 0
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*waiting)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        members: dict[str, list[tuple[int, int]]] = {}
+        held: dict[str, list[tuple[int, int]]] = {}
         size = 0
         for table in key_groups(batches, 3):
             for doc_id, start, context in zip(*(table.column(k).to_pylist() for k in (3, 4, 5))):
-                at = members.get(context)
+                at = held.get(context)
                 if at is None:
-                    members[context] = [(doc_id, start)]
+                    held[context] = [(doc_id, start)]
                     size += len(context) + 1
                 else:
                     at.append((doc_id, start))
             if size >= SHARD_CHARS:
-                yield from emit(solve(members))
-                members, size = {}, 0
-        if members:
-            yield from emit(solve(members))
+                yield from solve(held)
+                held, size = {}, 0
+        if held:
+            yield from solve(held)
 
     return run
 
