@@ -67,9 +67,10 @@ def repetition_ratio(text: Column, n: int = 4) -> Column:
 
 def non_japanese_ratio(text: Column) -> Column:
     """Share of content characters that are not Japanese. White space and ASCII other than letters are neutral."""
-    content = F.regexp_replace(text, NEUTRAL, "")
-    bad = F.length(F.regexp_replace(content, JAPANESE, ""))
-    return F.when(F.length(content) > 0, bad / F.length(content)).otherwise(0.0)
+    content = F.regexp_replace(text, f"{NEUTRAL}+", "")
+    bad = F.length(F.regexp_replace(content, f"{JAPANESE}+", ""))
+    # No CASE: behind one, the common content would be computed again for each use.
+    return F.coalesce(F.try_divide(bad, F.length(content)), F.when(text.isNotNull(), 0.0))
 
 
 def hallucination_reason(text: Column, repetition: float, foreign: float) -> Column:
