@@ -1,0 +1,39 @@
+"""Queries that once read a part of their input only, against DuckDB over the whole of it."""
+
+import os
+
+import duckdb
+import pytest
+
+from turnweave.plans import catalogue
+
+SF = "/root/testdata/sf0.001"
+QUERIES, SQL = catalogue.queries(), catalogue.oracle_sql()
+
+
+def _overlay():
+    """The checking SQL without its bound on turns, over frames up to 30 behind the start of the last turn."""
+    sql = SQL["tok18_overlay"].replace(" FROM turns WHERE pos < 8", " FROM turns").replace("greatest(1, least(100, pos * 11 + length(text) % 30) - pos * 11)", "greatest(1, length(text) % 30)")
+    return sql.replace("SELECT doc_id, speaker, md5(", ", z AS (SELECT doc_id, max(pos) * 11 + 30 AS frames FROM turns GROUP BY 1) SELECT doc_id, speaker, md5(").replace("range(100)", "range(frames)").replace("JOIN d USING (doc_id, speaker)", "JOIN d USING (doc_id, speaker) JOIN z USING (doc_id)")
+
+
+#: The whole job in SQL, where the checking SQL has the bound too.
+WHOLE = {
+    "tok18_overlay": _overlay,
+}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+@pytest.mark.parametrize("name", sorted(WHOLE))
+def test_whole(spark, name):
+    duck = duckdb.connect()
+    for file in os.listdir(SF):
+        duck.execute(f"CREATE VIEW {file.split('.')[0]} AS SELECT * FROM read_parquet('{SF}/{file}')")
+    found = QUERIES[name](spark, SF)
+    columns = sorted(found.columns)
+    result = duck.execute(WHOLE[name]())
+    names = [c[0] for c in result.description]
+    assert sorted(names) == columns
+    want = sorted(str(tuple(r[names.index(c)] for c in columns)) for r in result.fetchall())
+    assert want
+    assert sorted(str(tuple(r[c] for c in columns)) for r in found.collect()) == want

@@ -421,11 +421,11 @@ def stm08_accumulate(spark, d):
 
 
 def tok18_overlay(spark, d):
-    """Turns laid over 100 frames a dialogue: ids are turn lengths, times run on evenly and overlap."""
+    """All turns laid over their dialogue's frames: ids are turn lengths, times run on evenly and overlap."""
     from turnweave.operators.streams import overlay_turns
 
-    t = turns(spark, d).where("pos < 8").select("doc_id", "speaker", F.col("pos").alias("turn"), (F.col("pos") * 11).alias("f0"), F.least(F.lit(100), F.col("pos") * 11 + F.length("text") % 30).alias("f1"), F.transform(F.sequence(F.lit(1), F.length("text") % 12 + 1), lambda k: F.col("pos") * 100 + k + 10).alias("ids"))
-    frames = t.select("doc_id").distinct().withColumn("n_frames", F.lit(100))
+    t = turns(spark, d).select("doc_id", "speaker", F.col("pos").alias("turn"), (F.col("pos") * 11).alias("f0"), (F.col("pos") * 11 + F.length("text") % 30).alias("f1"), F.transform(F.sequence(F.lit(1), F.length("text") % 12 + 1), lambda k: F.col("pos") * 100 + k + 10).alias("ids"))
+    frames = t.groupBy("doc_id").agg((F.max("turn") * 11 + 30).alias("n_frames"))
     return overlay_turns(t, frames, "doc_id").select("doc_id", "speaker", X.digest(F.col("text")).alias("digest"), "dropped")
 
 
