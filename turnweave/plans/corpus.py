@@ -261,7 +261,7 @@ def str07_persona_prompt(spark, d):
 
 
 def str09_first_score(spark, d):
-    return docs(spark, d).select("doc_id", T.first_score(F.substring("text", 1, 200), 2.5).alias("score"))
+    return docs(spark, d).select("doc_id", T.first_score(F.col("text"), 2.5).alias("score"))
 
 
 def str11_foreign_tags(spark, d):
