@@ -21,6 +21,7 @@ def _overlay():
 WHOLE = {
     "tok18_overlay": _overlay,
     "str09_first_score": lambda: SQL["str09_first_score"].replace("text[1:200]", "text"),
+    "bat02_typed_collate": lambda: SQL["bat02_typed_collate"].replace("text[1:64]", "text"),
 }
 
 

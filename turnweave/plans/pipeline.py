@@ -71,7 +71,7 @@ def jn10_both_directions(spark, d):
 
 def bat02_typed_collate(spark, d):
     """Batches of 16 texts as padded ids, mask (0 on padding) and labels whose prompt cells are ignored."""
-    code = F.transform(F.slice(T.chars(F.col("text")), 1, 64), lambda c: F.ascii(c) % 31_996 + 4)
+    code = F.transform(T.chars(F.col("text")), lambda c: F.ascii(c) % 31_996 + 4)
     rows = docs(spark, d).where("text <> ''").select(F.floor(F.col("doc_id") / 16).alias("batch_id"), "doc_id", code.alias("ids"), (F.col("doc_id") % 9).cast("int").alias("prompt_len"))
     out = B.collate_text(rows, "batch_id", "ids", "prompt_len")
     return out.select("batch_id", "doc_id", *[X.digest(F.col(c)).alias(c) for c in ("ids", "mask", "labels")])
