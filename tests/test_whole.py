@@ -17,11 +17,19 @@ def _overlay():
     return sql.replace("SELECT doc_id, speaker, md5(", ", z AS (SELECT doc_id, max(pos) * 11 + 30 AS frames FROM turns GROUP BY 1) SELECT doc_id, speaker, md5(").replace("range(100)", "range(frames)").replace("JOIN d USING (doc_id, speaker)", "JOIN d USING (doc_id, speaker) JOIN z USING (doc_id)")
 
 
+def _phases():
+    sql = SQL["stm04_phases"].replace("p AS (SELECT 0 AS phase", "p AS (SELECT user_id, 0 AS phase").replace("FROM documents))) AS k UNION ALL SELECT 1, frame FROM f WHERE user_id = 8)", "FROM documents))) AS k FROM (SELECT DISTINCT user_id FROM events) UNION ALL SELECT user_id, 1, frame FROM f)")
+    return sql.replace("SELECT CAST(phase AS INTEGER)", "SELECT user_id, CAST(phase AS INTEGER)").replace("OVER (ORDER BY phase, k)", "OVER (PARTITION BY user_id ORDER BY phase, k)")
+
+
 #: The whole job in SQL, where the checking SQL has the bound too.
 WHOLE = {
     "tok18_overlay": _overlay,
     "str09_first_score": lambda: SQL["str09_first_score"].replace("text[1:200]", "text"),
     "bat02_typed_collate": lambda: SQL["bat02_typed_collate"].replace("text[1:64]", "text"),
+    "stm04_phases": _phases,
+    "bat03_alternating": lambda: SQL["bat03_alternating"].replace(" FROM embeddings WHERE vec_id < 90", " FROM embeddings").replace("range(100)", "range(g.nb * 32 // a.n + 1)").replace("FROM a, (SELECT unnest(range(g.nb * 32 // a.n + 1)) AS i) c, g", "FROM a, g, unnest(range(g.nb * 32 // a.n + 1)) AS c(i)"),
+    "jn02_missing_both_ways": lambda: SQL["jn02_missing_both_ways"].replace(" WHERE speaker = 'overlap'", ""),
 }
 
 

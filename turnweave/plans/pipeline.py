@@ -57,7 +57,7 @@ def flt01_drop_columns(spark, d):
 
 
 def jn02_missing_both_ways(spark, d):
-    a, b = read(spark, d, "dialogue_tokens"), read(spark, d, "word_transcripts").where("speaker = 'overlap'")
+    a, b = read(spark, d, "dialogue_tokens"), read(spark, d, "word_transcripts")
     left = C.missing(a, b, "dialogue_id").select("dialogue_id", F.lit("right").alias("lacks"))
     return left.unionByName(C.missing(b, a, "dialogue_id").select("dialogue_id", F.lit("left").alias("lacks")))
 

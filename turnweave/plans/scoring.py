@@ -302,7 +302,7 @@ def met09_marker_mean(spark, d):
 
 
 def bat03_alternating(spark, d):
-    base, alt = docs(spark, d).select(F.col("doc_id").alias("id")), read(spark, d, "embeddings").where("vec_id < 90").select(F.col("vec_id").alias("id"))
+    base, alt = docs(spark, d).select(F.col("doc_id").alias("id")), read(spark, d, "embeddings").select(F.col("vec_id").alias("id"))
     return S.alternating_batches(base, alt, 3, 8, 4, seed=5)
 
 
@@ -393,11 +393,14 @@ def stm03_rechunk(spark, d):
 
 
 def stm04_phases(spark, d):
-    """Prompt frames first (whole ones only), then live frames, numbered on."""
-    a = read(spark, d, "documents").groupBy().agg(F.expr("sum(coalesce(n_chars, 0)) div 1920").alias("n"))
-    prompt = a.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("k")).select(F.lit(0).alias("phase"), "k")
-    live = stm03_rechunk(spark, d).where("user_id = 8").select(F.lit(1).alias("phase"), F.col("frame").alias("k"))
-    return number_rows(prompt.unionByName(live), [F.col("phase"), F.col("k")], "frame")
+    """Frames of each user's session: the prompt's first (whole ones only), then the live ones, numbered on."""
+    a = read(spark, d, "documents").groupBy().agg(F.expr("coalesce(sum(n_chars), 0) div 1920").alias("n"))
+    # A number of partitions that stays: the few rows of users become that many times the prompt's frames.
+    users = read(spark, d, "events").select("user_id").distinct().repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "user_id")
+    prompt = users.crossJoin(F.broadcast(a)).where("n > 0").select("user_id", F.lit(0).alias("phase"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("k"))
+    # Both phases count their frames from 0 without holes.
+    live = stm03_rechunk(spark, d).crossJoin(F.broadcast(a)).select("user_id", F.lit(1).alias("phase"), F.col("frame").alias("k"), (F.col("n") + F.col("frame")).alias("frame"))
+    return prompt.withColumn("frame", F.col("k")).unionByName(live)
 
 
 def stm05_text_emission(spark, d):
