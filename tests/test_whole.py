@@ -30,6 +30,7 @@ WHOLE = {
     "stm04_phases": _phases,
     "bat03_alternating": lambda: SQL["bat03_alternating"].replace(" FROM embeddings WHERE vec_id < 90", " FROM embeddings").replace("range(100)", "range(g.nb * 32 // a.n + 1)").replace("FROM a, (SELECT unnest(range(g.nb * 32 // a.n + 1)) AS i) c, g", "FROM a, g, unnest(range(g.nb * 32 // a.n + 1)) AS c(i)"),
     "jn02_missing_both_ways": lambda: SQL["jn02_missing_both_ways"].replace(" WHERE speaker = 'overlap'", ""),
+    "stm05_text_emission": lambda: SQL["stm05_text_emission"].replace("x[1:3]", "x"),
 }
 
 

@@ -407,7 +407,7 @@ def stm05_text_emission(spark, d):
     from turnweave.plans.token_streams import sides
 
     kept = F.filter(F.get("A", F.lit(0)), lambda x: ~x.isin(0, 3))
-    return sides(spark, d).select("row_id", F.size(kept).alias("n"), F.replace(F.concat(F.lit("▁"), F.array_join(F.transform(F.slice(kept, 1, 3), lambda x: x.cast("string")), "▁")), F.lit("▁"), F.lit(" ")).alias("text"))
+    return sides(spark, d).select("row_id", F.size(kept).alias("n"), F.replace(F.concat(F.lit("▁"), F.array_join(F.transform(kept, lambda x: x.cast("string")), "▁")), F.lit("▁"), F.lit(" ")).alias("text"))
 
 
 def stm07_idle_sessions(spark, d):
