@@ -133,14 +133,30 @@ def weighted_audio_loss(tokens: DataFrame, semantic: float = 100.0, acoustic: fl
     return tokens.agg((F.when(total > 0, F.sum(F.when(use, weight * F.col("loss")).otherwise(0.0)) / total).otherwise(0.0)).alias("audio_loss"))
 
 
-def annotation_problems(export: str = "segments") -> Column:
-    """Failures of an export's segments: bad channel, bad span, foreign tag; "no segments" where there are none."""
-    from turnweave.functions.text import foreign_tags
+def _channel_text(export: Column, channel: str) -> Column:
+    """A channel's transcripts in order of start, joined and brought to one form."""
+    from turnweave.functions.text import normalize_ja
+
+    own = F.filter(export, lambda s: s.channelId == channel)
+    placed = F.array_sort(F.transform(own, lambda s, i: F.struct(F.coalesce(s.startMs, F.lit(0)).alias("at"), i.alias("i"), F.coalesce(s.transcript, F.lit("")).alias("t"))))
+    return normalize_ja(F.array_join(F.transform(placed, lambda x: x.t), ""), lower=False)
+
+
+def annotation_problems(export: str = "segments", prelabel: str | None = None) -> Column:
+    """Failures of an export's segments, then what is doubtful about it; "no segments" alone where there are none.
+
+    Failures are bad channel, bad span, foreign tag. Doubtful are empty transcripts and, against the
+    segments of ``prelabel`` where they are not null, an unchanged text of both channels and fewer than half the segments.
+    """
+    from turnweave.functions.text import SPACES, foreign_tags
+
+    def bare(s: Column) -> Column:
+        return F.regexp_replace(F.coalesce(s.transcript, F.lit("")), rf"^[{SPACES}]+|[{SPACES}]+$", "")
 
     def of(s: Column, i: Column) -> Column:
         name = F.concat(F.lit("seg["), i.cast("string"), F.lit("] "))
         span = s.startMs.isNull() | s.endMs.isNull() | (s.endMs <= s.startMs)
-        text = F.coalesce(F.trim(s.transcript), F.lit(""))
+        text = bare(s)
         tags = F.transform(foreign_tags(text, ["(笑)", "(不明)"]), lambda t: F.concat(name, F.lit("illegal tag "), t))
         return F.concat(
             F.array_compact(F.array(
@@ -150,12 +166,29 @@ def annotation_problems(export: str = "segments") -> Column:
             F.when(text != "", tags).otherwise(F.array().cast("array<string>")),
         )
 
-    found = F.flatten(F.transform(export, of))
+    n, empty = F.size(export), F.size(F.filter(export, lambda s: bare(s) == ""))
+    doubts = [F.when(empty > 0, F.concat(empty.cast("string"), F.lit("/"), n.cast("string"), F.lit(" empty transcripts")))]
+    if prelabel is not None:
+        same = [_channel_text(F.col(export), c) == _channel_text(F.col(prelabel), c) for c in ("ch_1", "ch_2")]
+        doubts += [
+            F.when(same[0] & same[1], F.lit("identical to prelabel")),
+            F.when(F.col(prelabel).isNotNull() & (n < 0.5 * F.size(prelabel)), F.concat(F.lit("segment count dropped "), F.size(prelabel).cast("string"), F.lit("->"), n.cast("string"))),
+        ]
+    found = F.concat(F.flatten(F.transform(export, of)), F.array_compact(F.array(*doubts)))
     return F.when(F.coalesce(F.size(export), F.lit(0)) <= 0, F.array(F.lit("no segments"))).otherwise(found)
 
 
+#: Names of JavaScript prototypes, which no cell of a diagram may have as its id.
+RESERVED = """
+    constructor hasOwnProperty isPrototypeOf propertyIsEnumerable toLocaleString toString valueOf __proto__ __defineGetter__ __defineSetter__ __lookupGetter__ __lookupSetter__
+    length at concat copyWithin entries every fill filter find findIndex findLast findLastIndex flat flatMap forEach includes indexOf join keys lastIndexOf map pop push reduce
+    reduceRight reverse shift slice some sort splice unshift values with group groupBy charAt charCodeAt codePointAt endsWith match matchAll normalize padEnd padStart repeat replace
+    replaceAll search split startsWith substring substr toLowerCase toUpperCase trim trimEnd trimStart trimLeft trimRight apply bind call name
+""".split()
+
+
 def graph_problems(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(problem, id): duplicate ids, ids of odd characters, edge ends that are no node, missing parents, parent cycles.
+    """(problem, id): duplicate ids, ids of odd characters, reserved names, ids both node and edge, edge ends that are no node, missing parents, parent cycles.
 
     Cycles are found by pointer doubling: each round replaces a parent by its parent's parent, so a
     chain of any length ends at its root after a logarithm of rounds.
@@ -163,11 +196,14 @@ def graph_problems(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     duplicate = nodes.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.lit("duplicate id").alias("problem"), "id")
     odd = nodes.where("NOT id RLIKE '^[A-Za-z0-9_-]+$'").select(F.lit("odd id").alias("problem"), "id").distinct()
     ids = nodes.select("id").distinct()
+    cells = ids.union(edges.select("id"))
+    reserved = cells.where(F.col("id").isin(RESERVED)).select(F.lit("reserved name").alias("problem"), "id").distinct()
+    both = ids.join(edges.select("id"), "id", "left_semi").select(F.lit("vertex and edge").alias("problem"), "id")
     ends = edges.select("id", F.explode(F.array("source", "target")).alias("end"))
     dangling = ends.join(ids.withColumnRenamed("id", "end"), "end", "left_anti").select(F.lit("dangling edge").alias("problem"), "id").distinct()
     parented = nodes.where("parent IS NOT NULL")
     orphan = parented.join(ids.withColumnRenamed("id", "parent"), "parent", "left_anti").select(F.lit("missing parent").alias("problem"), "id")
-    return duplicate.unionByName(odd).unionByName(dangling).unionByName(orphan).unionByName(_cycles(parented))
+    return duplicate.unionByName(odd).unionByName(reserved).unionByName(both).unionByName(dangling).unionByName(orphan).unionByName(_cycles(parented))
 
 
 def _cycles(parented: DataFrame, most_rounds: int = 64) -> DataFrame:

@@ -281,10 +281,13 @@ def met06_rewards(spark, d):
 
 
 def met07_annotation_qa(spark, d):
-    """Exports made of a dialogue's first rows: each problem that a segment has."""
-    w = read(spark, d, "word_transcripts").where("word IS NOT NULL").select("dialogue_id", "row_id", F.when(F.col("speaker").isin("ch_1", "ch_2"), F.col("speaker")).when(F.col("speaker") == "A", "ch_1").when(F.col("speaker") == "B", "ch_2").alias("channelId"), F.round(F.col("start") * 1000).cast("bigint").alias("startMs"), F.round(F.col("end") * 1000).cast("bigint").alias("endMs"), F.col("word").alias("transcript"))
-    one = w.select("row_id", F.array(F.struct("channelId", "startMs", "endMs", "transcript")).alias("segments"))
-    return one.select("row_id", F.explode(S.annotation_problems()).alias("problem"))
+    """Exports made of all rows of a dialogue: each problem, against prelabels that are unchanged, three times as long, absent or of another text."""
+    w = read(spark, d, "word_transcripts").select("dialogue_id", "row_id", F.when(F.col("speaker").isin("ch_1", "ch_2"), F.col("speaker")).when(F.col("speaker") == "A", "ch_1").when(F.col("speaker") == "B", "ch_2").alias("channelId"), F.round(F.col("start") * 1000).cast("bigint").alias("startMs"), F.round(F.col("end") * 1000).cast("bigint").alias("endMs"), F.col("word").alias("transcript"))
+    one = w.groupBy("dialogue_id").agg(F.array_sort(F.collect_list(F.struct("row_id", "channelId", "startMs", "endMs", "transcript"))).alias("segments"))
+    kind = F.crc32("dialogue_id") % 4
+    other = F.transform("segments", lambda s: s.withField("transcript", F.concat(F.coalesce(s.transcript, F.lit("")), F.lit("x"))))
+    pre = F.when(kind == 0, F.col("segments")).when(kind == 1, F.concat("segments", "segments", "segments")).when(kind == 2, other)
+    return one.withColumn("prelabel", pre).select("dialogue_id", F.explode(S.annotation_problems("segments", "prelabel")).alias("problem"))
 
 
 def met08_graph_lint(spark, d):
