@@ -36,6 +36,13 @@ def test_prefilter_never_drops_a_change(spark):
             assert all(consistent_form(r.t, lang) == r.t for lang in ("en", "ru", "ja", "de"))
 
 
+@pytest.mark.parametrize("end", ["\n", "\r", "\r\n", "\x85", "\u2028", "\u2029"])
+def test_a_line_terminator_at_the_end_is_a_change(spark, transcripts, end):
+    words, _, dialogues = transcripts([(1, "d", "A", f"hello{end}", 0.0, 1.0), (2, "d", "A", "hello", 1.0, 2.0)])
+    assert consistent_form(f"hello{end}", "en") != f"hello{end}"
+    assert [r.row_id for r in changed_rows(words, dialogues).collect()] == [1]
+
+
 def test_rows(spark, transcripts):
     words, _, dialogues = transcripts([(1, "d", "A", "wіth", 0.0, 1.0), (2, "d", None, "with", None, None), (3, "d", "A", None, 0.0, 1.0), (4, "r", "?", "cop", 1.0, 0.0), (5, None, "A", "ｘ", 0.0, 1.0)], {"r": "ru"})
     assert {r.row_id for r in changed_rows(words, dialogues).collect()} == {1, 4, 5}

@@ -149,7 +149,7 @@ def may_change(text: Column) -> Column:
     """
     twins = "".join(ch for ch in AS_CYRILLIC if ch.isascii())
     token_of_twins = rf"(^|[^A-Za-z])[{twins}]+([^A-Za-z]|$)"
-    return ~(text.rlike(r"^[\x20-\x7E]*$") & ~text.rlike(token_of_twins))
+    return ~(text.rlike(r"^[\x20-\x7E]*\z") & ~text.rlike(token_of_twins))
 
 
 def languages(dialogues: DataFrame) -> DataFrame:
