@@ -399,7 +399,7 @@ def stm04_phases(spark, d):
     """Frames of each user's session: the prompt's first (whole ones only), then the live ones, numbered on."""
     a = read(spark, d, "documents").groupBy().agg(F.expr("coalesce(sum(n_chars), 0) div 1920").alias("n"))
     # A number of partitions that stays: the few rows of users become that many times the prompt's frames.
-    users = read(spark, d, "events").select("user_id").distinct().repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "user_id")
+    users = read(spark, d, "events").select("user_id").distinct().repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     prompt = users.crossJoin(F.broadcast(a)).where("n > 0").select("user_id", F.lit(0).alias("phase"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("k"))
     # Both phases count their frames from 0 without holes.
     live = stm03_rechunk(spark, d).crossJoin(F.broadcast(a)).select("user_id", F.lit(1).alias("phase"), F.col("frame").alias("k"), (F.col("n") + F.col("frame")).alias("frame"))
