@@ -42,8 +42,22 @@ def test_limits_offsets_and_stitching(spark, transcripts):
     tables = transcripts(rows)
     whole = pieces.split_transcripts(*tables, range_ms=10**9).collect()
     _check(whole, rows, 50_000, 600)
-    for width in (53_000, 61_000, 200_000):
-        assert {tuple(r) for r in pieces.split_transcripts(*tables, range_ms=width).collect()} == {tuple(r) for r in whole}
+    for width, span in ((53_000, 2), (61_000, 64), (61_000, 3), (200_000, 1)):
+        assert {tuple(r) for r in pieces.split_transcripts(*tables, range_ms=width, span=span).collect()} == {tuple(r) for r in whole}
+
+
+def test_holes_between_ranges_and_spans(spark, transcripts):
+    rows = _dialogue("a", 60, 4) + [(900 + i, d, c, w, s + 700.0, e + 700.0) for i, d, c, w, s, e in _dialogue("a", 60, 5)] + [(2_000, "a", "B", "end", 3_000.0, 3_001.0)]
+    tables = transcripts(rows)
+    whole = pieces.split_transcripts(*tables, range_ms=10**9).collect()
+    _check(whole, rows, 50_000, 600)
+    for width, span in ((60_000, 2), (51_000, 7)):
+        assert {tuple(r) for r in pieces.split_transcripts(*tables, range_ms=width, span=span).collect()} == {tuple(r) for r in whole}
+
+
+def test_only_numbers_of_ranges_gather_by_dialogue(spark, transcripts):
+    plan = pieces.split_transcripts(*transcripts(_dialogue("a", 30, 1)))._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and plan.count("MapInArrow") == 4  # composed, followed twice, emitted; the ranges are written before
 
 
 def test_single_words_beyond_a_limit_and_odd_rows(spark, transcripts):

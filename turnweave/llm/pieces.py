@@ -3,31 +3,36 @@
 A transcript is read in ranges of time, each with a halo of one limit on either side. A worker finds,
 in its range alone, where a piece that begins at a given word ends, for every word at which a piece
 may begin there: the first of the range, or any that a piece of the range before can reach. What it
-emits is a boundary table, one row per range: entry to exit, and the pieces on the way. Stitching
-follows exits to entries along a transcript's ranges, one row at a time, while prefix sums of words
-and characters give each piece its offsets. Nothing ever holds a whole transcript.
+emits is a boundary table, one row per range: entry to exit, how many pieces lie between, and the pieces
+that may begin there. Stitching moves numbers only. Boundary tables of neighbouring ranges compose into
+one of the same kind, so spans of ranges are composed first, then the spans of a transcript are
+followed, and prefix sums of pieces, words and characters go back down to the ranges; each range emits
+its pieces where they lie. Nothing ever holds a whole transcript, and no text leaves its range.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from turnweave.llm.confusables import Spelling
 from turnweave.llm.forms import Forms
 from turnweave.llm.words import KEYS, ORDER, blocked, delivered_once
-from turnweave.session import map_groups
+from turnweave.session import checkpointed, map_groups
 
-RANGE_MS = 3_600_000
+#: Width of a range, and ranges composed at once.
+RANGE_MS, SPAN = 1_800_000, 64
 _L, _S, _I = pa.list_(pa.int64()), pa.list_(pa.string()), pa.int64()
 _TABLE = pa.schema(
-    [("dialogue_id", pa.string()), ("block", _I), ("n_words", _I), ("n_chars", _I), ("exits", _L), ("pos", _L), ("next", _L), ("first_row", _L), ("new_row", _L), ("last_row", _L)]
+    [("dialogue_id", pa.string()), ("block", _I), ("n_words", _I), ("n_chars", _I), ("exits", _L), ("counts", _L), ("pos", _L), ("next", _L), ("first_row", _L), ("new_row", _L), ("last_row", _L)]
     + [("start_ms", _L), ("end_ms", _L), ("words", _L), ("chars", _L), ("chars_before", _L), ("new_chars", _L), ("cut", _S), ("text", _S)]
 )
 _TABLE_DDL = (
-    "dialogue_id string, block bigint, n_words bigint, n_chars bigint, exits array<bigint>, pos array<bigint>, next array<bigint>, first_row array<bigint>, new_row array<bigint>, last_row array<bigint>, "
+    "dialogue_id string, block bigint, n_words bigint, n_chars bigint, exits array<bigint>, counts array<bigint>, pos array<bigint>, next array<bigint>, first_row array<bigint>, new_row array<bigint>, last_row array<bigint>, "
     "start_ms array<bigint>, end_ms array<bigint>, words array<bigint>, chars array<bigint>, chars_before array<bigint>, new_chars array<bigint>, cut array<string>, text array<string>"
 )
 _PIECE = pa.schema(
@@ -84,11 +89,11 @@ class Range:
         return c, "limit"
 
 
-def _tables(max_ms: int, max_chars: int, overlap_ms: int, pause_ms: int, range_ms: int, with_text: bool):
+def _tables(max_ms: int, max_chars: int, overlap_ms: int, pause_ms: int, range_ms: int, with_text: bool, spelling: Spelling):
     state: dict = {}
 
     def kernel(table: pa.Table) -> Iterator[tuple]:
-        forms = state.setdefault("forms", Forms())
+        forms = state.setdefault("forms", Forms(spelling))
         rows = list(delivered_once(table, forms))
         mine = [k for k, r in enumerate(rows) if r[6]]
         if not mine:
@@ -97,7 +102,7 @@ def _tables(max_ms: int, max_chars: int, overlap_ms: int, pause_ms: int, range_m
         block = table.column(1)[0].as_py()
         view = Range(rows, max_ms, max_chars, overlap_ms, pause_ms)
         reachable = sum(rows[k][0] < block * range_ms + max_ms for k in range(lo, hi)) if lo else 0
-        exit_of: dict[int, int] = {}
+        exit_of: dict[int, tuple[int, int]] = {}  # word to the exit of its path and the pieces up to there
         nodes: dict[int, tuple] = {}
         for entry in range(lo, lo + reachable + 1):
             path, b = [], entry
@@ -107,14 +112,16 @@ def _tables(max_ms: int, max_chars: int, overlap_ms: int, pause_ms: int, range_m
                     nodes[b] = (a, *view.ends(a, b))
                 path.append(b)
                 b = nodes[b][1]
-            leaves = b - hi if b >= hi else exit_of[b]
-            for p in path:
-                exit_of[p] = leaves
-        exits = [exit_of.get(e, 0) for e in range(lo, lo + reachable + 1)]
+            leaves, count = (b - hi, 0) if b >= hi else exit_of[b]
+            for p in reversed(path):
+                count += 1
+                exit_of[p] = (leaves, count)
+        entries = [exit_of.get(e, (e - hi if e >= hi else 0, 0)) for e in range(lo, lo + reachable + 1)]
+        exits, counts = [e for e, _ in entries], [n for _, n in entries]
         known = sorted(nodes)
         spans = [(b, *nodes[b]) for b in known]
         yield (
-            table.column(0)[0].as_py(), block, hi - lo, view.before[hi] - view.before[lo], exits,
+            table.column(0)[0].as_py(), block, hi - lo, view.before[hi] - view.before[lo], exits, counts,
             [b - lo for b in known], [c - lo for _, _, c, _ in spans],
             [rows[a][2] for _, a, _, _ in spans], [rows[b][2] for b in known], [rows[c - 1][2] for _, _, c, _ in spans],
             [rows[a][0] for _, a, _, _ in spans], [max(r[1] for r in rows[a:c]) for _, a, c, _ in spans],
@@ -126,30 +133,76 @@ def _tables(max_ms: int, max_chars: int, overlap_ms: int, pause_ms: int, range_m
     return kernel
 
 
-def _stitched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Follow exits to entries along each dialogue's ranges; the state is one entry and three prefix sums."""
-    dialogue, expected, entry, piece, words, chars = None, None, 0, 0, 0, 0
-    started = False
+_SPAN = pa.schema([("dialogue_id", pa.string()), ("span", _I), ("first", _I), ("last", _I), ("n_words", _I), ("n_chars", _I), ("exits", _L), ("counts", _L)])
+_SPAN_DDL = "dialogue_id string, span bigint, first bigint, last bigint, n_words bigint, n_chars bigint, exits array<bigint>, counts array<bigint>"
+_START = pa.schema([("dialogue_id", pa.string()), ("at", _I), ("entry", _I), ("piece", _I), ("words", _I), ("chars", _I)])
+_START_DDL = "dialogue_id string, at bigint, entry bigint, piece bigint, words bigint, chars bigint"
+
+
+def _composed(table: pa.Table) -> Iterator[tuple]:
+    """The boundary table of a span of ranges from those of its ranges, in order of the ranges."""
+    dialogue, span = table.column(0)[0].as_py(), table.column(1)[0].as_py()
+    blocks, words, chars = (table.column(k).to_pylist() for k in (2, 4, 5))
+    at = count = None
+    expected = blocks[0]
+    for block, exits, counts in zip(blocks, table.column(6), table.column(7)):
+        exits, counts = (np.array(x.as_py(), dtype=np.int64) for x in (exits, counts))
+        if at is None:
+            at, count = np.arange(len(exits)), np.zeros(len(exits), dtype=np.int64)
+        elif block != expected:  # a hole: what comes next begins afresh
+            at = np.zeros_like(at)
+        here = np.minimum(at, len(exits) - 1)
+        at, count, expected = exits[here], count + counts[here], block + 1
+    yield dialogue, span, blocks[0], blocks[-1], sum(words), sum(chars), at.tolist(), count.tolist()
+
+
+def _followed(table: pa.Table) -> Iterator[tuple]:
+    """Where each row of a group is entered, with the pieces, words and characters before it.
+
+    Rows are ranges or spans in order; the group's own start rides on each of them.
+    """
+    dialogue = table.column(0)[0].as_py()
+    rows = zip(*(table.column(k).to_pylist() for k in range(2, table.num_columns)))
+    entry = piece = words = chars = expected = None
+    for first, last, n_words, n_chars, exits, counts, entry0, piece0, words0, chars0 in rows:
+        if entry is None:
+            entry, piece, words, chars = entry0, piece0, words0, chars0
+        elif first != expected:
+            entry = 0
+        yield dialogue, first, entry, piece, words, chars
+        at = min(entry, len(exits) - 1)
+        entry, piece, words, chars, expected = exits[at], piece + counts[at], words + n_words, chars + n_chars, last + 1
+
+
+def _starts(tables: DataFrame, span: int) -> DataFrame:
+    """(dialogue_id, block, entry, piece, words, chars) of every range. Only numbers of ranges are moved."""
+    numbers = tables.select("dialogue_id", F.floor(F.col("block") / span).alias("span"), F.col("block").alias("first"), F.col("block").alias("last"), "n_words", "n_chars", "exits", "counts")
+    zero = [F.lit(0).cast("bigint").alias(c) for c in ("entry", "piece", "words", "chars")]
+    spans = map_groups(numbers, ["dialogue_id", "span"], ["first"], _composed, _SPAN_DDL, _SPAN)
+    body = ["first", "last", "n_words", "n_chars", "exits", "counts"]
+    whole = spans.select("dialogue_id", F.lit(0).cast("bigint").alias("part"), *body, *zero)
+    entered = map_groups(whole, ["dialogue_id", "part"], ["first"], _followed, _START_DDL, _START)
+    # A span's start is known by the span that holds its first range; a hole before it was seen above.
+    at_span = entered.select(F.col("dialogue_id").alias("_d"), F.floor(F.col("at") / span).alias("_s"), "entry", "piece", "words", "chars")
+    inside = numbers.join(at_span, F.col("dialogue_id").eqNullSafe(F.col("_d")) & (F.col("span") == F.col("_s"))).select("dialogue_id", "span", *body, "entry", "piece", "words", "chars")
+    return map_groups(inside, ["dialogue_id", "span"], ["first"], _followed, _START_DDL, _START)
+
+
+def _emitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pieces of each range on the path from its entry, with their offsets in the transcript."""
     for batch in batches:
         out: list[tuple] = []
         for row in batch.to_pylist():
-            if not started or row["dialogue_id"] != dialogue:
-                started, dialogue, entry, piece, words, chars = True, row["dialogue_id"], 0, 0, 0, 0
-            elif row["block"] != expected:
-                entry = 0
             at = {p: k for k, p in enumerate(row["pos"])}
-            b = entry
+            b, piece = row["entry"], row["piece"]
             while b < row["n_words"]:
                 k = at[b]
                 out.append(
-                    (dialogue, piece, row["first_row"][k], row["new_row"][k], row["last_row"][k], row["start_ms"][k], row["end_ms"][k], row["words"][k], row["chars"][k])
-                    + (words + b, chars + row["chars_before"][k], row["new_chars"][k], row["cut"][k], row["text"][k])
+                    (row["dialogue_id"], piece, row["first_row"][k], row["new_row"][k], row["last_row"][k], row["start_ms"][k], row["end_ms"][k], row["words"][k], row["chars"][k])
+                    + (row["words_before"] + b, row["chars_before_range"] + row["chars_before"][k], row["new_chars"][k], row["cut"][k], row["text"][k])
                 )
                 piece += 1
                 b = row["next"][k]
-            entry = row["exits"][min(entry, len(row["exits"]) - 1)]
-            expected = row["block"] + 1
-            words, chars = words + row["n_words"], chars + row["n_chars"]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out), _PIECE)], schema=_PIECE)
 
@@ -164,6 +217,8 @@ def split_transcripts(
     pause_ms: int = 300,
     range_ms: int = RANGE_MS,
     with_text: bool = True,
+    span: int = SPAN,
+    spelling: Spelling | None = None,
 ) -> DataFrame:
     """Ordered pieces of every transcript, each within both limits.
 
@@ -177,9 +232,13 @@ def split_transcripts(
     if not 0 < overlap_ms < max_ms < range_ms:
         raise ValueError("overlap_ms < max_ms < range_ms must hold")
     rows = blocked(words, roles, dialogues, range_ms, halo_ms=max_ms)
-    tables = map_groups(rows, KEYS, ORDER, _tables(max_ms, max_chars, overlap_ms, pause_ms, range_ms, with_text), _TABLE_DDL, _TABLE, flush=2_000)
-    ordered = tables.repartition("dialogue_id").sortWithinPartitions("dialogue_id", "block")
-    return ordered.mapInArrow(_stitched, _PIECE_DDL)
+    kernel = _tables(max_ms, max_chars, overlap_ms, pause_ms, range_ms, with_text, spelling or Spelling())
+    # Read twice below, for the numbers and for the pieces.
+    tables = checkpointed(map_groups(rows, KEYS, ORDER, kernel, _TABLE_DDL, _TABLE, flush=2_000))
+    starts = _starts(tables, span).select(
+        F.col("dialogue_id").alias("_d"), F.col("at").alias("_b"), "entry", "piece", F.col("words").alias("words_before"), F.col("chars").alias("chars_before_range")
+    )
+    return tables.join(starts, F.col("dialogue_id").eqNullSafe(F.col("_d")) & (F.col("block") == F.col("_b"))).drop("_d", "_b").mapInArrow(_emitted, _PIECE_DDL)
 
 
 def oversized(pieces: DataFrame, max_ms: int = 50_000, max_chars: int = 600) -> DataFrame:

@@ -44,11 +44,12 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_turns(spark: SparkSession, d: str) -> DataFrame:
-    """Turns with their text, split at pauses of a calibrated length as well: the longest 2 % of silences, in whole 100 ms."""
+    """Turns with their text, rolled-on captions cut back (within 10 s) and split at pauses too: the longest 2 % of a language's silences, in whole 100 ms."""
     fillers = turns.filler_forms(table(spark, d, "fillers"))
     words, roles, dialogues = _words(spark, d)
-    pause = turns.calibrated_pause(words, roles, 0.98).first().pause_ms
-    return turns.speaker_turns(words, roles, dialogues, fillers, pause_ms=round((pause or 2_000), -2))
+    # One number per language; languages are a closed vocabulary.
+    found = {r.lang: round(r.pause_ms, -2) for r in turns.calibrated_pauses(words, roles, dialogues, 0.98).collect()}
+    return turns.speaker_turns(words, roles, dialogues, fillers, pauses={None: 2_000} | found, rolling_ms=10_000)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from turnweave.functions.labels import to_ms, usable
 from turnweave.llm.forms import Forms, languages
-from turnweave.session import small_enough
 
 #: Width of a block of a dialogue. A dialogue of any length is spread over its blocks.
 BLOCK_MS = 600_000
@@ -26,29 +25,22 @@ def _placed(rows: DataFrame, block_ms: int, halo_ms: int) -> DataFrame:
     return rows.withColumn("block", F.explode(F.sequence(first, F.floor((start + halo_ms) / block_ms))))
 
 
-def blocked(
-    words: DataFrame, roles: DataFrame, dialogues: DataFrame, block_ms: int = BLOCK_MS, halo_ms: int = 0, broadcast_bytes: int | None = None
-) -> DataFrame:
-    """Usable rows with their dialogue's language and block, in the column order the kernels read.
+def blocked(words: DataFrame, roles: DataFrame, dialogues: DataFrame, block_ms: int = BLOCK_MS, halo_ms: int = 0) -> DataFrame:
+    """Usable rows with their block and the row of their dialogue's language, in the column order the kernels read.
 
     With a halo, rows within ``halo_ms`` of a neighbouring block stand in that block too, ``own`` false.
-    Where the languages are small enough to broadcast (by default as the session says), they are joined
-    to the rows. Beyond that they do not cost a shuffle of the words either: each block gets one more
-    row with the language, without a start, and the one shuffle into blocks brings both together.
+    The language costs no shuffle of the words and no broadcast of the dialogues: each block gets one
+    more row with the language, without a start, and the one shuffle into blocks brings both together.
     """
     rows = words.select("row_id", "dialogue_id", "speaker", "word", "start", "end")
     body = _placed(usable(rows, roles), block_ms, halo_ms)
     own = F.floor(F.col("start_ms") / block_ms) == F.col("block")
     columns = ["dialogue_id", "block", "start_ms", "end_ms", "row_id", "channel", "word"]
-    langs = languages(dialogues)
-    if broadcast_bytes is None:
-        broadcast_bytes = words.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    if small_enough(langs, broadcast_bytes):
-        return body.join(langs, "dialogue_id", "left").select(*columns, F.col("_lang").alias("lang"), own.alias("own"))
     starts = words.select("dialogue_id", to_ms(F.col("start")).alias("start_ms")).where("start_ms IS NOT NULL")
-    blocks = _placed(starts, block_ms, halo_ms).select("dialogue_id", "block").distinct()
+    # A block's halo reaches into blocks that have words of their own or gives them nothing to emit.
+    blocks = _placed(starts, block_ms, 0).select("dialogue_id", "block").distinct()
     empty = {c: F.lit(None).cast(body.schema[c].dataType).alias(c) for c in columns[2:]}
-    heads = blocks.join(langs, "dialogue_id").select("dialogue_id", "block", *empty.values(), F.col("_lang").alias("lang"), F.lit(False).alias("own"))
+    heads = blocks.join(languages(dialogues), "dialogue_id").select("dialogue_id", "block", *empty.values(), F.col("_lang").alias("lang"), F.lit(False).alias("own"))
     return body.select(*columns, F.lit(None).cast("string").alias("lang"), own.alias("own")).unionByName(heads)
 
 
@@ -64,12 +56,43 @@ def delivered_once(table: pa.Table, forms: Forms) -> Iterator[tuple]:
         if start is None:  # the block's language, first as it has no start
             spoken = lang
             continue
-        lang = spoken if lang is None else lang
-        form = (forms(word, lang) or "").strip(" ")
+        form = (forms(word, spoken) or "").strip(" ")
         if start != at:
             at = start
             seen.clear()
         key = (end, channel, form)
         if key not in seen:
             seen.add(key)
-            yield start, end, row_id, channel, form, lang, mine
+            yield start, end, row_id, channel, form, spoken, mine
+
+
+def rolled_on(rows: list[tuple], tolerance_ms: int, least: int = 2) -> list[bool]:
+    """Which of a block's rows (as ``delivered_once`` gives them) repeat what their channel has just delivered.
+
+    A caption that rolls on begins with the end of the one before. In a channel's words that is a suffix
+    of what stands that equals the prefix of what follows, word by word in consistent form (case aside),
+    with times of its own: the repeated words are ``least`` or more, not all alike ("no no"), and all of
+    both lies within ``tolerance_ms``. A single word is a repeat only if it overlaps in time with an equal
+    one of its channel. The verdict on a word depends on the rows within the tolerance alone, so blocks
+    with a halo of that length give the same as the whole dialogue.
+    """
+    out = [False] * len(rows)
+    for channel in {r[3] for r in rows}:
+        at = [k for k, r in enumerate(rows) if r[3] == channel]
+        forms = [rows[k][4].lower() for k in at]
+        last: dict[str, list[int]] = {}
+        for i, k in enumerate(at):
+            start = rows[k][0]
+            places = last.setdefault(forms[i], [])
+            while places and start - rows[at[places[0]]][0] > tolerance_ms:
+                places.pop(0)
+            for j in places:
+                if start < rows[at[j]][1] and forms[i]:
+                    out[k] = True
+                # Words j..i-1 stand; do the next ones repeat them?
+                n = i - j
+                if n >= least and i + n <= len(at) and forms[j:i] == forms[i : i + n] and rows[at[i + n - 1]][0] - rows[at[j]][0] <= tolerance_ms and len(set(forms[j:i])) > 1:
+                    for x in at[i : i + n]:
+                        out[x] = True
+            places.append(i)
+    return out
