@@ -20,8 +20,10 @@ def test_stems(spark):
     assert {r.s: r.t for r in rows} == cases
 
 
-@pytest.mark.parametrize("margin,k", [(0.02, 800), (0.0, 8)])
-def test_cutoffs_are_exact(spark, margin, k):
+@pytest.mark.parametrize("error,k", [(None, 800), (0.0, 8)])
+def test_cutoffs_are_exact(spark, monkeypatch, error, k):
+    if error is not None:  # a bracket that misses
+        monkeypatch.setattr(cutoff, "rank_error", lambda k: error)
     rng, rows = random.Random(2), []
     for i in range(6_000):
         source = rng.choice(["hot_a", "hot_a", "hot_a", "b_c", "d"])
@@ -45,7 +47,7 @@ def test_cutoffs_are_exact(spark, margin, k):
         want[source] = (cut, len(values), len(chosen))
         keep |= chosen
     records = cutoff.counted(spark.createDataFrame(rows, SCHEMA))
-    found = cutoff.cutoffs(records, 80, k, margin)
+    found = cutoff.cutoffs(records, 80, k)
     assert {r.source: (r.cutoff, r.n_records, r.n_kept) for r in found.collect()} == want
     assert {r.stem for r in cutoff.kept(records, found).collect()} == keep
 
@@ -53,3 +55,22 @@ def test_cutoffs_are_exact(spark, margin, k):
 def test_empty(spark):
     records = cutoff.counted(spark.createDataFrame([], SCHEMA))
     assert cutoff.cutoffs(records).count() == 0
+
+
+def test_a_hot_source_is_dealt_out(spark):
+    """70 % of the rows in one source: records meet what is known of it by source and salt only."""
+    rows = spark.range(4_000).select(F.when(F.col("id") % 10 < 7, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 50)).alias("source"), F.col("id").cast("string").alias("stem"), (F.col("id") % 997 / 997.0).alias("cer"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = cutoff.cutoffs(rows)
+        kept = cutoff.kept(rows, found)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin [source") == 3 and plan.count(", _salt") >= 3
+        for line in plan.splitlines():
+            if "Join" in line:
+                assert "_salt" in line
+        per = {r.source: r for r in found.collect()}
+        assert per["hot"].n_records == 2_800 and 2_240 <= per["hot"].n_kept < 2_250
+        assert kept.count() == sum(r.n_kept for r in per.values())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
