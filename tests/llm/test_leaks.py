@@ -36,8 +36,34 @@ def test_against_brute_force(spark, monkeypatch):
     assert len(want) > 20
     found = leaks.leaked_items(leaks.leaked_passages(documents, benchmark)).collect()
     assert {tuple(r) for r in found} == want and len(found) == len(want)
-    monkeypatch.setattr(leaks, "BROADCAST_CHARS", 0)
+    monkeypatch.setattr(leaks, "BROADCAST_DOCS", 0)
     monkeypatch.setattr(leaks, "SEGMENT", 100)
     assert {tuple(r) for r in leaks.leaked_items(leaks.leaked_passages(documents, benchmark)).collect()} == want
     assert leaks.leaked_passages(documents.limit(0), benchmark).count() == 0
     assert leaks.leaked_passages(documents, benchmark.limit(0)).count() == 0
+    index = leaks.build_index(documents)
+    postings = {(t, d, p) for t, ds, ps in map(tuple, index.collect()) for d, p in zip(ds, ps)}
+    assert len(postings) == sum(len(r) // 20 for _, t in docs if len(r := leaks.reduce_text(t or "")) >= 60)  # every token of every document
+    assert {tuple(r) for r in leaks.leaked_items(leaks.leaked_passages(documents, benchmark, index=index)).collect()} == want
+
+
+def test_proximity_against_brute_force(spark):
+    rng = random.Random(9)
+    item = "".join(rng.choice("abcdefgh") for _ in range(300))
+    docs = []
+    for d in range(30):
+        # Tokens of the item, aligned to the document's tokens, between others.
+        parts = [item[k : k + 20] if rng.random() < 0.3 else "".join(rng.choice("xyz") for _ in range(20)) for k in [rng.randrange(280) for _ in range(60)]]
+        docs.append((d, "".join(parts)))
+    docs += [(30, None), (31, ""), (32, "short")]
+    documents = spark.createDataFrame(docs, "doc_id long, text string")
+    items = spark.createDataFrame([(1, item, "x"), (2, None, "x"), (3, "ab", "x")], "item_id long, text string, doc_id string")
+    want = {}
+    terms = {item[k : k + 20] for k in range(281)}
+    for d, t in docs:
+        places = [p for p in range(0, len(t or "") - 19, 20) if len(t) >= 60 and t[p : p + 20] in terms]
+        sizes = [(len({t[q : q + 20] for q in places if p <= q <= p + 380}), -p) for p in places]
+        if sizes and max(sizes)[0] >= 3:
+            want[d] = (1, max(sizes)[0], -max(sizes)[1])
+    found = {r.doc_id: (r.item_id, r.n_near, r.start) for r in leaks.proximity(leaks.build_index(documents), items).collect()}
+    assert found == want and len(want) > 10

@@ -1,12 +1,17 @@
 """Evaluation texts leaking into training text (problem 8): a distributed positional inverted index.
 
 Both sides are reduced to letters and digits. Documents are cut into tokens of ``gram`` characters that
-lie end to end, and the index holds, per token, the documents and positions where it stands. A shared
-passage of ``least`` characters covers at least two neighbouring tokens of the document in full, at
-some offset of the item. So each item is a set of phrases of two terms, one per offset; a phrase is
-answered from the list of its rarer term, shifted by the offset, and intersected with the other list
-at the neighbouring position. What remains is a candidate with a fixed diagonal; the characters next
-to the two tokens, stored with the posting, decide exactly.
+lie end to end, and the index holds, for every token of every document, the documents and positions
+where it stands. It is written once, in segments: each holds the lists of about a million characters
+of text, by term, so building it moves nothing, no list is longer than its segment, and any set of test
+items can be asked of it (``build_index``, ``leaked_passages(index=...)``).
+
+A shared passage of ``least`` characters covers at least two neighbouring tokens of the document in
+full, at some offset of the item. So each item is a set of phrases of two terms, one per offset; a
+phrase is answered from the list of its rarer term, shifted by the offset, and intersected with the
+other list at the neighbouring position. What remains is a candidate with a fixed diagonal, which the
+characters of the document decide exactly. Proximity matches need no phrase: tokens of one item that
+stand near each other in a document, in any order.
 """
 
 from __future__ import annotations
@@ -17,16 +22,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnweave.session import checkpointed
 
 LEAST, GRAM = 60, 20
-#: Most characters of all items together for which their terms are broadcast; beyond that they are joined.
-BROADCAST_CHARS = 8_000_000
-#: Characters hashed at once.
+#: Characters of a segment of the index.
 SEGMENT = 1_000_000
+#: Parts that the postings of a term are dealt into where they meet the items.
+SALTS = 16
+#: Documents with candidates up to which their list is broadcast to the texts (24 bytes each); beyond that both are shuffled.
+BROADCAST_DOCS = 200_000
 
 _OTHER = re.compile(r"[\W_]+")
 
@@ -63,28 +70,38 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
 
 
-_POSTING = pa.schema([("term", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int64()), ("before", pa.string()), ("after", pa.string())])
-_POSTING_DDL = "term bigint, doc_id bigint, pos bigint, before string, after string"
+_LISTS = pa.schema([("term", pa.int64()), ("docs", pa.list_(pa.int64())), ("positions", pa.list_(pa.int64()))])
+_LISTS_DDL = "term bigint, docs array<bigint>, positions array<bigint>"
 
 
-def postings(documents: DataFrame, gram: int, least: int, terms: np.ndarray | None) -> DataFrame:
-    """Term, document, position, and the characters around, for every token; only ``terms`` (sorted) where given."""
-    shared = None if terms is None else documents.sparkSession.sparkContext.broadcast(terms)
-    margin = least - gram
+def _reduced(ids: list, texts: list, least: int) -> tuple[list, list]:
+    pairs = [(i, reduce_text(t)) for i, t in zip(ids, texts) if t]
+    pairs = [(i, t) for i, t in pairs if len(t) >= least]
+    return [i for i, _ in pairs], [t for _, t in pairs]
+
+
+def build_index(documents: DataFrame, gram: int = GRAM, least: int = LEAST) -> DataFrame:
+    """The positional inverted index of all documents in segments: term, documents, positions (lists side by side).
+
+    Rows without an id, null texts and texts under ``least`` reduced characters have no postings.
+    """
     segment = SEGMENT - SEGMENT % gram
 
+    def lists(terms: list, docs: list, positions: list) -> pa.RecordBatch:
+        term, doc, pos = (np.concatenate(x) for x in (terms, docs, positions))
+        order = np.lexsort((pos, doc, term))
+        term, doc, pos = term[order], doc[order], pos[order]
+        begins = np.concatenate(([0], np.flatnonzero(term[1:] != term[:-1]) + 1, [len(term)])).astype(np.int32)
+        offsets = pa.array(begins)
+        columns = [pa.array(term[begins[:-1]]), pa.ListArray.from_arrays(offsets, pa.array(doc)), pa.ListArray.from_arrays(offsets, pa.array(pos))]
+        return pa.RecordBatch.from_arrays(columns, schema=_LISTS)
+
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, docs, positions, held = [], [], [], 0
         for batch in batches:
-            rows: list[tuple] = []
-            texts, ids, sizes = [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                reduced = reduce_text(text) if text else ""
-                if len(reduced) >= least:
-                    texts.append(reduced)
-                    ids.append(doc_id)
-                    sizes.append(len(reduced))
-            # Stretches of whole tokens, about SEGMENT characters at a time, however the texts are cut up.
-            stretches = [(k, a, min(size, a + segment)) for k, size in enumerate(sizes) for a in range(0, size, segment)]
+            ids, texts = _reduced(batch.column(0).to_pylist(), batch.column(1).to_pylist(), least)
+            # Stretches of whole tokens, about a segment at a time, however the texts are cut up.
+            stretches = [(k, a, min(len(t), a + segment)) for k, t in enumerate(texts) for a in range(0, len(t), segment)]
             at = 0
             while at < len(stretches):
                 upto, total = at, 0
@@ -95,20 +112,40 @@ def postings(documents: DataFrame, gram: int, least: int, terms: np.ndarray | No
                 base = 0
                 for k, a, b in stretches[at:upto]:
                     step = np.arange(0, b - a - gram + 1, gram)
-                    own = hashes[base + step]
-                    if shared is not None:
-                        known = shared.value
-                        near = np.minimum(np.searchsorted(known, own), len(known) - 1)
-                        hit = known[near] == own
-                        step, own = step[hit], own[hit]
-                    for pos, term in zip((step + a).tolist(), own.tolist()):
-                        rows.append((term, ids[k], pos, texts[k][max(0, pos - margin) : pos], texts[k][pos : pos + gram + margin]))
+                    terms.append(hashes[base + step])
+                    docs.append(np.full(len(step), ids[k], dtype=np.int64))
+                    positions.append(step + a)
                     base += b - a
                 at = upto
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), _POSTING)], schema=_POSTING)
+                held += total
+                if held >= segment:
+                    if sum(map(len, terms)):
+                        yield lists(terms, docs, positions)
+                    terms, docs, positions, held = [], [], [], 0
+        if sum(map(len, terms)):
+            yield lists(terms, docs, positions)
+
+    rows = documents.select(F.col("doc_id").cast("bigint"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    return checkpointed(rows.mapInArrow(index, _LISTS_DDL))
+
 
-    return documents.select(F.col("doc_id").cast("bigint"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(index, _POSTING_DDL)
+def postings_of(index: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, doc_id, pos) of the ``terms`` asked for, once each."""
+    found = index.join(terms.select("term").distinct(), "term", "left_semi")
+    return found.select("term", F.explode(F.arrays_zip("docs", "positions")).alias("p")).select("term", F.col("p.docs").alias("doc_id"), F.col("p.positions").alias("pos"))
+
+
+def item_terms(items: DataFrame, gram: int = GRAM) -> DataFrame:
+    """Item and the term at each of its offsets."""
+
+    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                h = gram_hashes(_codes(reduce_text(text)), gram).view(np.int64) if text else np.zeros(0, dtype=np.int64)
+                if len(h):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), item_id)), pa.array(h)], names=["item_id", "term"])
+
+    return items.select(F.col("item_id").cast("bigint"), "text").where("item_id IS NOT NULL AND text IS NOT NULL").mapInArrow(terms, "item_id bigint, term bigint")
 
 
 def item_phrases(items: DataFrame, gram: int, least: int) -> DataFrame:
@@ -130,63 +167,53 @@ def item_phrases(items: DataFrame, gram: int, least: int) -> DataFrame:
     return items.select(F.col("item_id").cast("bigint"), "text").where("item_id IS NOT NULL AND text IS NOT NULL").mapInArrow(phrases, "item_id bigint, offset bigint, term bigint, next_term bigint")
 
 
-def _run(doc_before: str, doc_after: str, item: str, at: int, gram: int) -> tuple[int, int]:
-    """Equal characters before and behind an equal token: the document's are given, the item's token is at ``at``."""
-    if doc_after[:gram] != item[at : at + gram]:  # equal hashes of different tokens
-        return -gram, 0
-    doc_after, left = doc_after[gram:], 0
-    while left < len(doc_before) and left < at and doc_before[-1 - left] == item[at - 1 - left]:
-        left += 1
-    right, end = 0, at + gram
-    while right < len(doc_after) and end + right < len(item) and doc_after[right] == item[end + right]:
-        right += 1
-    return left, right
+_PASSAGE_DDL = "doc_id bigint, item_id bigint, start bigint, end bigint"
 
 
 def _exact(gram: int, least: int):
+    """Decide candidates on the document's text: equal characters around the two tokens, on their diagonal."""
+
+    def run(doc: str, item: str, pos: int, at: int) -> tuple[int, int]:
+        if doc[pos : pos + gram] != item[at : at + gram]:  # equal hashes of different tokens
+            return pos, pos
+        left = 0
+        while left < least and left < pos and left < at and doc[pos - 1 - left] == item[at - 1 - left]:
+            left += 1
+        end, upto, right = pos + gram, at + gram, 0
+        while right < least and end + right < len(doc) and upto + right < len(item) and doc[end + right] == item[upto + right]:
+            right += 1
+        return pos - left, end + right
+
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, kinds = ["doc_id", "item_id", "start", "end"], [pa.int64()] * 4
         reduced: dict[int, str] = {}
+        held, doc = None, ""
         for batch in batches:
             rows = []
-            for doc_id, item_id, pos, at, before, after, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc_id, text, item_id, item_text, places in zip(*(c.to_pylist() for c in batch.columns)):
+                if held != (doc_id, text):
+                    held, doc = (doc_id, text), reduce_text(text)
                 item = reduced.get(item_id)
                 if item is None:
                     if len(reduced) > 10_000:
                         reduced.clear()
-                    item = reduced[item_id] = reduce_text(text)
-                left, right = _run(before, after, item, at, gram)
-                if left + gram + right >= least:
-                    rows.append((doc_id, item_id, pos - left, pos + gram + right))
+                    item = reduced[item_id] = reduce_text(item_text)
+                for place in places:
+                    start, end = run(doc, item, place["pos"], place["at"])
+                    if end - start >= least:
+                        rows.append((doc_id, item_id, start, end))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*rows), kinds)], names=names)
 
     return decide
 
 
-def leaked_passages(documents: DataFrame, items: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
-    """Document, item, and the range of reduced characters of each phrase that is part of a passage of ``least`` or more.
-
-    Rows without an id, null and empty texts and items under ``least`` reduced characters match nothing; items that repeat
-    others match under each id. A range reaches at most ``least`` characters beyond its two tokens, so
-    longer passages show as ranges that overlap.
-    """
-    if least < 3 * gram - 1:
-        raise ValueError("a passage must cover two whole tokens: least >= 3 * gram - 1")
+def candidates(index: DataFrame, items: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
+    """(doc_id, pos, item_id, at): a token of a document and its neighbour that stand side by side in an item at ``at``."""
     phrases = item_phrases(items, gram, least)
-    size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first().n
-    terms = None
-    if size <= BROADCAST_CHARS:
-        both = phrases.select("term").union(phrases.select("next_term")).distinct()
-        terms = np.sort(np.array([r[0] for r in both.collect()], dtype=np.int64))
-        if not len(terms):
-            terms = np.array([0], dtype=np.int64)
-        index = postings(documents, gram, least, terms)
-    else:
-        both = phrases.select("term").union(phrases.select("next_term")).distinct()
-        index = postings(documents, gram, least, None).join(both, "term", "left_semi")
-    index = checkpointed(index)
-    frequency = index.groupBy("term").agg(F.count("*").alias("df"))
+    asked = phrases.select("term").union(phrases.select(F.col("next_term").alias("term")))
+    postings = checkpointed(postings_of(index, asked))
+    frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
     other = frequency.select(F.col("term").alias("next_term"), F.col("df").alias("next_df"))
     rare_first = F.col("df") <= F.col("next_df")
     plan = phrases.join(frequency, "term").join(other, "next_term").select(
@@ -195,14 +222,34 @@ def leaked_passages(documents: DataFrame, items: DataFrame, least: int = LEAST,
         F.when(rare_first, F.col("offset")).otherwise(F.col("offset") + gram).alias("at"),
         F.when(rare_first, F.col("next_term")).otherwise(F.col("term")).alias("with_term"),
         F.when(rare_first, F.lit(gram)).otherwise(F.lit(-gram)).alias("shift"),
+        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"),
     )
-    hits = index.join(plan, "term").withColumn("with_pos", F.col("pos") + F.col("shift"))
-    neighbours = index.select(F.col("term").alias("with_term"), "doc_id", F.col("pos").alias("with_pos"))
-    found = hits.join(neighbours, ["with_term", "doc_id", "with_pos"], "left_semi")
+    # A term of boilerplate stands in very many documents: its list is dealt out by document.
+    dealt = postings.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    hits = dealt.join(plan, ["term", "salt"]).withColumn("with_pos", F.col("pos") + F.col("shift"))
+    neighbours = postings.select(F.col("term").alias("with_term"), "doc_id", F.col("pos").alias("with_pos"))
     # Repeats of a token inside an item give several offsets for one position; each is decided by itself.
-    texts = items.select(F.col("item_id").cast("bigint"), F.col("text").alias("item_text"))
-    decided = found.join(texts, "item_id").select("doc_id", "item_id", "pos", "at", "before", "after", "item_text")
-    return decided.mapInArrow(_exact(gram, least), "doc_id bigint, item_id bigint, start bigint, end bigint")
+    return hits.join(neighbours, ["with_term", "doc_id", "with_pos"], "left_semi").select("doc_id", "pos", "item_id", "at")
+
+
+def leaked_passages(documents: DataFrame, items: DataFrame, least: int = LEAST, gram: int = GRAM, index: DataFrame | None = None) -> DataFrame:
+    """Document, item, and the range of reduced characters of each phrase that is part of a passage of ``least`` or more.
+
+    Rows without an id, null and empty texts and items under ``least`` reduced characters match nothing; items that repeat
+    others match under each id. A range reaches at most ``least`` characters beyond its two tokens, so
+    longer passages show as ranges that overlap. ``index`` is one that ``build_index`` made of the documents.
+    """
+    if least < 3 * gram - 1:
+        raise ValueError("a passage must cover two whole tokens: least >= 3 * gram - 1")
+    found = candidates(build_index(documents, gram, least) if index is None else index, items, least, gram)
+    texts = items.where("item_id IS NOT NULL").select(F.col("item_id").cast("bigint"), F.col("text").alias("item_text"))
+    places = checkpointed(found.groupBy(F.col("doc_id").alias("_d"), "item_id").agg(F.collect_set(F.struct("pos", "at")).alias("places")))
+    body = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    wanted = places.select(F.col("_d").alias("doc_id")).distinct()
+    if wanted.count() <= BROADCAST_DOCS:  # the texts without candidates then need no shuffle
+        body = body.join(F.broadcast(wanted), "doc_id", "left_semi")
+    rows = body.join(places.join(texts, "item_id"), F.col("doc_id") == F.col("_d"))
+    return rows.select("doc_id", "text", "item_id", "item_text", "places").mapInArrow(_exact(gram, least), _PASSAGE_DDL)
 
 
 def leaked_items(passages: DataFrame) -> DataFrame:
@@ -210,7 +257,19 @@ def leaked_items(passages: DataFrame) -> DataFrame:
     return passages.select("doc_id", "item_id").distinct()
 
 
-def proximity(passages: DataFrame, window: int = 400) -> DataFrame:
-    """Document and item pairs with several passages: how many and how many characters they span, if within ``window``."""
-    near = passages.groupBy("doc_id", "item_id").agg(F.countDistinct("start").alias("n_ranges"), (F.max("end") - F.min("start")).alias("span"))
-    return near.where(F.col("span") <= window)
+def proximity(index: DataFrame, items: DataFrame, window: int = 400, tokens: int = 3, gram: int = GRAM) -> DataFrame:
+    """Documents in which at least ``tokens`` different tokens of an item stand within ``window`` reduced characters, in any order.
+
+    (doc_id, item_id, n_near, start): the most such tokens of one window, and where the first such window
+    begins. Answered from the postings: positions of an item's tokens in a document are compared with
+    those that follow within the window. Items shorter than a token match nothing.
+    """
+    terms = item_terms(items, gram)
+    postings = postings_of(index, terms)
+    dealt = postings.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    asked = terms.select("item_id", "term", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")).distinct()
+    hits = dealt.join(asked, ["term", "salt"]).select("doc_id", "item_id", "pos", "term").distinct()
+    ahead = Window.partitionBy("doc_id", "item_id").orderBy("pos").rangeBetween(0, window - gram)
+    near = hits.withColumn("n", F.size(F.collect_set("term").over(ahead)))
+    best = near.groupBy("doc_id", "item_id").agg(F.max("n").alias("n_near"), F.max_by("pos", F.struct("n", -F.col("pos"))).alias("start"))
+    return best.where(F.col("n_near") >= tokens)

@@ -88,6 +88,11 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked_items(_passages(spark, d)).groupBy("item_id").agg(F.count("*").alias("n_documents"))
 
 
+def p8_proximity(spark: SparkSession, d: str) -> DataFrame:
+    """Documents in which three or more tokens of an item stand within 400 reduced characters, in any order."""
+    return leaks.proximity(leaks.build_index(table(spark, d, "documents")), table(spark, d, "benchmark"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.sharing_pairs(table(spark, d, "documents"))
 
@@ -102,7 +107,7 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_containers, p4_found, p4_turns, p5_found, p5_forms, p6_found, p6_cutoffs, p7_ids, p8_found, p8_items, p9_found, p9_shared)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_containers, p4_found, p4_turns, p5_found, p5_forms, p6_found, p6_cutoffs, p7_ids, p8_found, p8_items, p8_proximity, p9_found, p9_shared)}
 
 
 _LENGTHS = """WITH l AS (
