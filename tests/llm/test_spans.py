@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from turnweave.llm import spans
-from turnweave.llm.fm import FMIndex, common_after, common_before, suffix_order, suffix_ranks
+from turnweave.llm.fm import FMIndex, agreeing, suffix_order
 
 
 @settings(max_examples=100, deadline=None)
@@ -22,20 +22,19 @@ def test_index_counts_and_places(text, length):
     low, high = index.search(codes, ends, length)
     for e, a, b in zip(ends, low, high):
         want = [k for k in range(len(text) - length + 1) if text[k : k + length] == text[e - length : e]]
-        assert sorted(index.order[a:b].tolist()) == want
+        assert sorted(index.locate(np.arange(a, b)).tolist()) == want
 
 
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 3), min_size=2, max_size=40), st.data())
 def test_common_stretches(text, data):
     codes = np.array(text, dtype=np.int64)
-    ranks = suffix_ranks(codes)[1]
     places = st.lists(st.integers(0, len(text) - 1), min_size=2, max_size=2, unique=True)
     x, y = (np.array([k]) for k in data.draw(places))
     after = next(k for k in range(len(text) + 1) if max(x[0], y[0]) + k >= len(text) or text[x[0] + k] != text[y[0] + k])
     before = next(k for k in range(len(text) + 1) if min(x[0], y[0]) - k <= 0 or text[x[0] - k - 1] != text[y[0] - k - 1])
-    assert common_after(ranks, x, y, len(text) - np.maximum(x, y))[0] == after
-    assert common_before(ranks, x, y, np.minimum(x, y))[0] == before
+    assert agreeing(codes, x, y, len(text) - np.maximum(x, y), False, 4)[0] == after
+    assert agreeing(codes, x, y, np.minimum(x, y), True, 4)[0] == before
 
 
 def test_anchors_of_long_inputs_are_those_of_the_whole():
@@ -61,17 +60,23 @@ def _brute(docs, least):
     return {(a, b) for a, b in itertools.combinations(sorted(grams), 2) if grams[a] & grams[b]}
 
 
-@pytest.mark.parametrize("block", [1_500, 3])
-def test_pairs_and_parts(spark, monkeypatch, block):
+def _cover(rows):
+    cover = {}
+    for r in rows:
+        cover.setdefault(r.doc_id, set()).update(range(r.start, r.end))
+    return cover
+
+
+@pytest.mark.parametrize("hot,block", [(None, 1_500), (1, 3)])
+def test_pairs_and_spans(spark, hot, block):
     docs = _docs(random.Random(8))
     documents = spark.createDataFrame([(d, t, "x") for d, t in [*docs, (None, docs[0][1])]], "doc_id long, text string, anchor string")
-    monkeypatch.setattr(spans.contexts, "__defaults__", (spans.LEAST, spans.GRAM, block))
     want = _brute(docs, 120)
-    found = spans.sharing_pairs(documents).collect()
+    members = spans.members(documents, hot_docs=hot)
+    found = spans.sharing_pairs(documents, block=block, found=members).collect()
     assert {tuple(r) for r in found} == want and len(found) == len(want)
-    cover = {}
-    for r in spans.shared_parts(documents).collect():
-        cover.setdefault(r.doc_id, set()).update(range(r.start, r.end))
+    rows = spans.shared_spans(documents, found=members).collect()
+    cover = _cover(rows)
     texts = {d: t for d, t in docs if t}
     for d, t in texts.items():
         expected = set()
@@ -79,4 +84,40 @@ def test_pairs_and_parts(spark, monkeypatch, block):
             if any(t[k : k + 120] in u for e, u in texts.items() if e != d):
                 expected.update(range(k, k + 120))
         assert cover.get(d, set()) == expected
-    assert spans.sharing_pairs(documents.limit(0)).count() == 0
+    names, holders = {}, {}
+    for r in rows:
+        piece = texts[r.doc_id][r.start : r.end]
+        assert len(piece) >= 120 and names.setdefault(r.span, piece) == piece
+        holders.setdefault(r.span, set()).add(r.doc_id)
+    assert all(len(h) > 1 for h in holders.values())
+
+
+def test_nothing_comes_without_the_index(spark, monkeypatch):
+    docs = _docs(random.Random(8))
+    documents = spark.createDataFrame(docs, "doc_id long, text string")
+    monkeypatch.setattr(spans.FMIndex, "search", lambda self, symbols, ends, length, least=1: (np.zeros(len(ends), dtype=np.int64),) * 2)
+    members = spans.members(documents)
+    assert members.count() > 50 and spans.sharing_pairs(documents, found=members).count() == 0 and spans.shared_spans(documents, found=members).count() == 0
+
+
+def test_boilerplate_and_periodic_texts_stay_linear(spark):
+    """A page footer in thousands of documents and a text of one repeated pattern: rows follow documents, not their pairs or places."""
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    footer = word(150)
+    docs = [(k, word(40) + footer + word(40)) for k in range(2_000)]
+    docs += [(5_000 + k, "ab" * 500_000) for k in range(2)] + [(6_000, "ab" * 70)]
+    documents = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    members = spans.members(documents)
+    assert members.count() < 2_000 * 200
+    groups = spans.classes(members).groupBy("anchor").count().agg({"count": "max"}).first()[0]
+    assert groups < 1_600
+    cover = _cover(spans.shared_spans(documents, found=members).where("doc_id < 2000 or doc_id = 6000").collect())
+    assert all(set(range(40, 190)) <= cover[k] for k in range(2_000)) and cover[6_000] == set(range(140))
+    pairs = spans.sharing_pairs(documents, found=members.where("doc_id >= 5000")).collect()
+    assert {tuple(r) for r in pairs} == {(5_000, 5_001), (5_000, 6_000), (5_001, 6_000)}
+
+
+def test_empty(spark):
+    documents = spark.createDataFrame([], "doc_id long, text string")
+    assert spans.sharing_pairs(documents).count() == 0 and spans.shared_spans(documents).count() == 0

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,10 +60,15 @@ def lower_bound(sizes: list[int], capacity: int) -> int:
         counts[s] = counts.get(s, 0) + 1
     items = sorted(counts.items())
     best = -(-sum(s * n for s, n in items) // capacity)
-    thresholds = sorted({s for s in counts if 2 * s <= capacity})[:512]
-    for t in thresholds:
-        total = sum((capacity if s > capacity - t else s) * n for s, n in items if s >= t)
-        best = max(best, -(-total // capacity))
+    # All thresholds at once: prefix sums of counts and of sizes over the distinct sizes in order.
+    sizes_at = np.array([s for s, _ in items], dtype=np.int64)
+    count = np.concatenate(([0], np.cumsum([n for _, n in items])))
+    volume = np.concatenate(([0], np.cumsum([s * n for s, n in items])))
+    t = sizes_at[2 * sizes_at <= capacity]
+    if len(t):
+        first, full = np.searchsorted(sizes_at, t, "left"), np.searchsorted(sizes_at, capacity - t, "right")
+        total = capacity * (count[-1] - count[full]) + volume[full] - volume[first]
+        best = max(best, int((-(-total // capacity)).max()))
     for k in range(1, 21):
         total = 0  # in units of capacity / k / capacity
         for s, n in items:
@@ -165,3 +171,14 @@ def dialogue_count(tokens: DataFrame) -> int:
 def split_dialogues(packed: DataFrame) -> DataFrame:
     """Dialogues of which a later part was packed: those that had to be split."""
     return packed.where("part > 1").select("dialogue_id").distinct()
+
+
+def fill(packed: DataFrame, capacity: int = 1_024) -> DataFrame:
+    """One row over all containers: items, frames, containers, the fewest that could hold the frames, wasted frames and their share.
+
+    Without containers all counts are 0 and the share is null.
+    """
+    used = packed.groupBy("container").agg(F.sum("frames").alias("frames"), F.count("*").alias("n"))
+    total = used.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_items"), F.coalesce(F.sum("frames"), F.lit(0)).alias("frames"), F.count("*").alias("n_containers"))
+    room = F.col("n_containers") * capacity
+    return total.select("n_items", "frames", "n_containers", F.ceil(F.col("frames") / capacity).alias("fewest"), (room - F.col("frames")).alias("wasted"), ((room - F.col("frames")) / F.nullif(room, F.lit(0))).alias("wasted_share"))

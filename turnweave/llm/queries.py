@@ -33,6 +33,12 @@ def p3_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_dialogues(table(spark, d, "dialogue_tokens"))
 
 
+def p3_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How well the containers of the whole table are filled: at most 1 % over the fewest that could hold its frames."""
+    out = packing.fill(packing.pack_dialogues(table(spark, d, "dialogue_tokens")))
+    return out.select("n_items", "frames", "fewest", (F.col("n_containers") <= 1.01 * F.col("fewest") + 1).alias("tight"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return packing.split_dialogues(packing.pack_dialogues(table(spark, d, "dialogue_tokens")))
 
@@ -97,17 +103,22 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.sharing_pairs(table(spark, d, "documents"))
 
 
+def p9_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Each document's spans that stand verbatim in another one; ``span`` is the same wherever the text is the same."""
+    return spans.shared_spans(table(spark, d, "documents"))
+
+
 def p9_shared(spark: SparkSession, d: str) -> DataFrame:
-    """Each document's shared spans, merged, and how much of the document they are."""
+    """How much of each document is shared: stretches of characters that lie in shared spans, their number, length and share."""
     documents = table(spark, d, "documents").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.length("text").alias("n_chars"))
-    states = intervals.interval_states(spans.shared_parts(table(spark, d, "documents")), F.col("doc_id"), F.lit(""), F.col("start"), F.col("end"))
+    states = intervals.interval_states(spans.shared_spans(table(spark, d, "documents")), F.col("doc_id"), F.lit(""), F.col("start"), F.col("end"))
     merged = intervals.periods(states).select(F.col("entity").cast("bigint").alias("doc_id"), F.col("period_start").alias("s"), F.col("period_end").alias("e"))
-    totals = merged.groupBy("doc_id").agg(F.count("*").alias("n_spans"), F.sum(F.col("e") - F.col("s")).alias("shared_chars"), F.max(F.col("e") - F.col("s")).alias("longest"))
-    return totals.join(documents, "doc_id").withColumn("share", F.col("shared_chars") / F.col("n_chars"))
+    totals = merged.groupBy("doc_id").agg(F.count("*").alias("n_stretches"), F.sum(F.col("e") - F.col("s")).cast("bigint").alias("shared_chars"), F.max(F.col("e") - F.col("s")).cast("bigint").alias("longest_stretch"))
+    return totals.join(documents, "doc_id").withColumn("share", F.round(F.col("shared_chars") / F.col("n_chars"), 9))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_containers, p4_found, p4_turns, p5_found, p5_forms, p6_found, p6_cutoffs, p7_ids, p8_found, p8_items, p8_proximity, p9_found, p9_shared)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_containers, p3_fill, p4_found, p4_turns, p5_found, p5_forms, p6_found, p6_cutoffs, p7_ids, p8_found, p8_items, p8_proximity, p9_found, p9_spans, p9_shared)}
 
 
 _LENGTHS = """WITH l AS (
@@ -129,8 +140,16 @@ _COUNTED = r"""WITH named AS (
 def oracle_sql() -> dict[str, str]:
     return {
         "p3_found": _LENGTHS + "SELECT dialogue_id FROM l WHERE frames > 1024",
+        "p3_fill": _LENGTHS + "SELECT coalesce(sum(ceil(frames / 1024.0)), 0)::BIGINT AS n_items, coalesce(sum(frames), 0)::BIGINT AS frames, ceil(coalesce(sum(frames), 0) / 1024.0)::BIGINT AS fewest, true AS tight FROM l WHERE frames > 0",
         "p6_found": _COUNTED + "SELECT stem FROM counted JOIN cut USING (source) WHERE cer <= cutoff",
         "p9_found": """WITH g AS (SELECT DISTINCT doc_id, unnest(list_transform(range(length(text) - 119), lambda i: text[i + 1:i + 120])) AS s FROM documents WHERE length(text) >= 120)
             SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM g a JOIN g b USING (s) WHERE a.doc_id < b.doc_id""",
+        "p9_shared": """WITH g AS (SELECT doc_id, i, text[i + 1:i + 120] AS s FROM (SELECT doc_id, text, unnest(range(length(text) - 119)) AS i FROM documents WHERE length(text) >= 120)),
+            hit AS (SELECT doc_id, i FROM g SEMI JOIN (SELECT s FROM g GROUP BY s HAVING count(DISTINCT doc_id) > 1) USING (s)),
+            run AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM
+              (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 120 THEN 0 ELSE 1 END AS fresh FROM hit)),
+            part AS (SELECT doc_id, r, max(i) + 120 - min(i) AS n FROM run GROUP BY ALL)
+            SELECT doc_id, count(*) AS n_stretches, sum(n)::BIGINT AS shared_chars, max(n) AS longest_stretch, any_value(length(text))::INT AS n_chars, round(sum(n) / any_value(length(text)), 9) AS share
+            FROM part JOIN documents USING (doc_id) GROUP BY doc_id""",
         "p6_cutoffs": _COUNTED + "SELECT source, cutoff, n_records, n_kept FROM cut",
     }
