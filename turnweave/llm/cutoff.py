@@ -43,7 +43,8 @@ def counted(records: DataFrame) -> DataFrame:
     order = F.struct(F.coalesce(F.col("scored_at"), F.lit("0001-01-01").cast("timestamp_ntz")).alias("t"), F.col("rec_id"))
     latest = records.where("stem IS NOT NULL").select(stem.alias("stem"), "cer", order.alias("o")).groupBy("stem").agg(F.max_by("cer", "o").alias("cer"))
     valid = F.col("cer").isNotNull() & ~F.isnan("cer") & (F.col("cer") >= 0) & (F.col("cer") < F.lit(float("inf")))
-    return latest.where(valid).withColumn("source", source_of(F.col("stem")))
+    # Never null, and known to be: a filter on nulls would keep the shuffle below from being used again.
+    return latest.where(valid).withColumn("source", F.coalesce(source_of(F.col("stem")), F.lit("")))
 
 
 def _met(records: DataFrame, known: DataFrame) -> DataFrame:
