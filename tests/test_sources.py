@@ -90,3 +90,54 @@ def test_sinks(spark, tmp_path):
     sinks.write_csv(rows, str(tmp_path / "v"))
     sinks.write_chunks(rows.withColumn("chunk_id", F.lit("a_part00")), str(tmp_path / "p"))
     assert spark.read.json(str(tmp_path / "j")).count() == spark.read.option("header", True).csv(str(tmp_path / "v")).count() == spark.read.json(str(tmp_path / "p")).count() == 10
+
+
+def test_loose_files_and_broken_tars(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a/x.wav").write_bytes(_wav(1, 4))
+    assert [(r.name, len(r.content)) for r in files.tar_members(spark, str(tmp_path / "a"), loose=True).collect()] == [("x.wav", len(_wav(1, 4)))]
+    assert files.tar_members(spark, str(tmp_path / "a")).count() == 0
+    with tarfile.open(tmp_path / "a/k.tar", "w:gz") as t:
+        for name in ("b.wav", "c.wav"):
+            info = tarfile.TarInfo(name)
+            info.size = 60_000
+            t.addfile(info, io.BytesIO(np.random.default_rng(1).bytes(60_000)))
+    whole = (tmp_path / "a/k.tar").read_bytes()
+    assert [r.name for r in files.tar_members(spark, f"file://{tmp_path}/a", loose=True).collect()] == ["b.wav", "c.wav"]  # loose ones ignored
+    (tmp_path / "a/k.tar").write_bytes(whole[: len(whole) // 2])
+    rows = files.tar_members(spark, str(tmp_path / "a")).collect()
+    assert rows and rows[-1].error
+
+
+def test_episodes_and_pairs(spark, tmp_path):
+    from turnweave.plans.files import wav_bytes
+
+    assert files.wav_channel(wav_bytes(2, [5, -6, 7])) == [5, -6, 7]
+    with tarfile.open(tmp_path / "k.tar", "w") as t:
+        for name, content in (("b.wav", wav_bytes(2, [1, 2])), ("a.wav", wav_bytes(1, [3])), ("bad.wav", b"RIFFxxxx")):
+            info = tarfile.TarInfo(name)
+            info.size = len(content)
+            t.addfile(info, io.BytesIO(content))
+    assert [(r.name, r.samples, r.error is None) for r in files.episodes(spark, str(tmp_path)).collect()] == [("a.wav", [3], True), ("b.wav", [1, 2], True), ("bad.wav", None, False)]
+    (tmp_path / "s").mkdir()
+    segments = json.dumps([{"text": "hi", "start": "0.5", "end": "1"}, {"text": "bad", "start": "2", "end": "1"}, {"text": "none", "start": "", "end": "1"}])
+    for name, channels in (("x", 2), ("mono", 1)):
+        (tmp_path / f"s/{name}.wav").write_bytes(wav_bytes(channels, [1]))
+        for who in "AB":
+            (tmp_path / f"s/{name}_{who}.json").write_text(segments)
+    (tmp_path / "s/lone_A.json").write_text(segments)
+    assert [(r.base, len(r.a), r.b[0].start) for r in files.wav_pairs(spark, str(tmp_path / "s")).collect()] == [("s/x", 1, 0.5)]
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d/one.json").write_text('{"dialogue_id": "1", "utterances": [{"text": "hi"}]}')
+    (tmp_path / "d/two.json").write_text('{"dialogue_id": "1", ')
+    found = {r.dialogue_id: (r.unreadable, r.dialogue.utterances[0].text if r.dialogue else None) for r in files.dialogue_files(spark, str(tmp_path / "d"), "dialogue_id string, utterances array<struct<text:string>>").collect()}
+    assert found == {"one": (False, "hi"), "two": (True, None)}
+
+
+def test_array_files(spark, tmp_path):
+    rows = spark.createDataFrame([("a/x", [[1, 2], [3, 4]]), ("y", [[1], [2, 3]]), ("z", None)], "name string, m array<array<int>>")
+    assert sinks.write_arrays(rows, str(tmp_path / "o"), "name", "m") == 1
+    assert [r.codes for r in files.npy_matrices(spark, str(tmp_path / "o")).collect()] == [[[1, 2], [3, 4]]]
+    assert not [p for p in (tmp_path / "o").rglob("*.part")]
+    sinks.write_missing(rows.limit(0), str(tmp_path / "none"))
+    assert not (tmp_path / "none").exists()

@@ -27,7 +27,7 @@ def test_jitter_equals_its_batch_twin(spark, sf, tmp_path):
     last = {}
     for r in spark.sql("SELECT * FROM jitter").collect():
         last[r.user_id] = max(last.get(r.user_id, (0,)), (r.n, *tuple(r)[1:7]))
-    assert last and {k: v[1:] for k, v in last.items()} == {r.user_id: tuple(r)[1:] for r in live.jitter(e).collect()}
+    assert last and {k: v[1:] for k, v in last.items()} == {r.user_id: tuple(r)[1:7] for r in live.jitter(e).collect()}
 
 
 def test_idle_sessions_on_a_stream(spark, sf, tmp_path):
@@ -61,5 +61,36 @@ def test_jitter_and_cursor():
     while b.started:
         b.play(30)
     assert b.underruns == 1 and b.partial == 25
-    assert live.text_cursor([3, 9, 3, 9, 9, -1, 9], [51, 52]) == [3, 51, 3, 52, 3]
-    assert live.text_cursor([3] * 5, [51, 52], force_after=2) == [3, 3, 51, 3, 3]
+    # Either padding stands as it came; any other emission takes the next text id.
+    assert live.text_cursor([3, 9, 0, 9, 3], [51, 52, 53]) == [3, 51, 0, 52, 3]
+    # Padding in the text is taken whatever was emitted, and what follows the text counts as padding.
+    assert live.text_cursor([0, 0, 9, 0], [3, 51, 3]) == [3, 0, 51, 3] and live.text_cursor([9, 0, 9], [51]) == [51, 3, 3]
+    # The run ends where the end id stands.
+    assert live.text_cursor([3, 9, 9, 9], [51, -1, 52]) == [3, 51] and live.text_cursor([], [51]) == []
+
+
+def test_held_audio(spark):
+    row = spark.createDataFrame([([[1, 2, 3, 4], [5, 6, 7, 8]],)], "s array<array<int>>").select(live.held_audio(F.col("s"), [1, 3], 1, 99).alias("x")).first()
+    assert row.x == [[1, 2, 3, 4], [99, 99, 7, 8]]
+
+
+def test_accumulated_text_on_a_stream(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    ddl = "user_id long, event_id long, opens boolean, text string"
+    rows = [(1, 1, True, None), (1, 2, False, "a"), (1, 3, False, "b"), (2, 4, False, "x"), (1, 5, True, None), (1, 6, False, "c"), (2, 7, False, "y")]
+    for k in range(2):
+        spark.createDataFrame(rows[k * 4 : k * 4 + 4], ddl).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    batch = {(r.user_id, r.socket): (r.n, r.n_total, r.text) for r in live.accumulated(spark.createDataFrame(rows, ddl), "user_id", "event_id").collect()}
+    assert batch == {(1, 1): (2, 2, "ab"), (1, 2): (1, 3, "c"), (2, 0): (2, 2, "xy")}
+    stream = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = live.accumulate_stream(stream).writeStream.outputMode("update").format("memory").queryName("said").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination(180)
+    last = {}
+    for r in spark.sql("SELECT * FROM said").collect():
+        last[r.user_id] = max(last.get(r.user_id, (0,)), (r.n_total, r.socket, r.n, r.text))
+    assert last == {1: (3, 2, 1, "c"), 2: (2, 0, 2, "xy")}
+
+
+def test_jitter_reports_every_so_many_messages(spark):
+    rows = spark.range(25).selectExpr("1L as user_id", "id as event_id", "20.0D as arrive_ms", "20.0D as play_ms")
+    assert sorted(r.n for r in live.jitter(rows, 10).collect()) == [10, 20, 25] and [r.n for r in live.jitter(rows).collect()] == [25]

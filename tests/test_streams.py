@@ -1,5 +1,6 @@
 """Token streams against plain Python models and algebraic laws, and golden cases of the folds."""
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -110,11 +111,16 @@ def test_merge_keeps_length_and_marks_in_turn(frames):
     assert len(out) == len(frames) and all(a != b for a, b in zip(marks, marks[1:]))
 
 
+def _placed(pieces):
+    starts, ids = np.array([s for s, _, _ in pieces], dtype=float), np.array([i for _, _, i in pieces])
+    return align.place_pieces(starts, pieces[-1][1] if pieces else 0.0, ids, 12.5, 3, 0)
+
+
 def test_placing_golden():
-    assert align.place_pieces([(0.0, 0.1, 7), (0.01, 0.2, 8), (0.4, 0.5, 9)], 12.5, 3, 0)[0][:7] == [7, 8, 3, 3, 0, 9, 3]
-    assert align.place_pieces([(0.24, 0.3, 7)], 12.5, 3, 0)[0][:4] == [3, 0, 7, 3]
-    assert align.place_pieces([(0.5, 0.1, 7), (5.0, 0.1, 8), (0.2, 0.1, 9)], 12.5, 3, 0) == ([3, 3, 3, 3, 3, 0, 7] + [3] * 6, 2)
-    assert align.place_pieces([], 12.5, 3, 0) == ([], 0)
+    assert _placed([(0.0, 0.1, 7), (0.01, 0.2, 8), (0.4, 0.5, 9)])[0][:7] == [7, 8, 3, 3, 0, 9, 3]
+    assert _placed([(0.24, 0.3, 7)])[0][:4] == [3, 0, 7, 3]
+    assert _placed([(0.5, 0.1, 7), (5.0, 0.1, 8), (0.2, 0.1, 9)]) == ([3, 3, 3, 3, 3, 0, 7] + [3] * 6, 2)
+    assert _placed([]) == ([], 0)
     t = CodePoints()
     ids, dropped, error = align.align_words([("ab", 0.0, 0.16), ("c", 0.5, 0.6)], t, True, False)
     assert (ids[:3], dropped, error) == ([t.piece_to_id("a"), t.piece_to_id("b"), 3], 0, None) and t.piece_to_id("c") in ids
@@ -122,6 +128,43 @@ def test_placing_golden():
     assert align.align_words([("", 0.0, 1.0)], t, False, True) == ([], 0, None)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(4, 9)), max_size=12))
+def test_placing_takes_the_first_free_frame(wishes):
+    """Against the definition: each id on the first frame from its own on that holds no id and no end-of-padding id."""
+    starts = [(f + 0.5) * 0.08 for f, _ in wishes]
+    found, dropped = _placed([(s, 0.9, i) for s, (_, i) in zip(starts, wishes)])
+    cells, left = [3] * (int((0.9 + 1) * 12.5) if wishes else 0), 0
+    for k, (frame, piece) in enumerate(wishes):
+        free = [c for c in range(frame, len(cells)) if cells[c] == 3]
+        if not free:
+            left = len(wishes) - k
+            break
+        cells[free[0]] = piece
+        if free[0] and cells[free[0] - 1] == 3:
+            cells[free[0] - 1] = 0
+    assert (found, dropped) == (cells, left)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from([0, 3, 3, 7]), st.sampled_from([0, 3, 3, 8])), max_size=24))
+def test_markers_stand_before_each_change(frames):
+    main, other = [a for a, _ in frames], [b for _, b in frames]
+    out = align.merge_speakers(main, other)
+    for t, x in enumerate(out):
+        if x == 7:
+            assert main[t] == 7
+        if x == 8:
+            assert other[t] == 8 and main[t] in (0, 3)
+    # Between an id of one speaker and the next id of the other stands a marker of the latter, unless no cell lies before it.
+    spoken = [(t, x) for t, x in enumerate(out) if x not in (0, 3)]
+    for (_, x), (_, y) in zip(spoken, spoken[1:]):
+        if y == 8 and x != 8:
+            assert x == 2
+        if y == 7 and x == 8:
+            raise AssertionError("no marker of the main speaker")
+
+
 def test_frame_align_frame(spark):
     rows = [("d", "A", "hi", 0.0, 0.2, 2, "x"), ("d", "A", "a", None, 0.2, 1, "x"), ("d", "B", " yo ", 0.3, 0.4, 3, "x"), ("e", "A", None, 0.0, 0.4, 4, "x")]
     words = spark.createDataFrame(rows, "dialogue_id string, channel string, word string, start double, end double, row_id long, ids string")

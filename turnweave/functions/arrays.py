@@ -237,3 +237,27 @@ def float_frame(seconds: Column, rate: float = CFG.frame_rate) -> Column:
     """The frame of a time by floor division of doubles (0.24 s at 80 ms is frame 2, not 3)."""
     width = F.lit(1.0 / rate)
     return F.rint((seconds - seconds % width) / width).cast("bigint")
+
+
+def chat_ids(texts: Column, encode, main_first: bool = True, cfg: TokenConfig = TokenConfig()) -> Column:
+    """Ids of a chat's texts in order: the speakers' markers in turn, each before the ids of its normalised sentence. Null texts count as empty."""
+    from turnweave.functions.text import chat_sentence
+
+    first, second = (cfg.main_bos, cfg.other_bos) if main_first else (cfg.other_bos, cfg.main_bos)
+    marker = lambda i: F.when(i % 2 == 0, first).otherwise(second)
+    return F.flatten(F.transform(texts, lambda t, i: F.concat(F.array(marker(i)), encode(chat_sentence(F.coalesce(t, F.lit("")))))))
+
+
+def text_block(text: Column, encode, most: int | None, separator: str = "\n---\n", bos: int = 1, delimiter: int = 2) -> tuple[Column, Column]:
+    """(ids, prompt length) of a text in lower case: first id, prompt, delimiter, body where it holds the separator; else first id and text, and length 0.
+
+    Both are cut at ``most`` ids (None: not at all).
+    """
+    from turnweave.functions.text import split_prompt
+
+    prompt, body = split_prompt(text, separator)
+    p = encode(prompt)
+    has = F.locate(separator, text) > 0
+    ids = F.when(has, F.concat(F.array(F.lit(bos)), p, F.array(F.lit(delimiter)), encode(body))).otherwise(F.concat(F.array(F.lit(bos)), encode(body)))
+    length = F.when(has, F.size(p) + 2).otherwise(0)
+    return (ids, length) if most is None else (F.slice(ids, 1, most), F.least(length, F.lit(most)))

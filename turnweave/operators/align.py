@@ -1,13 +1,15 @@
-"""Folds that no built-in expression covers: words to frames, and the merge of two speakers' text rows.
+"""Words to frames, and the merge of two speakers' text rows, as array kernels over one stream.
 
-Both are state machines over one stream, so they run as Arrow-batched kernels: frames by (dialogue,
-channel) groups cut from a sorted stream, merges row by row.
+Neither is expressible in built-in columns, so both run Arrow-batched: frames by (dialogue, channel)
+groups cut from a sorted stream, merges row by row. Inside a stream there is no step per cell: times come
+from prefix sums of characters, frames from a running maximum, markers from the runs of a speaker.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,27 +21,55 @@ from turnweave.session import map_groups
 CFG = TokenConfig()
 
 
-def place_pieces(pieces: list[tuple[float, float, int]], rate: float, pad: int, epad: int) -> tuple[list[int], int]:
-    """Ids on frames: (start, end, id) in order, each on the first free frame from its own on.
+def _slots(frames: np.ndarray, room: int) -> np.ndarray:
+    """For each wished-for frame, in order, the frame it gets; ``room`` or more where the stream has ended.
 
-    A frame that is not a pad is taken, an end-of-padding id too. In front of an id a pad becomes the
-    end-of-padding id. What runs off the end is dropped, with all that follows; the count comes back.
+    Where wishes never go back, each gets its own or the one behind the last. Where they do, a gap left
+    earlier may serve, and the frame in front of an id counts as taken: then free frames are looked up
+    in a forest of links to the next free one.
     """
-    if not pieces:
+    k = np.arange(len(frames))
+    if (np.diff(frames) >= 0).all():
+        return np.maximum.accumulate(frames - k) + k
+    link: dict[int, int] = {}
+
+    def free(cell: int) -> int:
+        passed = []
+        while cell in link:
+            passed.append(cell)
+            cell = link[cell]
+        link.update(dict.fromkeys(passed, cell))
+        return cell
+
+    got = np.full(len(frames), room)
+    for i, wish in enumerate(frames.tolist()):
+        cell = free(wish)
+        if cell >= room:
+            break
+        got[i] = cell
+        link[cell] = cell + 1
+        if cell and cell - 1 not in link:
+            link[cell - 1] = cell
+    return got
+
+
+def place_pieces(starts: np.ndarray, last_end: float, ids: np.ndarray, rate: float, pad: int, epad: int) -> tuple[list[int], int]:
+    """Frame ids of pieces in order, and how many fell off the end (a piece that does takes all behind it along).
+
+    The stream ends a second behind the last piece. A pad in front of an id becomes the end-of-padding id.
+    """
+    if not len(ids):
         return [], 0
-    n = int((pieces[-1][1] + 1) * rate)
-    width = 1 / rate
-    cells = [pad] * n
-    for k, (start, _, piece) in enumerate(pieces):
-        at = int(start // width)
-        while at < n and cells[at] != pad:
-            at += 1
-        if at >= n:
-            return cells, len(pieces) - k
-        cells[at] = piece
-        if at and cells[at - 1] == pad:
-            cells[at - 1] = epad
-    return cells, 0
+    room = int((last_end + 1) * rate)
+    got = _slots(np.maximum(starts // (1 / rate), 0).astype(np.int64), room)
+    over = np.flatnonzero(got >= room)
+    kept = int(over[0]) if len(over) else len(ids)
+    cells = np.full(max(room, 0), pad, dtype=np.int64)
+    at = got[:kept]
+    front = np.setdiff1d(at - 1, at)
+    cells[front[front >= 0]] = epad
+    cells[at] = ids[:kept]
+    return cells.tolist(), len(ids) - kept
 
 
 def align_words(words: list[tuple[str, float, float]], tokenizer: Tokenizer, spaces: bool, lenient: bool, cfg: TokenConfig = CFG) -> tuple[list[int], int, str | None]:
@@ -49,29 +79,33 @@ def align_words(words: list[tuple[str, float, float]], tokenizer: Tokenizer, spa
     Strict: an empty word or characters left over are errors. Lenient: empty words are skipped, and
     the pieces end where the characters do.
     """
-    said = [(w.strip() if k == 0 else " " + w.strip()) if spaces else w for k, (w, _, _) in enumerate(words)]
-    times: list[tuple[float, float]] = []
-    for text, (_, start, end) in zip(said, words):
-        if not text:
-            if lenient:
-                continue
-            return [], 0, "empty word"
-        each = (end - start) / len(text)
-        times.extend((start + k * each, start + (k + 1) * each) for k in range(len(text)))
-    pieces, used = [], 0
-    for k, piece in enumerate(tokenizer.encode_pieces("".join(said))):
-        take = len(piece) - (k == 0 and piece.startswith("▁"))
-        if not take:
-            continue
-        if used + take > len(times):
-            if not lenient:
-                return [], 0, "pieces without characters"
-            break
-        pieces.append((times[used][0], times[used + take - 1][1], tokenizer.piece_to_id(piece)))
-        used += take
-    if not lenient and used != len(times):
-        return [], 0, "characters without pieces"
-    return (*place_pieces(pieces, cfg.frame_rate, cfg.text_pad, cfg.text_epad), None)
+    said = [(" " * (spaces and k > 0) + w.strip()) if spaces else w for k, (w, _, _) in enumerate(words)]
+    if not lenient and not all(said):
+        return [], 0, "empty word"
+    texts = [t for t in said if t]
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    begins = np.array([s for t, (_, s, _) in zip(said, words) if t], dtype=float)
+    each = (np.array([e for t, (_, _, e) in zip(said, words) if t], dtype=float) - begins) / np.maximum(sizes, 1)
+    upto = np.cumsum(sizes)
+    # Characters of each piece; the mark in front of the first word stands for none.
+    pieces = tokenizer.encode_pieces("".join(texts))
+    widths = np.array([len(p) - (k == 0 and p.startswith("▁")) for k, p in enumerate(pieces)], dtype=np.int64)
+    pieces, widths = [p for p, w in zip(pieces, widths) if w], widths[widths > 0]
+    ends = np.cumsum(widths)
+    total, covered = int(sizes.sum()), int(widths.sum())
+    if not lenient and covered != total:
+        return [], 0, "pieces without characters" if covered > total else "characters without pieces"
+    n = int(np.searchsorted(ends, total, "right"))
+    pieces, ends, widths = pieces[:n], ends[:n], widths[:n]
+    if not n:
+        return [], 0, None
+
+    def time(char: np.ndarray, edge: int) -> np.ndarray:
+        word = np.searchsorted(upto, char, "right")
+        return begins[word] + (char - (upto[word] - sizes[word]) + edge) * each[word]
+
+    ids = np.array([tokenizer.piece_to_id(p) for p in pieces], dtype=np.int64)
+    return (*place_pieces(time(ends - widths, 0), float(time(ends[-1:] - 1, 1)[0]), ids, cfg.frame_rate, cfg.text_pad, cfg.text_epad), None)
 
 
 def frame_align(words: DataFrame, tokenizer: Tokenizer | None = None, spaces: bool = True, lenient: bool = False, cfg: TokenConfig = CFG) -> DataFrame:
@@ -92,49 +126,51 @@ def frame_align(words: DataFrame, tokenizer: Tokenizer | None = None, spaces: bo
     return map_groups(rows, ["dialogue_id", "channel"], ["start", "row_id"], kernel, "dialogue_id string, channel string, ids array<int>, dropped int, error string", schema, flush=500)
 
 
-class Merger:
-    """One text row of two: the main speaker goes first, and markers stand where the speaker changes.
+def _markers(who: np.ndarray, cfg: TokenConfig) -> tuple[list[tuple[int, int]], list[int]]:
+    """Where markers stand (cell, marker), and cells whose id is given up, from who speaks in each cell (0: nobody).
 
-    A marker takes the last cell written. Where that holds a pad in front of an end-of-padding id, both
-    move; a real id there may only be overwritten by the main speaker's marker. If no marker can be
-    written, the frame gets the main row's own id and the speaker stays.
+    A marker stands in the cell before a speaker's run. The main speaker's may cover an id there; the
+    other's may not, so a run right behind an id of the main speaker gives up its first cell, and one of
+    a single cell vanishes, as if the main speaker had gone on. In front of cell 0 there is no cell.
     """
-
-    def __init__(self, cfg: TokenConfig = CFG):
-        self.cfg, self.quiet = cfg, (cfg.text_pad, cfg.text_epad)
-        self.out: list[int] = []
-        self.marked: int | None = None
-        self.speaking: int | None = None
-
-    def _mark(self, who: int) -> bool:
-        out = self.out
-        if not out or (out[-1] not in self.quiet and who != self.cfg.main_bos):
-            return False
-        if out[-2:] == [self.cfg.text_pad, self.cfg.text_epad]:
-            out[-2] = self.cfg.text_epad
-        out[-1] = who
-        return True
-
-    def feed(self, main: int, other: int) -> None:
-        if main not in self.quiet:
-            chosen, self.speaking = main, self.cfg.main_bos
-        elif other not in self.quiet:
-            chosen, self.speaking = other, self.cfg.other_bos
-        else:
-            chosen = self.cfg.text_epad if self.cfg.text_epad in (main, other) else self.cfg.text_pad
-        if self.speaking is not None and self.speaking != self.marked:
-            if self._mark(self.speaking):
-                self.marked = self.speaking
-            else:
-                chosen, self.speaking = main, self.marked
-        self.out.append(chosen)
+    speaking = np.flatnonzero(who)
+    if not len(speaking):
+        return [], []
+    runs = np.split(speaking, np.flatnonzero(np.diff(who[speaking])) + 1)
+    markers, given_up, current, taken = [], [], 0, -1
+    for run in runs:
+        speaker, first = int(who[run[0]]), int(run[0])
+        if speaker != current:
+            before = first == 0 or (speaker == cfg.other_bos and taken == first - 1)
+            if before and speaker == cfg.other_bos:
+                given_up.append(first)
+            if not before or len(run) > 1:
+                markers.append((int(run[1 if before else 0]) - 1, speaker))
+                current = speaker
+        taken = int(run[-1]) if not (given_up and given_up[-1] == run[-1]) else taken
+    return markers, given_up
 
 
 def merge_speakers(main: list[int], other: list[int], cfg: TokenConfig = CFG) -> list[int]:
-    merger = Merger(cfg)
-    for a, b in zip(main, other):
-        merger.feed(a, b)
-    return merger.out
+    """One text row of two: the main speaker goes first, and markers stand where the speaker changes.
+
+    Where nobody speaks the end-of-padding id of either row wins over padding. A marker that lands on the
+    end-of-padding id behind a pad moves that id one cell to the front.
+    """
+    n = min(len(main), len(other))
+    m, o = np.array(main[:n], dtype=np.int64), np.array(other[:n], dtype=np.int64)
+    quiet = lambda x: (x == cfg.text_pad) | (x == cfg.text_epad)
+    ends = (m == cfg.text_epad) | (o == cfg.text_epad)
+    out = np.where(~quiet(m), m, np.where(~quiet(o), o, np.where(ends, cfg.text_epad, cfg.text_pad)))
+    who = np.where(~quiet(m), cfg.main_bos, np.where(~quiet(o), cfg.other_bos, 0))
+    markers, given_up = _markers(who, cfg)
+    out[given_up] = m[given_up]
+    if markers:
+        at, ids = (np.array(c, dtype=np.int64) for c in zip(*markers))
+        tail = at[(at > 0) & (out[at] == cfg.text_epad) & (out[at - 1] == cfg.text_pad)]
+        out[tail - 1] = cfg.text_epad
+        out[at] = ids
+    return out.tolist()
 
 
 def merged_text(main: Column, other: Column, cfg: TokenConfig = CFG) -> Column:

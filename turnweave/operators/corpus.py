@@ -22,6 +22,37 @@ def parse_turns(documents: DataFrame, key: str = "doc_id", text: str = "text") -
     return rows.withColumn("speaker", speaker).where("speaker IS NOT NULL").select(key, "pos", "speaker", "text")
 
 
+def parse_dialogue(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Turns of a generated dialogue (key, pos, speaker S1 or S2, text): lines "A: ..." and "B: ..." of either width.
+
+    A role word a model puts in front (analysis, final, assistant) is cut off. The last turn is dropped
+    unless it ends like a finished sentence. Null texts and texts without such lines give no turn.
+    """
+    from turnweave.functions.text import SENTENCE_END, SPACES
+
+    bare = F.regexp_replace(text, rf"\A[{SPACES}]*(?:analysis|final|assistant)(?![\p{{L}}\p{{N}}_])[{SPACES}:：]*", "")
+    split = F.split(bare, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
+    rows = documents.select(key, F.posexplode(split).alias("pos", "line"))
+    turn = rf"\A[{SPACES}]*([ABＡＢ])[{SPACES}]*[:：][{SPACES}]*((?s).*?)[{SPACES}]*\z"
+    parsed = rows.select(key, "pos", F.regexp_extract("line", turn, 1).alias("label"), F.regexp_extract("line", turn, 2).alias("text")).where("label <> '' AND text <> ''")
+    last = parsed.groupBy(key).agg(F.max("pos").alias("_last"))
+    kept = parsed.join(last, key).where((F.col("pos") != F.col("_last")) | F.lit(SENTENCE_END).contains(F.right("text", F.lit(1))))
+    return kept.select(key, "pos", F.when(F.col("label").isin("A", "Ａ"), "S1").otherwise("S2").alias("speaker"), "text")
+
+
+def single_speaker(rows: DataFrame, key: str, speaker: str = "speaker") -> DataFrame:
+    """Each key's one speaker, or the problem: "several speakers" where it has more (null speakers count for none)."""
+    found = rows.groupBy(key).agg(F.min(speaker).alias("_low"), F.max(speaker).alias("_high"))
+    several = F.col("_low") != F.col("_high")
+    return found.select(key, F.when(~several, F.col("_low")).alias("speaker"), F.when(several, "several speakers").alias("problem"))
+
+
+def recovered_spans(spans: DataFrame, key: str, expected: DataFrame) -> DataFrame:
+    """Spans of the keys that have as many as ``expected`` (key, n_turns) says; a key with more or fewer gives none."""
+    counts = spans.groupBy(key).agg(F.count("*").alias("_n")).join(expected, key).where("_n = n_turns").select(key)
+    return spans.join(counts, key, "left_semi")
+
+
 def drop_unusable(turns: DataFrame) -> DataFrame:
     """Turns with text and a known speaker."""
     return turns.where("speaker IN ('A', 'B') AND text <> ''")
@@ -114,3 +145,21 @@ def induced_subgraph(nodes: DataFrame, edges: DataFrame, category: str) -> tuple
 def repeated(rows: DataFrame, times: int) -> DataFrame:
     """Every row ``times`` times, with its copy number."""
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(times))))
+
+
+def best_by_jaccard(rows: DataFrame, key: str, label: str, items: str, salts: int = 8) -> DataFrame:
+    """(key, label, score): the label whose items, those of all its rows together, are most like the row's by Jaccard similarity.
+
+    ``items`` are sets. Ties go to the smaller label; a row without items gives none. An item's labels are
+    one short array (as long as there are labels), so no pairs of rows are formed; frequent items are
+    dealt out by row. The row's own size rides along, and the best is the least of (-score, label).
+    """
+    one = rows.select(key, label, F.size(items).alias("_size"), F.explode(items).alias("_item"))
+    of = one.groupBy("_item").agg(F.collect_set(label).alias("_labels"))
+    sizes = of.select(F.explode("_labels").alias("_label")).groupBy("_label").agg(F.count("*").alias("_n"))
+    salted = of.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = one.select(key, "_size", "_item", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int").alias("_salt"))
+    shared = dealt.join(salted, ["_item", "_salt"]).select(key, "_size", F.explode("_labels").alias("_label")).groupBy(key, "_size", "_label").agg(F.count("*").alias("_shared"))
+    score = F.col("_shared") / (F.col("_size") + F.col("_n") - F.col("_shared") + 1e-9)
+    best = shared.join(sizes, "_label").groupBy(key).agg(F.min(F.struct((-score).alias("_less"), F.col("_label"))).alias("_best"))
+    return best.select(key, F.col("_best._label").alias(label), (-F.col("_best._less")).alias("score"))

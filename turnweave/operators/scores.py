@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,8 +12,8 @@ def not_nan(x: Column) -> Column:
     return F.when(~F.isnan(x), x)
 
 
-def index_percentile(rows: DataFrame, value: str, shares: list[float]) -> DataFrame:
-    """The value at place ``min(n - 1, int(share * n))`` of the sorted values, per share, in one row each.
+def order_statistics(rows: DataFrame, value: str, places: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """(name, value): the values at places of the sorted values, each place given as a function of their number.
 
     No sorted list is gathered and no task numbers all rows: values are counted, and the running count
     over distinct values finds the place.
@@ -27,9 +29,27 @@ def index_percentile(rows: DataFrame, value: str, shares: list[float]) -> DataFr
     sums = block.groupBy("_b").agg(F.sum("_c").alias("_s"))
     before = sums.withColumn("_before", F.coalesce(F.sum("_s").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_s")
     ranked = inside.join(before, "_b").withColumn("_upto", F.col("_upto") + F.col("_before"))
-    wanted = total.select(F.explode(F.array(*[F.struct(F.lit(s).alias("share"), F.least(F.col("_n") - 1, F.floor(F.col("_n") * s)).alias("_at")) for s in shares])).alias("x")).select("x.*")
-    hit = ranked.join(F.broadcast(wanted), (F.col("_upto") > F.col("_at")) & (F.col("_upto") - F.col("_c") <= F.col("_at")))  # one row per share on the right
-    return hit.select("share", F.col(value).alias("value"))
+    wanted = total.select(F.explode(F.array(*[F.struct(F.lit(name).alias("name"), place(F.col("_n")).cast("bigint").alias("_at")) for name, place in places.items()])).alias("x")).select("x.*")
+    hit = ranked.join(F.broadcast(wanted), (F.col("_upto") > F.col("_at")) & (F.col("_upto") - F.col("_c") <= F.col("_at")))  # one row per place on the right
+    return hit.select("name", F.col(value).alias("value"))
+
+
+def index_percentile(rows: DataFrame, value: str, shares: list[float]) -> DataFrame:
+    """The value at place ``min(n - 1, int(share * n))`` of the sorted values, per share, in one row each."""
+    places = {str(s): (lambda n, s=s: F.least(n - 1, F.floor(n * s))) for s in shares}
+    return order_statistics(rows, value, places).select(F.col("name").cast("double").alias("share"), "value")
+
+
+def grouped_median(counts: DataFrame, keys: list[str], value: str, count: str) -> DataFrame:
+    """The median of each group from counts per value: the mean of the two middle values where their number is even.
+
+    Counts come map-side combined, and the running count over a group's distinct values needs no buffer of them.
+    """
+    w = Window.partitionBy(*keys)
+    upto, n = F.sum(count).over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)), F.sum(count).over(w)
+    ranked = counts.withColumns({"_upto": upto, "_n": n})
+    at = lambda place: F.max(F.when((F.col("_upto") > place) & (F.col("_upto") - F.col(count) <= place), F.col(value)))
+    return ranked.groupBy(*keys).agg(((at(F.expr("(_n - 1) div 2")) + at(F.expr("_n div 2"))) / 2).alias("median"))
 
 
 def z_statistics(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -84,21 +104,28 @@ def silence_cuts(states: DataFrame, least_gap: int, totals: DataFrame) -> DataFr
     return middle.unionByName(ends).distinct()
 
 
-def overlap_ms(rows: DataFrame, key: str, channel: str, start: str, end: str) -> DataFrame:
-    """Milliseconds in which both channels of a key are active, per key.
+def overlap_ms(rows: DataFrame, key: str, channel: str, start: str, end: str, block_ms: int = 3_600_000) -> DataFrame:
+    """Milliseconds in which two channels or more of a key are active, per key. Intervals that only touch do not overlap.
 
-    Active time of both together is that of each less that of their union; all three come from the
-    interval aggregate, which cuts a key of any size into blocks. Intervals that only touch do not overlap.
+    Intervals are cut at the edges of blocks of time, so a block's overlap is its own and a key of any
+    size is spread over its blocks. In a block one sorted pass over the ends of all intervals counts the
+    active ones of each channel. Rows without both ends, or that end before they begin, count for nothing.
     """
-    from turnweave.operators.intervals import interval_states, periods
-
-    def active(part: Column) -> DataFrame:
-        spans = periods(interval_states(rows, F.col(key), part, F.col(start), F.col(end)))
-        return spans.groupBy("entity", "part").agg(F.sum(F.col("period_end") - F.col("period_start")).alias("ms"))
-
-    each = active(F.col(channel)).select("entity", "ms")
-    union = active(F.lit("")).select("entity", (-F.col("ms")).alias("ms"))
-    return each.unionByName(union).groupBy(F.col("entity").alias(key)).agg(F.sum("ms").alias("both_ms"))
+    s, e = F.col(start).cast("bigint"), F.col(end).cast("bigint")
+    cut = rows.where(e > s).select(F.col(key).alias("_key"), F.col(channel).alias("_ch"), s.alias("_s"), e.alias("_e"))
+    cut = cut.withColumn("_block", F.explode(F.sequence(F.floor(F.col("_s") / block_ms), F.floor((F.col("_e") - 1) / block_ms))))
+    low, high = F.greatest("_s", F.col("_block") * block_ms), F.least("_e", (F.col("_block") + 1) * block_ms)
+    ends = cut.select("_key", "_block", "_ch", F.explode(F.array(F.struct(low.alias("t"), F.lit(1).alias("d")), F.struct(high.alias("t"), F.lit(-1).alias("d")))).alias("x"))
+    steps = ends.groupBy("_key", "_block", "_ch", F.col("x.t").alias("_t")).agg(F.sum("x.d").alias("_d"))
+    own = Window.partitionBy("_key", "_block", "_ch").orderBy("_t")
+    # A channel is active from a step where its count is positive; only changes of that matter to the others.
+    active = (F.sum("_d").over(own) > 0).cast("int")
+    turned = steps.withColumn("_on", active)
+    turned = turned.withColumn("_change", F.col("_on") - F.coalesce(F.lag("_on").over(own), F.lit(0)))
+    every = Window.partitionBy("_key", "_block").orderBy("_t")
+    at_once = F.sum("_change").over(every.rowsBetween(Window.unboundedPreceding, 0))
+    spans = turned.select("_key", at_once.alias("_n"), (F.lead("_t").over(every) - F.col("_t")).alias("_ms"))
+    return spans.groupBy(F.col("_key").alias(key)).agg(F.coalesce(F.sum(F.when(F.col("_n") > 1, F.col("_ms"))), F.lit(0)).cast("bigint").alias("both_ms"))
 
 
 def sequence_log_prob(tokens: DataFrame, keys: list[str], label: str = "label", logp: str = "logp") -> DataFrame:
@@ -125,14 +152,38 @@ def masked_text_loss(tokens: DataFrame, pad: int = 3) -> DataFrame:
     )
 
 
-def weighted_audio_loss(tokens: DataFrame, semantic: float = 100.0, acoustic: float = 1.0) -> DataFrame:
-    """Loss over codebooks 0 (semantic) and 1..7 (acoustic): sums weighted and divided by the weighted counts; 0 without any."""
-    use = F.col("label") != -1
-    weight = F.when(F.col("codebook") == 0, semantic).otherwise(acoustic)
+def weighted_audio_loss(tokens: DataFrame, semantic: float = 100.0, acoustic: float = 1.0, codebooks: int = 8, user_stream: bool = False) -> DataFrame:
+    """Loss over codebooks 0 (semantic) and the acoustic ones up to ``codebooks``: sums weighted and divided by the weighted counts; 0 without any.
+
+    With ``user_stream`` the user's codebooks follow, their semantic one first; without, they are left out.
+    """
+    book = F.col("codebook")
+    use = (F.col("label") != -1) & (F.lit(user_stream) | (book < codebooks))
+    weight = F.when(book % codebooks == 0, semantic).otherwise(acoustic)
     total = F.sum(F.when(use, weight).otherwise(0.0))
     return tokens.agg((F.when(total > 0, F.sum(F.when(use, weight * F.col("loss")).otherwise(0.0)) / total).otherwise(0.0)).alias("audio_loss"))
 
 
+def text_losses(tokens: DataFrame, marked: list[int], pad: int = 3) -> DataFrame:
+    """Mean loss over labels that are neither ignored nor padding, and over the ``marked`` ones of them; NaN where there are none."""
+    use = ~F.col("label").isin(-1, pad)
+    mean = lambda c: F.coalesce(F.avg(F.when(c, F.col("loss"))), F.lit(float("nan")))
+    return tokens.agg(mean(use).alias("mean"), mean(use & F.col("label").isin(marked)).alias("marked"))
+
+
+def flip_summary(rows: DataFrame, style: str, matched: str = "matched", swapped: str = "swapped") -> DataFrame:
+    """Per style and over all: pairs, mean of either condition, mean of swapped less matched, and percent of pairs where swapped is greater.
+
+    Pairs with a NaN or null on either side count for nothing; a style without a pair gives no row.
+    """
+    m, s = F.col(matched), F.col(swapped)
+    good = rows.where(m.isNotNull() & s.isNotNull() & ~F.isnan(m) & ~F.isnan(s))
+    g = good.groupingSets([[style], []], style).agg(
+        F.count("*").alias("n"), F.avg(m).alias("matched"), F.avg(s).alias("swapped"), F.avg(s - m).alias("effect"), (100.0 * F.avg(F.when(m < s, 1.0).otherwise(0.0))).alias("accuracy"),
+    )
+    return g.where("n > 0").select(F.coalesce(style, F.lit("all")).alias("style"), "n", "matched", "swapped", "effect", "accuracy")
+
+
 def _channel_text(export: Column, channel: str) -> Column:
     """A channel's transcripts in order of start, joined and brought to one form."""
     from turnweave.functions.text import normalize_ja
@@ -142,9 +193,11 @@ def _channel_text(export: Column, channel: str) -> Column:
     return normalize_ja(F.array_join(F.transform(placed, lambda x: x.t), ""), lower=False)
 
 
-def annotation_problems(export: str = "segments", prelabel: str | None = None) -> Column:
+def annotation_problems(export: str = "segments", prelabel: str | None = None, complete: Column | None = None) -> Column:
     """Failures of an export's segments, then what is doubtful about it; "no segments" alone where there are none.
 
+    ``complete`` says whether the export has audio, channels and segments at all; where it has not, that is the one failure.
+
     Failures are bad channel, bad span, foreign tag. Doubtful are empty transcripts and, against the
     segments of ``prelabel`` where they are not null, an unchanged text of both channels and fewer than half the segments.
     """
@@ -175,7 +228,14 @@ def annotation_problems(export: str = "segments", prelabel: str | None = None) -
             F.when(F.col(prelabel).isNotNull() & (n < 0.5 * F.size(prelabel)), F.concat(F.lit("segment count dropped "), F.size(prelabel).cast("string"), F.lit("->"), n.cast("string"))),
         ]
     found = F.concat(F.flatten(F.transform(export, of)), F.array_compact(F.array(*doubts)))
-    return F.when(F.coalesce(F.size(export), F.lit(0)) <= 0, F.array(F.lit("no segments"))).otherwise(found)
+    found = F.when(F.coalesce(F.size(export), F.lit(0)) <= 0, F.array(F.lit("no segments"))).otherwise(found)
+    return found if complete is None else F.when(complete, found).otherwise(F.array(F.lit("not a valid export")))
+
+
+def annotation_status(problems: Column) -> Column:
+    """FAIL where a problem is a failure, WARN where all are only doubtful, PASS without any."""
+    doubtful = lambda p: p.rlike("^[0-9]+/[0-9]+ empty transcripts$|^identical to prelabel$|^segment count dropped ")
+    return F.when(F.size(problems) == 0, "PASS").when(F.forall(problems, doubtful), "WARN").otherwise("FAIL")
 
 
 #: Names of JavaScript prototypes, which no cell of a diagram may have as its id.
@@ -188,22 +248,26 @@ RESERVED = """
 
 
 def graph_problems(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(problem, id): duplicate ids, ids of odd characters, reserved names, ids both node and edge, edge ends that are no node, missing parents, parent cycles.
+    """(problem, id): duplicate ids, ids of odd characters, reserved names, ids both node and edge, edge ends that are no node or that are missing, missing parents, parent cycles.
+
+    An end that is missing is none if the edge has a point there (``source_point``, ``target_point``, if these columns exist).
 
     Cycles are found by pointer doubling: each round replaces a parent by its parent's parent, so a
     chain of any length ends at its root after a logarithm of rounds.
     """
     duplicate = nodes.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.lit("duplicate id").alias("problem"), "id")
-    odd = nodes.where("NOT id RLIKE '^[A-Za-z0-9_-]+$'").select(F.lit("odd id").alias("problem"), "id").distinct()
     ids = nodes.select("id").distinct()
     cells = ids.union(edges.select("id"))
+    odd = cells.where("NOT id RLIKE '^[A-Za-z0-9_-]+$'").select(F.lit("odd id").alias("problem"), "id").distinct()
     reserved = cells.where(F.col("id").isin(RESERVED)).select(F.lit("reserved name").alias("problem"), "id").distinct()
     both = ids.join(edges.select("id"), "id", "left_semi").select(F.lit("vertex and edge").alias("problem"), "id")
     ends = edges.select("id", F.explode(F.array("source", "target")).alias("end"))
-    dangling = ends.join(ids.withColumnRenamed("id", "end"), "end", "left_anti").select(F.lit("dangling edge").alias("problem"), "id").distinct()
+    dangling = ends.join(ids.withColumnRenamed("id", "end"), "end", "left_anti").where("end IS NOT NULL").select(F.lit("dangling edge").alias("problem"), "id").distinct()
+    point = lambda end: F.coalesce(F.col(f"{end}_point"), F.lit(False)) if f"{end}_point" in edges.columns else F.lit(False)
+    open_ends = edges.select("id", F.explode(F.array(*[F.when(F.col(end).isNull() & ~point(end), F.lit(f"no {end}")) for end in ("source", "target")])).alias("problem")).where("problem IS NOT NULL").select("problem", "id")
     parented = nodes.where("parent IS NOT NULL")
     orphan = parented.join(ids.withColumnRenamed("id", "parent"), "parent", "left_anti").select(F.lit("missing parent").alias("problem"), "id")
-    return duplicate.unionByName(odd).unionByName(reserved).unionByName(both).unionByName(dangling).unionByName(orphan).unionByName(_cycles(parented))
+    return duplicate.unionByName(odd).unionByName(reserved).unionByName(both).unionByName(dangling).unionByName(open_ends).unionByName(orphan).unionByName(_cycles(parented))
 
 
 def _cycles(parented: DataFrame, most_rounds: int = 64) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnweave.plans import corpus, folds, pipeline, scoring, token_streams, transcripts
+from turnweave.plans import corpus, files, folds, pipeline, scoring, token_streams, transcripts
 
-_MODULES = (transcripts, token_streams, corpus, scoring, folds, pipeline)
+_MODULES = (transcripts, token_streams, corpus, scoring, folds, pipeline, files)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

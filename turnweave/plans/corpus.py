@@ -23,11 +23,12 @@ def docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def turns(spark, d):
-    return C.drop_unusable(C.parse_turns(docs(spark, d).where("form IN ('turns', 'roles')")))
+    return C.drop_unusable(C.parse_turns(docs(spark, d)))
 
 
 def str08_parse_dialogue(spark, d):
-    return turns(spark, d).select("doc_id", "pos", "speaker", F.md5("text").alias("digest"))
+    """Generated dialogues: a model's leading role word goes, and so does a last turn that is not a finished sentence."""
+    return C.parse_dialogue(docs(spark, d)).select("doc_id", "pos", "speaker", F.md5("text").alias("digest"))
 
 
 def flt04_drop_unusable(spark, d):
@@ -106,17 +107,27 @@ def flt06_duration(spark, d):
 
 
 def _quality(spark, d):
+    """Segments through the chain of drops; what costs a Python stage is asked only of those that the cheap rules leave."""
     rows = docs(spark, d).select("doc_id", "text", "lang", "n_chars")
-    return C.reasons(
+    n_words = F.size(F.filter(F.split("text", rf"[{T.SPACES}]+"), lambda w: w.rlike(r"[\p{L}\p{N}]")))
+    cheap = C.reasons(
         rows,
         [
             ("len", ~F.length("text").between(20, 3_000)),
             ("empty", F.trim("text") == ""),
             ("quality", F.abs(F.length("text") - F.col("n_chars")) > 5),
+        ],
+    )
+    late = C.reasons(
+        cheap.where("reason IS NULL").drop("reason"),
+        [
             ("hallucination", T.hallucination_reason(F.col("text"), 0.05, 0.3) != ""),
-            ("no lang", F.col("lang").isNull()),
+            ("no words", n_words == 0),
+            ("no tokens", F.regexp_replace("text", rf"[{T.SPACES}]+", "") == ""),
+            ("error", F.col("lang").isNull()),
         ],
     )
+    return cheap.where("reason IS NOT NULL").unionByName(late)
 
 
 def flt07_quality_gate(spark, d):
@@ -183,34 +194,18 @@ def set05_duplicate_ids(spark, d):
     return read(spark, d, "dialogues").groupBy("dialogue_id").agg(F.count("*").alias("n")).where("n > 1")
 
 
-def _bigrams(spark, d):
-    ja = docs(spark, d).where("lower(lang) = 'ja'").select("doc_id", F.coalesce("source", F.lit("none")).alias("topic"), "text")
-    return ja.select("doc_id", "topic", F.explode(T.bigram_set(F.col("text"))).alias("gram"))
+def _gram_sets(spark, d):
+    return docs(spark, d).select("doc_id", F.coalesce("source", F.lit("none")).alias("topic"), T.gram_set(F.col("text")).alias("grams"))
 
 
 def agg16_topic_sets(spark, d):
-    return _bigrams(spark, d).groupBy("topic").agg(F.countDistinct("gram").alias("n_grams"))
+    return _gram_sets(spark, d).select("topic", F.explode("grams").alias("gram")).groupBy("topic").agg(F.countDistinct("gram").alias("n_grams"))
 
 
 def set04_best_topic(spark, d):
-    """Each text's best topic by Jaccard similarity of 2-gram sets; the first topic by name wins ties.
-
-    Only pairs that share a gram are formed, by a join on the gram and a map-side combined count.
-    """
-    grams = _bigrams(spark, d)
-    topics = grams.select("topic", "gram").distinct()
-    sizes = topics.groupBy("topic").agg(F.count("*").alias("n_topic"))
-    own = grams.groupBy("doc_id").agg(F.count("*").alias("n_doc"))
-    shared = grams.select("doc_id", "gram").join(topics, "gram").groupBy("doc_id", "topic").agg(F.count("*").alias("n"))
-    scored = shared.join(sizes, "topic").join(own, "doc_id").withColumn("score", F.col("n") / (F.col("n_doc") + F.col("n_topic") - F.col("n") + 1e-9))
-    ranked = scored.withColumn("rank", -F.dense_rank().over(_by_topic()))
-    return ranked.groupBy("doc_id").agg(F.max_by("topic", F.struct("score", "rank")).alias("topic"), F.round(F.max("score"), 6).alias("score"))
-
-
-def _by_topic():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("doc_id").orderBy("topic")
+    """Each text's best topic by Jaccard similarity of 2-gram sets; the first topic by name wins ties."""
+    best = C.best_by_jaccard(_gram_sets(spark, d), "doc_id", "topic", "grams")
+    return best.select("doc_id", "topic", F.round("score", 6).alias("score"))
 
 
 def agg09_repetition(spark, d):
@@ -244,7 +239,7 @@ def str06_formality(spark, d):
 def agg03_style_confusion(spark, d):
     """Requested style (from the source) against the measured one, with the share that matches in percent."""
     requested = F.when(F.col("doc_id") % 2 == 0, "polite").otherwise("casual")
-    rows = docs(spark, d).where("lower(lang) = 'ja'").select(requested.alias("style"), T.formality(F.col("text")).alias("measured"))
+    rows = docs(spark, d).select(requested.alias("style"), T.formality(F.col("text")).alias("measured"))
     return rows.groupBy("style").agg(
         *[F.count_if(F.col("measured") == m).alias(m) for m in ("polite", "casual", "mixed")],
         F.round(100.0 * F.count_if(F.col("measured") == F.col("style")) / F.greatest(F.count("*"), F.lit(1)), 6).alias("match_pct"),
@@ -334,22 +329,28 @@ def src15_score_shapes(spark, d):
 
 
 def jsn01_sparse_json(spark, d):
-    """Dialogues as JSON without null fields."""
-    rows = read(spark, d, "dialogues").select("dialogue_id", "topic", "lang").distinct()
-    return rows.select("dialogue_id", F.to_json(F.struct("lang", "topic")).alias("json"))
+    """Dialogues as JSON without null fields and without empty maps and lists."""
+    rows = read(spark, d, "dialogues").groupBy("dialogue_id").agg(F.min("topic").alias("topic"), F.min("lang").alias("lang"))
+    extra = F.when(F.ascii(F.md5("dialogue_id")) % 2 == 0, F.create_map(F.lit("k"), F.lit(1))).otherwise(F.create_map().cast("map<string,int>"))
+    notes = F.when(F.ascii(F.md5("dialogue_id")) % 3 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array().cast("array<string>"))
+    return rows.select("dialogue_id", T.sparse_json({"lang": F.col("lang"), "topic": F.col("topic"), "extra": extra, "notes": notes}).alias("json"))
 
 
 def jsn02_tolerant_parse(spark, d):
-    """Chat arrays as turns: texts that are no valid array give none."""
-    rows = docs(spark, d).where("form = 'json'").select("doc_id", F.when(F.try_parse_json("text").isNotNull() & F.rtrim("text").endswith("]"), F.from_json("text", "array<array<string>>")).alias("turns"))
-    return rows.select("doc_id", F.coalesce(F.size("turns"), F.lit(-1)).alias("n"))
+    """A field that holds an object or the object's text, from whole documents: scripts with a persona given either way, with one broken or none."""
+    k, obj = F.col("doc_id") % 5, F.concat(F.lit('{"role": "r'), F.col("doc_id"), F.lit('", "pace": null}'))
+    given = F.when(k == 0, obj).when(k == 1, F.to_json(F.struct(obj.alias("x"))).substr(F.lit(6), F.length(F.to_json(F.struct(obj.alias("x")))) - 6)).when(k == 2, F.lit("{}")).when(k == 3, F.lit("null")).otherwise(F.lit('"{broken"'))
+    script = F.concat(F.lit('{"text": '), F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("t"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("t")))) - 6), F.lit(', "persona_json": '), given, F.lit("}"))
+    rows = read(spark, d, "documents").select("doc_id", script.alias("script"))
+    persona = T.object_or_text("script", "persona_json")
+    return rows.select("doc_id", F.get_json_object(persona, "$.role").alias("role"), persona.isNotNull().alias("found"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if re.match(r"(str|flt|win|snk|jn|set|agg|src|jsn)\d\d_", k)}
 
 
-_TURNS = r"""lines AS (SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL AND form IN ('turns', 'roles'))),
+_TURNS = r"""lines AS (SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)),
 labelled AS (SELECT doc_id, CAST(pos AS INTEGER) AS pos, regexp_extract(line, '{turn}', 1) AS label, regexp_extract(line, '{turn}', 2) AS text FROM lines),
 turns AS (SELECT doc_id, pos, CASE WHEN label IN ('A', 'Ａ', 'USER') THEN 'A' ELSE 'B' END AS speaker, text FROM labelled WHERE label <> '' AND text <> '')""".replace("{turn}", C.TURN.replace("\\t", "\t").replace("\\n", "\n"))
 _MERGED = """runs AS (SELECT *, sum(f) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM (SELECT *, CASE WHEN speaker = lag(speaker) OVER (PARTITION BY doc_id ORDER BY pos) THEN 0 ELSE 1 END AS f FROM turns)),
@@ -367,12 +368,16 @@ _WIDE = lambda t: f"translate({t}, '{''.join(map(chr, range(0xFF01, 0xFF5F)))}',
 
 def oracle_sql() -> dict[str, str]:
     trim = f"regexp_replace(text, '^[{_SPACE}]+|[{_SPACE}]+$', '', 'g')"
-    bigrams = f"WITH b AS (SELECT doc_id, coalesce(source, 'none') AS topic, unnest({_GRAMS('text')}) AS gram FROM documents WHERE text IS NOT NULL AND lower(lang) = 'ja')"
+    bigrams = f"WITH b AS (SELECT doc_id, coalesce(source, 'none') AS topic, unnest({_GRAMS('text')}) AS gram FROM documents WHERE text IS NOT NULL)"
     maps = "SELECT dialogue_id, min(topic) AS topic, min(lang) AS lang FROM dialogues GROUP BY 1"
     arr = lambda values, m: f"([{', '.join('NULL' if v is None else chr(39) + v + chr(39) for v in values)}])[(doc_id + {m}) % {len(values)} + 1]"
     return {
-        "str08_parse_dialogue": f"WITH {_TURNS} SELECT doc_id, pos, speaker, md5(text) AS digest FROM turns",
-        "flt04_drop_unusable": f"WITH {_TURNS.replace(chr(39) + 'turns' + chr(39) + ', ' + chr(39) + 'roles' + chr(39), chr(39) + 'turns' + chr(39) + ', ' + chr(39) + 'roles' + chr(39) + ', ' + chr(39) + 'prose' + chr(39) + ', ' + chr(39) + 'json' + chr(39) + ', ' + chr(39) + 'prompt' + chr(39))} SELECT count(*) AS n_lines, count(*) FILTER (label = '') AS n_unknown, count(*) FILTER (label <> '' AND text = '') AS n_empty FROM labelled",
+        "str08_parse_dialogue": f"""WITH bare AS (SELECT doc_id, regexp_replace(text, '^[{_SPACE}]*(analysis|final|assistant)([^\\p{{L}}\\p{{N}}_][{_SPACE}:：]*|$)', '') AS text FROM documents WHERE text IS NOT NULL),
+            l AS (SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS line FROM (SELECT doc_id, regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]') AS l FROM bare)),
+            m AS (SELECT doc_id, pos, regexp_extract(line, '^[{_SPACE}]*([ABＡＢ])[{_SPACE}]*[:：]', 1) AS label, regexp_replace(regexp_replace(line, '^[{_SPACE}]*[ABＡＢ][{_SPACE}]*[:：][{_SPACE}]*', ''), '[{_SPACE}]+$', '') AS text FROM l),
+            k AS (SELECT *, pos = max(pos) OVER (PARTITION BY doc_id) AS last FROM m WHERE label <> '' AND text <> '')
+            SELECT doc_id, CAST(pos AS INTEGER) AS pos, CASE WHEN label IN ('A', 'Ａ') THEN 'S1' ELSE 'S2' END AS speaker, md5(text) AS digest FROM k WHERE NOT last OR contains('{T.SENTENCE_END}', right(text, 1))""",
+        "flt04_drop_unusable": f"WITH {_TURNS} SELECT count(*) AS n_lines, count(*) FILTER (label = '') AS n_unknown, count(*) FILTER (label <> '' AND text = '') AS n_empty FROM labelled",
         "win01_merge_turns": f"WITH {_TURNS}, {_MERGED} SELECT doc_id, pos, speaker, md5(text) AS digest FROM merged",
         "win01_event_runs": "WITH r AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM (SELECT *, CASE WHEN event_type = lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) THEN 0 ELSE 1 END AS f FROM events)) SELECT user_id, CAST(run AS BIGINT) AS run, any_value(event_type) AS event_type, count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id FROM r GROUP BY user_id, run",
         "win02_chunks": f"""WITH RECURSIVE {_TURNS}, {_MERGED}, k AS MATERIALIZED (SELECT doc_id, pos, length(text) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM merged),
@@ -390,7 +395,7 @@ def oracle_sql() -> dict[str, str]:
         "flt06_duration": 'SELECT row_id FROM word_transcripts WHERE "end" - start >= 0 AND round(("end" - start) * 1000) BETWEEN 2000 AND 30000',
         "flt07_quality_gate": "SELECT event_id FROM events WHERE NOT (value / 100 > 0.6 OR -value / 50 < -1.0 OR event_id % 40 / 10.0 > 2.4)",
         "flt08_drop_reasons": f"""SELECT reason, count(*) AS n FROM (SELECT CASE WHEN length(text) NOT BETWEEN 20 AND 3000 THEN 'len' WHEN trim(text) = '' THEN 'empty' WHEN abs(length(text) - n_chars) > 5 THEN 'quality'
-            WHEN ({_REP}) > 0.05 OR ({_FOREIGN}) > 0.3 THEN 'hallucination' WHEN lang IS NULL THEN 'no lang' ELSE 'kept' END AS reason FROM documents WHERE text IS NOT NULL) GROUP BY 1""",
+            WHEN ({_REP}) > 0.05 OR ({_FOREIGN}) > 0.3 THEN 'hallucination' WHEN len(list_filter(regexp_split_to_array(text, '[{_SPACE}]+'), lambda w: regexp_matches(w, '[\\p{{L}}\\p{{N}}]'))) = 0 THEN 'no words' WHEN regexp_replace(text, '[{_SPACE}]+', '', 'g') = '' THEN 'no tokens' WHEN lang IS NULL THEN 'error' ELSE 'kept' END AS reason FROM documents WHERE text IS NOT NULL) GROUP BY 1""",
         "flt09_turn_gate": f"WITH {_TURNS} SELECT doc_id, pos, CAST(k AS INTEGER) AS k FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM turns) WHERE n >= 4 AND k <= 10",
         "flt10_threshold_sweep": "SELECT CAST(t AS DOUBLE) AS threshold, count(*) AS n FROM cer_all JOIN (SELECT unnest([0.1, 0.2, 0.3, 0.4, 0.5, 1.0]::DOUBLE[]) AS t) ON cer <= t AND NOT isnan(cer) GROUP BY 1",
         "flt12_modulo_shards": "SELECT * FROM (SELECT dialogue_id, row_number() OVER (ORDER BY dialogue_id) - 1 AS k FROM (SELECT DISTINCT dialogue_id FROM dialogues)) WHERE k % 4 = 1",
@@ -410,7 +415,7 @@ def oracle_sql() -> dict[str, str]:
         "str04_foreign_ratio": f"SELECT doc_id, round({_FOREIGN}, 9) AS ratio FROM documents WHERE text IS NOT NULL",
         "str05_hallucinated": f"SELECT doc_id, CASE WHEN ({_REP}) > 0.05 THEN '4gram_rep_ratio' WHEN ({_FOREIGN}) > 0.3 THEN 'non_ja_ratio' ELSE '' END AS kind FROM documents WHERE text IS NOT NULL",
         "str06_formality": f"SELECT doc_id, {_STYLE} AS style FROM documents WHERE text IS NOT NULL",
-        "agg03_style_confusion": f"WITH x AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'polite' ELSE 'casual' END AS style, {_STYLE} AS m FROM documents WHERE text IS NOT NULL AND lower(lang) = 'ja') SELECT style, count(*) FILTER (m = 'polite') AS polite, count(*) FILTER (m = 'casual') AS casual, count(*) FILTER (m = 'mixed') AS mixed, round(100.0 * count(*) FILTER (m = style) / greatest(count(*), 1), 6) AS match_pct FROM x GROUP BY 1",
+        "agg03_style_confusion": f"WITH x AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'polite' ELSE 'casual' END AS style, {_STYLE} AS m FROM documents WHERE text IS NOT NULL) SELECT style, count(*) FILTER (m = 'polite') AS polite, count(*) FILTER (m = 'casual') AS casual, count(*) FILTER (m = 'mixed') AS mixed, round(100.0 * count(*) FILTER (m = style) / greatest(count(*), 1), 6) AS match_pct FROM x GROUP BY 1",
         "str07_persona_prompt": f"""WITH p AS (SELECT doc_id, {arr(['友人', None, '受付', ''], 0)} AS role, {arr([None, '旧友', '初対面'], 0)} AS rel, {arr(['polite', None, 'casual', 'mixed', 'rare'], 0)} AS f,
             {arr([None, 'slow', 'fast', 'medium', None, None, None], 0)} AS pace, {arr([None, 'high', None, 'low', 'medium'], 1)} AS warm, {arr(['none', None, None, 'frequent'], 1)} AS bc FROM documents),
             q AS (SELECT doc_id, CASE WHEN role <> '' THEN 'あなたは' || CASE WHEN rel <> '' THEN rel || 'の' ELSE '' END || role || 'です。' ELSE '' END
@@ -418,7 +423,7 @@ def oracle_sql() -> dict[str, str]:
               || CASE WHEN pace <> '' OR warm <> '' THEN concat_ws('、', CASE pace WHEN 'slow' THEN 'ゆっくりしたテンポ' WHEN 'medium' THEN 'ふつうのテンポ' WHEN 'fast' THEN 'テンポの速いテンポ' END, CASE warm WHEN 'low' THEN 'あっさり接し方' WHEN 'medium' THEN 'ほどよく接し方' WHEN 'high' THEN 'とても親しみのある接し方' END) || '。' ELSE '' END
               || CASE WHEN bc <> '' THEN 'あいづちは' || CASE bc WHEN 'none' THEN 'ほとんど打たない' WHEN 'sparse' THEN '控えめに打つ' ELSE 'よく打つ' END || '。' ELSE '' END AS s FROM p)
             SELECT doc_id, CASE WHEN s = '' THEN '自然な話し方で話します。' ELSE s END AS prompt FROM q""",
-        "str09_first_score": "SELECT doc_id, coalesce(TRY_CAST(nullif(regexp_extract(text[1:200], '[1-5]'), '') AS DOUBLE), 2.5) AS score FROM documents WHERE text IS NOT NULL",
+        "str09_first_score": "SELECT doc_id, coalesce(TRY_CAST(nullif(regexp_extract(text, '[1-5]'), '') AS DOUBLE), 2.5) AS score FROM documents WHERE text IS NOT NULL",
         "str11_foreign_tags": f"SELECT * FROM (SELECT row_id, CAST(len(list_filter(regexp_extract_all(word, '[（(][^（）()]*[）)]'), lambda t: regexp_replace({_WIDE('t')}, '[{_SPACE}]+', '', 'g') NOT IN ('(笑)', '(不明)'))) AS INTEGER) AS n FROM word_transcripts WHERE word IS NOT NULL) WHERE n > 0",
         "str12_stems": "SELECT rec_id, list_last(string_split(replace(stem, chr(92), '/'), '/')) AS base, string_split(list_last(string_split(replace(stem, chr(92), '/'), '/')), '_')[1] AS first, lpad(CAST(shard AS VARCHAR), 3, '0') AS shard FROM cer_all WHERE stem IS NOT NULL",
         "str13_split_prompt": "WITH x AS (SELECT doc_id, text, strpos(text, chr(10) || '---' || chr(10)) AS p FROM documents WHERE text IS NOT NULL AND form = 'prompt') SELECT doc_id, md5(lower(CASE WHEN p > 0 THEN text[1:p - 1] ELSE '' END)) AS prompt, md5(lower(CASE WHEN p > 0 THEN text[p + 5:] ELSE text END)) AS body FROM x",
@@ -432,6 +437,6 @@ def oracle_sql() -> dict[str, str]:
         "src09_projection": "SELECT l_orderkey % 16 AS k, count(*) AS n FROM lineitem WHERE l_shipdate < TIMESTAMP '1996-01-01' GROUP BY 1",
         "src14_script_map": f"SELECT topic, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_dialogues FROM (SELECT dialogue_id, count(*) AS n FROM word_transcripts GROUP BY 1) JOIN ({maps}) USING (dialogue_id) GROUP BY topic",
         "src15_score_shapes": "SELECT event_id, 'k' AS path, CAST(json_extract(props, '$.k') AS DOUBLE) AS score FROM events WHERE json_extract(props, '$.k') IS NOT NULL",
-        "jsn01_sparse_json": """SELECT DISTINCT dialogue_id, '{"lang":"' || lang || '"' || CASE WHEN topic IS NULL THEN '' ELSE ',"topic":"' || topic || '"' END || '}' AS json FROM dialogues""",
-        "jsn02_tolerant_parse": "SELECT doc_id, CAST(CASE WHEN json_valid(text) THEN coalesce(json_array_length(text), -1) ELSE -1 END AS INTEGER) AS n FROM documents WHERE form = 'json' AND text IS NOT NULL",
+        "jsn01_sparse_json": f"""SELECT dialogue_id, '{{' || concat_ws(',', '"lang":"' || lang || '"', '"topic":"' || topic || '"', CASE WHEN ascii(md5(dialogue_id)) % 2 = 0 THEN '"extra":{{"k":1}}' END, CASE WHEN ascii(md5(dialogue_id)) % 3 = 0 THEN '"notes":["a","b"]' END) || '}}' AS json FROM ({maps})""",
+        "jsn02_tolerant_parse": "SELECT doc_id, CASE WHEN doc_id % 5 < 2 THEN 'r' || doc_id END AS role, doc_id % 5 < 2 AS found FROM documents",
     }

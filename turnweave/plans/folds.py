@@ -53,11 +53,11 @@ def str10_error_rate(spark, d):
 
 def stm06_jitter(spark, d):
     e = read(spark, d, "events").select("user_id", "event_id", (F.col("value") % 40).alias("arrive_ms"), F.lit(20.0).alias("play_ms"))
-    return jitter(e)
+    return jitter(e, every=10)
 
 
 def stm09_text_cursor(spark, d):
-    """Text ids placed by the bookkeeping of an autoregressive run: A's text row emits, B's content is consumed."""
+    """The text row of a run in which A's text row is what the model emits and B's text is what it has to say."""
     from turnweave.streaming.live import text_cursor
 
     @F.arrow_udf("array<int>")
@@ -69,9 +69,27 @@ def stm09_text_cursor(spark, d):
     return out.select("row_id", F.size("ids").alias("n"), X.digest(F.col("ids")).alias("digest"))
 
 
+def stm09_held_audio(spark, d):
+    """A's audio rows as a run gives them: the initial id stands until a row's delay, less one frame of prompt, has passed."""
+    from turnweave.streaming.live import held_audio
+
+    held = held_audio(F.slice("A", 2, 8), [0, 1, 2, 3, 1, 1, 1, 4], 1, 2_048)
+    return matrix_rows(sides(spark, d).withColumn("streams", held), ["row_id"], "streams")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if re.match(r"[a-z]{3}\d\d_", k)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from turnweave.plans import sql as Q
+
+    digest = lambda a: f"md5(array_to_string(list_transform({a}, lambda q: CAST(q AS VARCHAR)), ','))"
+    return {
+        "stm09_text_cursor": f"""WITH {Q.V1}, x AS (SELECT row_id, a[1] AS e, list_filter(b[1], lambda q: q NOT IN (0, 3)) AS t FROM v1), s AS (SELECT row_id, t, unnest(range(len(e))) AS k, unnest(e) AS e FROM x),
+            p AS (SELECT *, coalesce(sum(CASE WHEN e NOT IN (0, 3) THEN 1 ELSE 0 END) OVER (PARTITION BY row_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS z FROM s),
+            o AS (SELECT row_id, list(CASE WHEN z >= len(t) THEN 3 WHEN e IN (0, 3) THEN e ELSE t[CAST(z AS BIGINT) + 1] END ORDER BY k) AS ids FROM p GROUP BY row_id)
+            SELECT row_id, CAST(len(ids) AS INTEGER) AS n, {digest('ids')} AS digest FROM o""",
+        "stm09_held_audio": f"""WITH {Q.V1} SELECT row_id, CAST(k - 1 AS INTEGER) AS r, CAST(len(r) AS INTEGER) AS n, {digest('list_transform(r, lambda x, i: CASE WHEN i <= greatest(0, ([0, 1, 2, 3, 1, 1, 1, 4])[k] - 1) THEN 2048 ELSE x END)')} AS digest
+            FROM (SELECT row_id, unnest(range(1, 9)) AS k, unnest(a[2:9]) AS r FROM v1)""",
+    }

@@ -21,10 +21,6 @@ def src08_named_parquet(spark, d):
     return spark.read.parquet(f"{d}/orders.parquet", f"{d}/orders.parquet").select("o_orderkey", "o_totalprice").groupBy((F.col("o_orderkey") % 10).alias("k")).agg(F.count("*").alias("n"))
 
 
-def src10_text_field(spark, d):
-    return docs(spark, d).select("doc_id", F.get_json_object(F.to_json(F.struct("text")), "$.text").alias("text")).select("doc_id", F.length("text").alias("n"))
-
-
 def src19_speaker_pairs(spark, d):
     """Dialogues with segments of both speakers; segments with bad or missing spans are dropped first."""
     w = read(spark, d, "word_transcripts").select("dialogue_id", "speaker", F.try_to_number(F.col("start").cast("string"), F.lit("999999.999")).alias("s"), "start", "end").where("start IS NOT NULL AND `end` > start")
@@ -100,7 +96,6 @@ def oracle_sql() -> dict[str, str]:
     b = 150
     return {
         "src08_named_parquet": "SELECT o_orderkey % 10 AS k, 2 * count(*) AS n FROM orders GROUP BY 1",
-        "src10_text_field": "SELECT doc_id, CAST(length(text) AS INTEGER) AS n FROM documents WHERE text IS NOT NULL",
         "src19_speaker_pairs": """SELECT * FROM (SELECT dialogue_id, count(*) AS n_a FROM word_transcripts WHERE speaker = 'A' AND "end" > start GROUP BY 1) JOIN (SELECT dialogue_id, count(*) AS n_b FROM word_transcripts WHERE speaker = 'B' AND "end" > start GROUP BY 1) USING (dialogue_id)""",
         "src22_merge_scores": "SELECT shard, count(*) AS n, count(stem) AS n_stems FROM cer_all GROUP BY 1",
         "snk04_json_lines": """SELECT doc_id, '{"doc_id":' || doc_id || ',"form":"' || form || '"}' AS line FROM documents""",
@@ -110,9 +105,9 @@ def oracle_sql() -> dict[str, str]:
               SELECT k.doc_id, k.i, k.n, CASE WHEN r.used + k.n > {b} THEN k.n ELSE r.used + k.n END, r.chunk + CASE WHEN r.used + k.n > {b} THEN 1 ELSE 0 END FROM r JOIN k ON k.doc_id = r.doc_id AND k.i = r.i + 1)
             SELECT format('{{}}_part{{:02d}}', doc_id, chunk) AS name, count(*) AS n, CAST(sum(n) AS BIGINT) AS chars FROM r GROUP BY 1""",
         "flt01_drop_columns": "SELECT doc_id, form FROM documents",
-        "jn02_missing_both_ways": "WITH a AS (SELECT DISTINCT dialogue_id FROM dialogue_tokens), b AS (SELECT DISTINCT dialogue_id FROM word_transcripts WHERE speaker = 'overlap') SELECT dialogue_id, 'right' AS lacks FROM a WHERE dialogue_id NOT IN (SELECT * FROM b) UNION ALL SELECT dialogue_id, 'left' FROM b WHERE dialogue_id NOT IN (SELECT * FROM a)",
+        "jn02_missing_both_ways": "WITH a AS (SELECT DISTINCT dialogue_id FROM dialogue_tokens), b AS (SELECT DISTINCT dialogue_id FROM word_transcripts) SELECT dialogue_id, 'right' AS lacks FROM a WHERE dialogue_id NOT IN (SELECT * FROM b) UNION ALL SELECT dialogue_id, 'left' FROM b WHERE dialogue_id NOT IN (SELECT * FROM a)",
         "jn10_both_directions": f"WITH {Q.V1} SELECT row_id, 'A' AS main, {digest('a[1]')} AS digest FROM v1 UNION ALL SELECT row_id, 'B', {digest('b[1]')} FROM v1",
-        "bat02_typed_collate": f"""WITH x AS (SELECT doc_id // 16 AS batch_id, doc_id, list_transform(string_split(text[1:64], ''), lambda c: unicode(c) % 31996 + 4) AS x, doc_id % 9 AS p FROM documents WHERE text <> ''), y AS (SELECT *, max(len(x)) OVER (PARTITION BY batch_id) AS most FROM x)
+        "bat02_typed_collate": f"""WITH x AS (SELECT doc_id // 16 AS batch_id, doc_id, list_transform(string_split(text, ''), lambda c: unicode(c) % 31996 + 4) AS x, doc_id % 9 AS p FROM documents WHERE text <> ''), y AS (SELECT *, max(len(x)) OVER (PARTITION BY batch_id) AS most FROM x)
             SELECT batch_id, doc_id, {digest('list_resize(x, most, -1)')} AS ids, {digest('list_transform(range(most), lambda i: CASE WHEN i < len(x) THEN 1 ELSE 0 END)')} AS mask, {digest('list_transform(list_resize(x, most, -1), lambda v, i: CASE WHEN i <= p THEN -1 ELSE v END)')} AS labels FROM y""",
         "stm02_receive": "SELECT CASE WHEN event_id % 11 = 0 THEN 'not binary' WHEN event_id % 10 = 0 THEN 'empty' WHEN event_id % 9 = 1 THEN 'accepted' ELSE (['handshake', 'audio', 'text', 'control', 'metadata', 'error', 'ping', 'coloured', 'unknown'])[event_id % 9 + 1] END AS reason, count(*) AS n FROM events GROUP BY 1",
     }

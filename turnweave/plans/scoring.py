@@ -12,7 +12,7 @@ from turnweave.functions import arrays as X
 from turnweave.functions import text as T
 from turnweave.operators import intervals as I
 from turnweave.operators import scores as S
-from turnweave.operators.corpus import induced_subgraph, repeated
+from turnweave.operators.corpus import induced_subgraph, recovered_spans, repeated, single_speaker
 from turnweave.operators.streams import number_rows
 from turnweave.plans.corpus import docs, read, turns
 
@@ -29,8 +29,11 @@ def _candidates(spark, d):
 
 def agg01_distribution(spark, d):
     rows = _cer(spark, d)
-    stats = rows.agg(F.count("*").alias("n"), F.round(F.avg("cer"), 9).alias("mean"), F.median("cer").alias("median"), F.max("cer").alias("most"))
-    p = S.index_percentile(rows, "cer", [0.1, 0.5, 0.9, 0.99]).groupBy().agg(*[F.max(F.when(F.col("share") == s, F.col("value"))).alias(f"p{int(s * 100)}") for s in (0.1, 0.5, 0.9, 0.99)])
+    stats = rows.agg(F.count("*").alias("n"), F.round(F.avg("cer"), 9).alias("mean"), F.max("cer").alias("most"))
+    places = {f"p{int(s * 100)}": (lambda n, s=s: F.least(n - 1, F.floor(n * s))) for s in (0.1, 0.5, 0.9, 0.99)}
+    places |= {"low": lambda n: F.floor((n - 1) / 2), "high": lambda n: F.floor(n / 2)}
+    p = S.order_statistics(rows, "cer", places).groupBy().agg(*[F.max(F.when(F.col("name") == k, F.col("value"))).alias(k) for k in places])
+    p = p.withColumn("median", (F.col("low") + F.col("high")) / 2).drop("low", "high")
     return stats.crossJoin(F.broadcast(p))
 
 
@@ -78,10 +81,13 @@ def agg11_mean_without_nan(spark, d):
 
 
 def agg12_tag_channel(spark, d):
-    """Mean, median and count per tag and channel, and pooled per tag, in one pass."""
+    """Mean, median and count per tag and channel, and pooled per tag, from one count per value."""
     rows = _cer(spark, d).select(F.substring_index(F.lower("stem"), "_", 1).alias("tag"), F.when(F.col("rec_id") % 2 == 0, "L").otherwise("R").alias("ch"), "cer")
-    g = rows.groupingSets([["tag", "ch"], ["tag"]], "tag", "ch").agg(F.count("*").alias("n"), F.round(F.avg("cer"), 9).alias("mean"), F.round(F.median("cer"), 9).alias("median"))
-    return g.select("tag", F.coalesce("ch", F.lit("pooled")).alias("ch"), "n", "mean", "median")
+    counts = rows.groupBy("tag", "ch", "cer").agg(F.count("*").alias("n"), F.sum("cer").alias("s"))
+    both = counts.withColumn("ch", F.explode(F.array(F.col("ch"), F.lit("pooled")))).groupBy("tag", "ch", "cer").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    means = both.groupBy("tag", "ch").agg(F.sum("n").alias("n"), F.round(F.sum("s") / F.sum("n"), 9).alias("mean"))
+    medians = S.grouped_median(both, ["tag", "ch"], "cer", "n").select("tag", "ch", F.round("median", 9).alias("median"))
+    return means.join(medians, ["tag", "ch"])
 
 
 def agg13_rank_mean(spark, d):
@@ -95,16 +101,12 @@ def agg15_corpus_summary(spark, d):
 
 def _flips(spark, d):
     li = read(spark, d, "lineitem")
-    return li.select(F.col("l_returnflag").alias("style"), (F.col("l_extendedprice") / 1e4).alias("matched"), (F.col("l_quantity") / 5).alias("swapped"))
+    return li.select(F.col("l_returnflag").alias("style"), (F.col("l_extendedprice") / 1e4).alias("matched"), F.when(F.col("l_linenumber") == 7, F.lit(float("nan"))).otherwise(F.col("l_quantity") / 5).alias("swapped"))
 
 
 def agg17_flip_summary(spark, d):
-    rows = _flips(spark, d)
-    g = rows.groupingSets([["style"], []], "style").agg(
-        F.count("*").alias("n"), F.round(F.avg("matched"), 6).alias("matched"), F.round(F.avg("swapped"), 6).alias("swapped"),
-        F.round(100.0 * F.avg(F.when(F.col("swapped") > F.col("matched"), 1.0).otherwise(0.0)), 6).alias("accuracy"),
-    )
-    return g.select(F.coalesce("style", F.lit("all")).alias("style"), "n", "matched", "swapped", "accuracy")
+    s = S.flip_summary(_flips(spark, d), "style")
+    return s.select("style", "n", *[F.round(c, 6).alias(c) for c in ("matched", "swapped", "effect", "accuracy")])
 
 
 def agg18_directional(spark, d):
@@ -113,8 +115,8 @@ def agg18_directional(spark, d):
 
 
 def agg19_status_totals(spark, d):
-    status = F.when(F.col("n_chars").isNull(), "FAIL").when(F.col("n_chars") != F.length("text"), "WARN").otherwise("PASS")
-    return read(spark, d, "documents").groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+    """Exports by status: failed, doubtful, clean."""
+    return _exports(spark, d).groupBy(S.annotation_status(F.col("problems")).alias("status")).agg(F.count("*").alias("n"))
 
 
 def win03_preference_pairs(spark, d):
@@ -163,14 +165,15 @@ def win10_caps(spark, d):
 
 
 def win11_spans(spark, d):
-    """Runs of cells with text in a text row, split where more than four frames lie between; (start, end, cells)."""
+    """Runs of cells with text in a text row, split where more than four frames lie between, of rows with as many runs as turns (row_id modulo 12, plus 1)."""
     from turnweave.plans.token_streams import sides
 
     cells = sides(spark, d).select("row_id", F.posexplode(F.get("A", F.lit(0))).alias("t", "x")).where("x NOT IN (0, 3)")
     w = Window.partitionBy("row_id").orderBy("t")
     fresh = F.when(F.col("t") - F.lag("t").over(w) <= 4, 0).otherwise(1)
     spans = cells.withColumn("f", fresh).withColumn("run", F.sum("f").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return spans.groupBy("row_id", "run").agg(F.min("t").alias("start"), F.max("t").alias("end"), F.count("*").alias("n"))
+    found = spans.groupBy("row_id", "run").agg(F.min("t").alias("start"), F.max("t").alias("end"), F.count("*").alias("n"))
+    return recovered_spans(found, "row_id", sides(spark, d).select("row_id", (F.col("row_id") % 12 + 1).alias("n_turns")))
 
 
 def win12_proportional(spark, d):
@@ -233,7 +236,9 @@ def jn13_reference_log_probs(spark, d):
 
 
 def flt02_by_speaker(spark, d):
-    return turns(spark, d).groupBy("doc_id").agg(F.count_if(F.col("speaker") == "A").alias("n_a"), F.count_if(F.col("speaker") == "B").alias("n_b"))
+    """Turns by speaker, and whether the text may go where a single speaker is asked for."""
+    t = turns(spark, d)
+    return t.groupBy("doc_id").agg(F.count_if(F.col("speaker") == "A").alias("n_a"), F.count_if(F.col("speaker") == "B").alias("n_b")).join(single_speaker(t, "doc_id").select("doc_id", "problem"), "doc_id")
 
 
 def flt14_subgraph(spark, d):
@@ -266,8 +271,11 @@ def met01_text_loss(spark, d):
 
 
 def met02_audio_loss(spark, d):
-    rows = _token_losses(spark, d).withColumn("label", F.when(F.col("label") == 0, -1).otherwise(F.abs("label")))
-    return S.weighted_audio_loss(rows).select(F.round("audio_loss", 6).alias("audio_loss"))
+    """Main stream alone, and with the user's codebooks 8 to 16."""
+    book = ((F.col("l_orderkey") + F.col("l_linenumber")) % 17).cast("int")
+    li = read(spark, d, "lineitem").select(F.when(F.col("l_linenumber") == 1, -1).otherwise(F.col("l_suppkey").cast("int")).alias("label"), (F.col("l_quantity") / 10).alias("loss"), book.alias("codebook"))
+    both = S.weighted_audio_loss(li, user_stream=True).select(F.round("audio_loss", 6).alias("with_user"))
+    return S.weighted_audio_loss(li).select(F.round("audio_loss", 6).alias("audio_loss")).crossJoin(F.broadcast(both))
 
 
 def met03_total_loss(spark, d):
@@ -280,28 +288,37 @@ def met06_rewards(spark, d):
     return S.rewards(_candidates(spark, d), 0.2, {"naturalness": 1.0}).select("event_id", "vetoed", F.round("reward", 6).alias("reward"))
 
 
-def met07_annotation_qa(spark, d):
-    """Exports made of all rows of a dialogue: each problem, against prelabels that are unchanged, three times as long, absent or of another text."""
-    w = read(spark, d, "word_transcripts").select("dialogue_id", "row_id", F.when(F.col("speaker").isin("ch_1", "ch_2"), F.col("speaker")).when(F.col("speaker") == "A", "ch_1").when(F.col("speaker") == "B", "ch_2").alias("channelId"), F.round(F.col("start") * 1000).cast("bigint").alias("startMs"), F.round(F.col("end") * 1000).cast("bigint").alias("endMs"), F.col("word").alias("transcript"))
+def _exports(spark, d):
+    """Exports made of all rows of a dialogue against prelabels that are unchanged, three times as long, absent or of another text; some lack their audio."""
+    ch = F.when(F.col("speaker").isin("ch_1", "ch_2"), F.col("speaker")).when(F.col("speaker") == "A", "ch_1").when(F.col("speaker") == "B", "ch_2")
+    ms = lambda c: F.round(F.col(c) * 1000).cast("bigint")
+    w = read(spark, d, "word_transcripts").select("dialogue_id", "row_id", ch.alias("channelId"), ms("start").alias("startMs"), ms("end").alias("endMs"), F.col("word").alias("transcript"))
     one = w.groupBy("dialogue_id").agg(F.array_sort(F.collect_list(F.struct("row_id", "channelId", "startMs", "endMs", "transcript"))).alias("segments"))
-    kind = F.crc32("dialogue_id") % 4
+    kind = F.ascii(F.md5("dialogue_id")) % 4
     other = F.transform("segments", lambda s: s.withField("transcript", F.concat(F.coalesce(s.transcript, F.lit("")), F.lit("x"))))
     pre = F.when(kind == 0, F.col("segments")).when(kind == 1, F.concat("segments", "segments", "segments")).when(kind == 2, other)
-    return one.withColumn("prelabel", pre).select("dialogue_id", F.explode(S.annotation_problems("segments", "prelabel")).alias("problem"))
+    complete = ~F.md5("dialogue_id").startswith("ff")
+    return one.withColumn("prelabel", pre).select("dialogue_id", S.annotation_problems("segments", "prelabel", complete).alias("problems"))
+
+
+def met07_annotation_qa(spark, d):
+    return _exports(spark, d).select("dialogue_id", F.explode("problems").alias("problem"))
 
 
 def met08_graph_lint(spark, d):
     c = read(spark, d, "customer").select(F.col("c_custkey").alias("k"))
     name = lambda x: F.concat(F.lit("n"), x.cast("string"))
     nodes = c.select(name(F.col("k") % 1400).alias("id"), F.when(F.col("k") % 1400 > 10, name(F.floor(F.col("k") % 1400 / 2))).when(F.col("k") % 1400 == 9, F.lit("n8")).when(F.col("k") % 1400 == 8, F.lit("n9")).alias("parent"))
-    edges = c.select(F.concat(F.lit("e"), "k").alias("id"), name(F.col("k") % 1400).alias("source"), name(F.col("k") % 1450).alias("target"))
+    edge = F.when(F.col("k") % 97 == 5, F.lit("n5")).when(F.col("k") % 101 == 7, F.lit("concat")).when(F.col("k") % 103 == 9, F.lit("e 9")).otherwise(F.concat(F.lit("e"), "k"))
+    edges = c.select(edge.alias("id"), F.when(F.col("k") % 31 != 0, name(F.col("k") % 1400)).alias("source"), F.when(F.col("k") % 37 != 0, name(F.col("k") % 1450)).alias("target"), (F.col("k") % 2 == 0).alias("source_point"))
     return S.graph_problems(nodes, edges)
 
 
 def met09_marker_mean(spark, d):
+    """Over all tokens, and over those of one label alone that is never said: NaN."""
     rows = _token_losses(spark, d)
-    use = ~F.col("label").isin(-1, 3)
-    return rows.agg(F.round(F.avg(F.when(use, F.col("loss"))), 6).alias("mean"), F.round(F.avg(F.when(use & F.col("label").isin(5, 6, 7, 8), F.col("loss"))), 6).alias("marked"))
+    never = S.text_losses(rows, [-7]).select(F.isnan("marked").alias("unsaid_is_nan"))
+    return S.text_losses(rows, [5, 6, 7, 8]).select(F.round("mean", 6).alias("mean"), F.round("marked", 6).alias("marked")).crossJoin(F.broadcast(never))
 
 
 def bat03_alternating(spark, d):
@@ -421,9 +438,12 @@ def stm07_idle_sessions(spark, d):
 
 
 def stm08_accumulate(spark, d):
-    """Text of each session so far: the number of messages and the digest of their text in order."""
-    e = read(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))).alias("x"))
-    return e.select("user_id", F.size("x").alias("n"), F.md5(F.array_join(F.transform("x", lambda q: q.event_type), "")).alias("digest"))
+    """Text of each socket of a user so far: a handshake (event_id divisible by 9) opens a new one, which empties the text but not the count of messages."""
+    from turnweave.streaming.live import accumulated
+
+    e = read(spark, d, "events").select("user_id", "event_id", (F.col("event_id") % 9 == 0).alias("opens"), F.when(F.col("event_id") % 9 != 0, F.col("event_type")).alias("text"))
+    out = accumulated(e, "user_id", "event_id")
+    return out.select("user_id", "socket", "n", "n_total", F.md5("text").alias("digest"))
 
 
 def tok18_overlay(spark, d):
@@ -436,21 +456,29 @@ def tok18_overlay(spark, d):
 
 
 def tok24_chat_ids(spark, d):
-    """Ids of a chat: a marker by the turn's parity, then the turn's ids (here its code points)."""
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    t = turns(spark, d).withColumn("k", F.row_number().over(w) - 1)
-    ids = F.concat(F.array(F.when(F.col("k") % 2 == 0, 1).otherwise(2)), F.transform(T.chars(F.col("text")), lambda c: F.ascii(c) % 31_996 + 4))
-    g = t.select("doc_id", F.struct("k", ids.alias("ids")).alias("x")).groupBy("doc_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list("x")), lambda q: q.ids)).alias("ids"))
-    return g.select("doc_id", F.size("ids").alias("n"), X.digest(F.col("ids")).alias("digest"))
+    """Ids of a chat with either speaker first: markers in turn, each before its normalised sentence's ids (here code points)."""
+    code = lambda t: F.transform(T.chars(t), lambda c: F.ascii(c) % 31_996 + 4)
+    chats = turns(spark, d).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x.text).alias("texts"))
+    both = [X.chat_ids(F.col("texts"), code, first).alias(name) for name, first in (("main_first", True), ("other_first", False))]
+    g = chats.select("doc_id", *both)
+    return g.select("doc_id", F.size("main_first").alias("n"), X.digest(F.col("main_first")).alias("digest"), X.digest(F.col("other_first")).alias("other_digest"))
 
 
 def tok23_text_blocks(spark, d):
-    """First id, prompt, separator, body, cut at 512; the prompt's length is cut alike."""
-    prompt, body = T.split_prompt(F.col("text"))
+    """A block per text: first id, prompt, separator, body, cut at 512; texts without a prompt have none of it."""
+    code = lambda t: F.transform(T.chars(t), lambda c: F.ascii(c) % 31_996 + 4)
+    ids, prompt_len = X.text_block(F.col("text"), code, 512)
+    return docs(spark, d).select("doc_id", prompt_len.alias("prompt_len"), X.digest(ids).alias("digest"))
+
+
+def tok23_text_concat(spark, d):
+    """The texts of 16 documents end to end, cut into near-equal blocks of at most 2,048 ids: groups are batches of a fixed size."""
     code = lambda t: F.transform(T.chars(t), lambda c: F.ascii(c) % 31_996 + 4)
-    rows = docs(spark, d).where("form = 'prompt'").select("doc_id", code(prompt).alias("p"), code(body).alias("b"))
-    ids = F.slice(F.concat(F.array(F.lit(1)), "p", F.array(F.lit(2)), "b"), 1, 512)
-    return rows.select("doc_id", F.least(F.size("p") + 2, F.lit(512)).alias("prompt_len"), X.digest(ids).alias("digest"))
+    ids, _ = X.text_block(F.col("text"), code, None)
+    rows = docs(spark, d).select(F.floor(F.col("doc_id") / 16).alias("grp"), F.struct("doc_id", ids.alias("ids")).alias("x"))
+    flat = rows.groupBy("grp").agg(F.flatten(F.transform(F.array_sort(F.collect_list("x")), lambda q: q.ids)).alias("ids"))
+    blocks = flat.select("grp", F.posexplode(X.split(F.array("ids"), 2_048)).alias("block", "m"))
+    return blocks.select("grp", "block", F.size(F.get("m", F.lit(0))).alias("n"), X.digest(F.get("m", F.lit(0))).alias("digest"))
 
 
 def tok31_swapped_prompts(spark, d):
@@ -479,6 +507,14 @@ def oracle_sql() -> dict[str, str]:
 
     turn = P._TURNS
     cer = "c AS (SELECT rec_id, stem, cer, shard FROM cer_all WHERE cer IS NOT NULL AND NOT isnan(cer) AND abs(cer) < 1e9 AND stem IS NOT NULL)"
+    exports = f"""WITH s AS (SELECT dialogue_id, row_id, CASE WHEN speaker IN ('ch_1', 'ch_2') THEN speaker WHEN speaker = 'A' THEN 'ch_1' WHEN speaker = 'B' THEN 'ch_2' END AS c, round(start * 1000) AS a, round("end" * 1000) AS b,
+              regexp_replace(coalesce(word, ''), '^[{P._SPACE}]+|[{P._SPACE}]+$', '', 'g') AS w, row_number() OVER (PARTITION BY dialogue_id ORDER BY row_id) - 1 AS i, ascii(md5(dialogue_id)) % 4 AS kind, starts_with(md5(dialogue_id), 'ff') AS bad FROM word_transcripts),
+            k AS (SELECT * FROM s WHERE NOT bad), g AS (SELECT dialogue_id, any_value(kind) AS kind, count(*) AS n, count(*) FILTER (w = '') AS e, count(*) FILTER (c IS NOT NULL) AS own, count(*) FILTER (c IS NOT NULL AND w <> '') AS said FROM k GROUP BY 1)
+            SELECT DISTINCT dialogue_id, 'not a valid export' AS problem FROM s WHERE bad UNION ALL SELECT dialogue_id, 'seg[' || i || '] bad channelId' FROM k WHERE c IS NULL
+            UNION ALL SELECT dialogue_id, 'seg[' || i || '] bad span' FROM k WHERE a IS NULL OR b IS NULL OR b <= a
+            UNION ALL SELECT dialogue_id, 'seg[' || i || '] illegal tag ' || unnest(list_filter(regexp_extract_all(w, '[（(][^（）()]*[）)]'), lambda t: regexp_replace({P._WIDE('t')}, '[{P._SPACE}]+', '', 'g') NOT IN ('(笑)', '(不明)'))) FROM k
+            UNION ALL SELECT dialogue_id, e || '/' || n || ' empty transcripts' FROM g WHERE e > 0 UNION ALL SELECT dialogue_id, 'identical to prelabel' FROM g WHERE kind = 0 OR kind = 1 AND said = 0 OR kind = 2 AND own = 0
+            UNION ALL SELECT dialogue_id, 'segment count dropped ' || 3 * n || '->' || n FROM g WHERE kind = 1"""
     cand = "k AS (SELECT user_id, event_id, CASE WHEN event_id % 7 <> 0 THEN round_even(value, 4) END AS naturalness, event_id % 11 / 11.0 AS distinct_ratio, CASE WHEN event_id % 5 <> 0 THEN event_id % 10 / 10.0 END AS balance FROM events)"
     reward = f"{cand}, z AS (SELECT avg(naturalness) AS m, stddev_pop(naturalness) + 1e-6 AS s FROM k), r AS (SELECT k.*, coalesce(balance < 0.2, false) AS vetoed, CASE WHEN NOT coalesce(balance < 0.2, false) THEN coalesce((naturalness - m) / s, 0) + 0.5 * distinct_ratio + coalesce(0.5 * balance, 0) END AS reward FROM k, z)"
     seg = "g AS (SELECT user_id, event_id, CASE WHEN event_id % 2 = 0 THEN 'A' ELSE 'B' END AS ch, epoch_us(ts) // 1000 AS s, epoch_us(ts) // 1000 + 1000 + event_id % 9000 * 100 AS e FROM events)"
@@ -490,6 +526,7 @@ def oracle_sql() -> dict[str, str]:
     chunk = "m AS (SELECT user_id, event_id, n, sum(n) OVER (PARTITION BY user_id ORDER BY event_id) AS upto FROM (SELECT *, event_id * 37 % 3000 + 1 AS n FROM events)), f AS (SELECT user_id, event_id, unnest(range(CAST((upto - n) // 1920 AS BIGINT), CAST(upto // 1920 AS BIGINT))) AS frame FROM m)"
     code = lambda t: f"list_transform(string_split({t}, ''), lambda c: unicode(c) % 31996 + 4)"
     digest = lambda a: f"md5(array_to_string(list_transform({a}, lambda q: CAST(q AS VARCHAR)), ','))"
+    blocks = f"WITH x AS (SELECT doc_id, text, strpos(text, chr(10) || '---' || chr(10)) AS p FROM documents WHERE text IS NOT NULL), y AS (SELECT doc_id, p, lower(CASE WHEN p > 0 THEN text[1:p - 1] ELSE '' END) AS a, lower(CASE WHEN p > 0 THEN text[p + 5:] ELSE text END) AS b FROM x), z AS (SELECT doc_id, p, CASE WHEN a = '' THEN [] ELSE {code('a')} END AS a, CASE WHEN b = '' THEN [] ELSE {code('b')} END AS b FROM y), w AS (SELECT doc_id, p, a, CASE WHEN p > 0 THEN list_concat(list_concat(list_concat([1], a), [2]), b) ELSE list_concat([1], b) END AS ids FROM z)"
     return {
         "agg01_distribution": f"WITH {cer}, o AS (SELECT list(cer ORDER BY cer) AS v, count(*) AS n FROM c) SELECT n, round(list_avg(v), 9) AS mean, list_median(v) AS median, v[n] AS most, v[least(n - 1, CAST(floor(0.1 * n) AS BIGINT)) + 1] AS p10, v[least(n - 1, CAST(floor(0.5 * n) AS BIGINT)) + 1] AS p50, v[least(n - 1, CAST(floor(0.9 * n) AS BIGINT)) + 1] AS p90, v[least(n - 1, CAST(floor(0.99 * n) AS BIGINT)) + 1] AS p99 FROM o",
         "agg02_prefix_means": f"WITH {cer} SELECT array_to_string(string_split(lower(stem), '_')[1:2], '_') AS prefix, count(*) AS n, round(avg(cer), 9) AS mean FROM c GROUP BY 1",
@@ -502,9 +539,10 @@ def oracle_sql() -> dict[str, str]:
         "agg12_tag_channel": f"WITH {cer}, t AS (SELECT string_split(lower(stem), '_')[1] AS tag, CASE WHEN rec_id % 2 = 0 THEN 'L' ELSE 'R' END AS ch, cer FROM c) SELECT tag, coalesce(ch, 'pooled') AS ch, count(*) AS n, round(avg(cer), 9) AS mean, round(median(cer), 9) AS median FROM t GROUP BY GROUPING SETS ((tag, ch), (tag))",
         "agg13_rank_mean": f"WITH {cer} SELECT round(avg(m), 9) AS mean FROM (SELECT avg(cer) AS m FROM c GROUP BY rec_id % 8)",
         "agg15_corpus_summary": f"WITH {sweep} SELECT count(*) AS n, CAST(sum(both_ms) AS BIGINT) AS both_ms, round(100.0 * sum(both_ms) / greatest((SELECT sum(e - s) FROM g), 1), 6) AS overlap_pct FROM ov",
-        "agg17_flip_summary": "SELECT coalesce(l_returnflag, 'all') AS style, count(*) AS n, round(avg(l_extendedprice / 1e4), 6) AS matched, round(avg(l_quantity / 5), 6) AS swapped, round(100.0 * avg(CASE WHEN l_quantity / 5 > l_extendedprice / 1e4 THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), ())",
+        "agg17_flip_summary": "WITH f AS (SELECT l_returnflag AS style, l_extendedprice / 1e4 AS m, l_quantity / 5 AS s FROM lineitem WHERE l_linenumber <> 7) SELECT coalesce(style, 'all') AS style, count(*) AS n, round(avg(m), 6) AS matched, round(avg(s), 6) AS swapped, round(avg(s - m), 6) AS effect, round(100.0 * avg(CASE WHEN m < s THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM f GROUP BY GROUPING SETS ((style), ())",
         "agg18_directional": "SELECT count(*) AS n, count(*) FILTER (ok) AS n_both FROM (SELECT user_id, bool_and(value < 60) AS ok FROM events GROUP BY 1)",
-        "agg19_status_totals": "SELECT CASE WHEN n_chars IS NULL THEN 'FAIL' WHEN n_chars <> length(text) THEN 'WARN' ELSE 'PASS' END AS status, count(*) AS n FROM documents GROUP BY 1",
+        "agg19_status_totals": f"""WITH p AS ({exports}), g AS (SELECT dialogue_id, bool_and(regexp_matches(problem, '^[0-9]+/[0-9]+ empty transcripts$|^identical to prelabel$|^segment count dropped ')) AS doubtful FROM p GROUP BY 1)
+            SELECT CASE WHEN doubtful IS NULL THEN 'PASS' WHEN doubtful THEN 'WARN' ELSE 'FAIL' END AS status, count(*) AS n FROM (SELECT DISTINCT dialogue_id FROM word_transcripts) LEFT JOIN g USING (dialogue_id) GROUP BY 1""",
         "win03_preference_pairs": f"WITH {reward}, p AS (SELECT user_id, count(*) AS n, max(reward) - min(reward) AS gap, list(event_id ORDER BY reward DESC, event_id) AS ids FROM r WHERE reward IS NOT NULL GROUP BY 1) SELECT user_id, n, ids[1] AS chosen, ids[n] AS rejected, round(gap, 6) AS gap FROM p WHERE n >= 2 AND gap >= 0.5",
         "win04_length_order": "SELECT doc_id, CAST(length(text) AS INTEGER) AS n, row_number() OVER (ORDER BY length(text), doc_id) - 1 AS k FROM documents WHERE text IS NOT NULL",
         "win05_first_n": "SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS INTEGER) AS example_id FROM documents ORDER BY doc_id LIMIT 100",
@@ -513,7 +551,7 @@ def oracle_sql() -> dict[str, str]:
         "win08_first_per_topic": "SELECT topic, min(dialogue_id) AS first_id FROM dialogues WHERE topic IS NOT NULL GROUP BY 1 ORDER BY 2, 1 LIMIT 20",
         "win09_next_topic": "WITH t AS (SELECT topic, row_number() OVER (ORDER BY topic) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT topic FROM dialogues WHERE topic IS NOT NULL)) SELECT a.topic, b.topic AS next_topic FROM t a JOIN t b ON b.k = (a.k + 7) % a.n",
         "win10_caps": "SELECT * FROM (SELECT event_id, user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS INTEGER) AS k FROM events) WHERE k <= 3 ORDER BY event_id LIMIT 200",
-        "win11_spans": f"WITH {Q.V1}, c AS (SELECT row_id, t, x FROM (SELECT row_id, unnest(range(len(a[1]))) AS t, unnest(a[1]) AS x FROM v1) WHERE x NOT IN (0, 3)), r AS (SELECT *, sum(f) OVER (PARTITION BY row_id ORDER BY t) AS run FROM (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY row_id ORDER BY t) <= 4 THEN 0 ELSE 1 END AS f FROM c)) SELECT row_id, CAST(run AS BIGINT) AS run, CAST(min(t) AS INTEGER) AS start, CAST(max(t) AS INTEGER) AS \"end\", count(*) AS n FROM r GROUP BY row_id, run",
+        "win11_spans": f"WITH {Q.V1}, c AS (SELECT row_id, t, x FROM (SELECT row_id, unnest(range(len(a[1]))) AS t, unnest(a[1]) AS x FROM v1) WHERE x NOT IN (0, 3)), r AS (SELECT *, sum(f) OVER (PARTITION BY row_id ORDER BY t) AS run FROM (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY row_id ORDER BY t) <= 4 THEN 0 ELSE 1 END AS f FROM c)) SELECT * FROM (SELECT row_id, CAST(run AS BIGINT) AS run, CAST(min(t) AS INTEGER) AS start, CAST(max(t) AS INTEGER) AS \"end\", count(*) AS n FROM r GROUP BY row_id, run) QUALIFY count(*) OVER (PARTITION BY row_id) = row_id % 12 + 1",
         "win12_proportional": f"WITH {turn}, x AS (SELECT doc_id, pos, greatest(length(text), 1) AS n, sum(greatest(length(text), 1)) OVER (PARTITION BY doc_id ORDER BY pos) AS upto, sum(greatest(length(text), 1)) OVER (PARTITION BY doc_id) AS total FROM turns) SELECT doc_id, pos, CAST(round_even(CAST(1000.0 AS DOUBLE) * (upto - n) / total, 0) AS BIGINT) AS s, CAST(round_even(CAST(1000.0 AS DOUBLE) * upto / total, 0) AS BIGINT) AS e FROM x",
         "win13_window_choice": f"WITH {cuts}, l AS (SELECT user_id, max(cut) AS total FROM cuts GROUP BY 1), s AS (SELECT user_id, arg_min(cut, md5(user_id || ':' || CAST(floor(cut) AS BIGINT))) AS t0, any_value(total) AS total FROM cuts JOIN l USING (user_id) WHERE cut < total - 1000 GROUP BY 1), t AS (SELECT s.user_id, t0, coalesce((SELECT min(cut) FROM cuts c WHERE c.user_id = s.user_id AND c.cut >= t0 + 3600000), total) AS t1 FROM s) SELECT user_id, CAST(t0 AS DOUBLE) AS t0, CAST(t1 AS DOUBLE) AS t1 FROM t WHERE t1 - t0 >= 1000",
         "jn06_score_lookup": "SELECT event_id, a.natural, b.n_chars AS meaning FROM events LEFT JOIN (SELECT o_orderkey, max(o_totalprice) AS \"natural\" FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1) a ON o_orderkey = event_id LEFT JOIN documents b ON doc_id = event_id",
@@ -522,26 +560,28 @@ def oracle_sql() -> dict[str, str]:
         "jn09_prelabel": "SELECT doc_id, CASE WHEN doc_id % 5 = 0 OR n_chars IS NULL THEN 'WARN' ELSE 'ok' END AS status FROM documents",
         "jn12_positional": "SELECT k, c_custkey, p_partkey FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS k FROM customer) JOIN (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS k FROM part) USING (k)",
         "jn13_reference_log_probs": "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN coalesce(-value, 0) ELSE 0.0 END AS w, CASE WHEN event_id % 3 = 0 THEN coalesce(value, 0) ELSE 0.0 END AS l FROM events",
-        "flt02_by_speaker": f"WITH {turn} SELECT doc_id, count(*) FILTER (speaker = 'A') AS n_a, count(*) FILTER (speaker = 'B') AS n_b FROM turns GROUP BY 1",
+        "flt02_by_speaker": f"WITH {turn} SELECT doc_id, count(*) FILTER (speaker = 'A') AS n_a, count(*) FILTER (speaker = 'B') AS n_b, CASE WHEN count(DISTINCT speaker) > 1 THEN 'several speakers' END AS problem FROM turns GROUP BY 1",
         "flt14_subgraph": "WITH n AS (SELECT n_nationkey FROM nation WHERE n_regionkey = 1), e AS (SELECT c_custkey AS edge, c_nationkey AS source, CAST((c_nationkey + c_custkey) % 25 AS INTEGER) AS target FROM customer) SELECT * FROM e WHERE source IN (SELECT * FROM n) AND target IN (SELECT * FROM n)",
         "met04_sequence_log_prob": "SELECT l_orderkey, round(sum(CASE WHEN l_linenumber % 3 <> 0 THEN -l_quantity / 10 ELSE 0 END) / greatest(count(*) FILTER (l_linenumber % 3 <> 0), 1), 9) AS logp FROM lineitem GROUP BY 1",
         "met05_preference_loss": "WITH z AS (SELECT 0.1 * ((-l_quantity / 10 + 2.0) - (-l_discount * 40 + l_tax * 40)) AS z FROM lineitem) SELECT round(avg(greatest(-z, 0) + ln(1 + exp(-abs(z)))), 6) AS loss, round(avg(CASE WHEN z > 0 THEN 1.0 ELSE 0.0 END), 6) AS accuracy, round(avg(z), 6) AS margin FROM z",
         "met01_text_loss": f"WITH {losses}, s AS (SELECT {text_loss} FROM t) SELECT round(non_pad_loss, 6) AS non_pad_loss, round(pad_loss, 6) AS pad_loss, round(non_pad_accuracy, 6) AS non_pad_accuracy, round(pad_accuracy, 6) AS pad_accuracy FROM s",
-        "met02_audio_loss": f"WITH {losses} SELECT round({audio('(CASE WHEN label = 0 THEN -1 ELSE abs(label) END)')}, 6) AS audio_loss FROM t",
+        "met02_audio_loss": """WITH t AS (SELECT l_quantity / 10 AS loss, (l_orderkey + l_linenumber) % 17 AS b, CASE WHEN (l_orderkey + l_linenumber) % 17 % 8 = 0 THEN 100.0 ELSE 1.0 END AS w FROM lineitem WHERE l_linenumber <> 1)
+            SELECT round(sum(loss * w) FILTER (b < 8) / sum(w) FILTER (b < 8), 6) AS audio_loss, round(sum(loss * w) / sum(w), 6) AS with_user FROM t""",
         "met03_total_loss": f"WITH {losses}, s AS (SELECT {text_loss}, {audio('label')} AS audio_loss FROM t) SELECT round(non_pad_loss + 0.5 * pad_loss + audio_loss, 6) AS total FROM s",
         "met06_rewards": f"WITH {reward} SELECT event_id, vetoed, round(reward, 6) AS reward FROM r",
-        "met07_annotation_qa": f"""WITH s AS (SELECT row_id, CASE WHEN speaker IN ('ch_1', 'ch_2') THEN speaker WHEN speaker = 'A' THEN 'ch_1' WHEN speaker = 'B' THEN 'ch_2' END AS c, round(start * 1000) AS a, round("end" * 1000) AS b, trim(word) AS w FROM word_transcripts WHERE word IS NOT NULL)
-            SELECT row_id, 'seg[0] bad channelId' AS problem FROM s WHERE c IS NULL UNION ALL SELECT row_id, 'seg[0] bad span' FROM s WHERE a IS NULL OR b IS NULL OR b <= a
-            UNION ALL SELECT row_id, 'seg[0] illegal tag ' || unnest(list_filter(regexp_extract_all(w, '[（(][^（）()]*[）)]'), lambda t: regexp_replace({P._WIDE('t')}, '[{P._SPACE}]+', '', 'g') NOT IN ('(笑)', '(不明)'))) FROM s""",
+        "met07_annotation_qa": exports,
         "met08_graph_lint": """WITH RECURSIVE c AS (SELECT c_custkey AS k, c_custkey % 1400 AS i FROM customer), n AS (SELECT 'n' || i AS id, CASE WHEN i > 10 THEN 'n' || (i // 2) WHEN i = 9 THEN 'n8' WHEN i = 8 THEN 'n9' END AS parent FROM c),
+            e AS (SELECT CASE WHEN k % 97 = 5 THEN 'n5' WHEN k % 101 = 7 THEN 'concat' WHEN k % 103 = 9 THEN 'e 9' ELSE 'e' || k END AS id, CASE WHEN k % 31 <> 0 THEN 'n' || (k % 1400) END AS s, CASE WHEN k % 37 <> 0 THEN 'n' || (k % 1450) END AS t, k % 2 = 0 AS p FROM c),
             up AS (SELECT DISTINCT id, parent, 1 AS d FROM n WHERE parent IS NOT NULL UNION ALL SELECT up.id, m.parent, d + 1 FROM up JOIN (SELECT DISTINCT id, parent FROM n WHERE parent IS NOT NULL) m ON m.id = up.parent WHERE d < 40)
             SELECT 'duplicate id' AS problem, id FROM n GROUP BY id HAVING count(*) > 1
-            UNION ALL SELECT DISTINCT 'dangling edge', 'e' || k FROM c WHERE 'n' || (k % 1450) NOT IN (SELECT id FROM n) UNION ALL SELECT 'missing parent', id FROM n WHERE parent IS NOT NULL AND parent NOT IN (SELECT id FROM n)
+            UNION ALL SELECT DISTINCT 'odd id', id FROM e WHERE id = 'e 9' UNION ALL SELECT DISTINCT 'reserved name', id FROM e WHERE id = 'concat' UNION ALL SELECT DISTINCT 'vertex and edge', id FROM n WHERE id IN (SELECT id FROM e)
+            UNION ALL SELECT DISTINCT 'dangling edge', id FROM (SELECT id, s AS x FROM e UNION ALL SELECT id, t FROM e) WHERE x IS NOT NULL AND x NOT IN (SELECT id FROM n) UNION ALL SELECT 'no source', id FROM e WHERE s IS NULL AND NOT p UNION ALL SELECT 'no target', id FROM e WHERE t IS NULL
+            UNION ALL SELECT 'missing parent', id FROM n WHERE parent IS NOT NULL AND parent NOT IN (SELECT id FROM n)
             UNION ALL SELECT DISTINCT 'parent cycle', id FROM up WHERE d = 40""",
-        "met09_marker_mean": f"WITH {losses} SELECT round(avg(loss) FILTER (label NOT IN (-1, 3)), 6) AS mean, round(avg(loss) FILTER (label IN (5, 6, 7, 8)), 6) AS marked FROM t",
+        "met09_marker_mean": f"WITH {losses} SELECT round(avg(loss) FILTER (label NOT IN (-1, 3)), 6) AS mean, round(avg(loss) FILTER (label IN (5, 6, 7, 8)), 6) AS marked, true AS unsaid_is_nan FROM t",
         "bat03_alternating": """WITH b AS (SELECT doc_id AS id, row_number() OVER (ORDER BY md5(doc_id || ':5'), doc_id) - 1 AS k, count(*) OVER () AS n FROM documents WHERE text IS NOT NULL), g AS (SELECT max(n) AS n, (max(n) + 31) // 32 AS nb FROM b),
-            bb AS (SELECT id, k FROM b UNION ALL SELECT b.id, b.k + b.n FROM b, g WHERE b.k < g.nb * 32 - g.n), a AS (SELECT vec_id AS id, row_number() OVER (ORDER BY md5(vec_id || ':5'), vec_id) - 1 AS k, count(*) OVER () AS n FROM embeddings WHERE vec_id < 90),
-            aa AS (SELECT a.id, a.k + c.i * a.n AS k FROM a, (SELECT unnest(range(100)) AS i) c, g WHERE a.k + c.i * a.n < g.nb // 3 * 32)
+            bb AS (SELECT id, k FROM b UNION ALL SELECT b.id, b.k + b.n FROM b, g WHERE b.k < g.nb * 32 - g.n), a AS (SELECT vec_id AS id, row_number() OVER (ORDER BY md5(vec_id || ':5'), vec_id) - 1 AS k, count(*) OVER () AS n FROM embeddings),
+            aa AS (SELECT a.id, a.k + c.i * a.n AS k FROM a, g, unnest(range(g.nb * 32 // a.n + 1)) AS c(i) WHERE a.k + c.i * a.n < g.nb // 3 * 32)
             SELECT k // 32 + k // 32 // 3 AS step, k % 32 // 8 AS rank, k % 32 % 8 AS slot, 'base' AS kind, id FROM bb UNION ALL SELECT (k // 32 + 1) * 4 - 1, k % 32 // 8, k % 32 % 8, 'alt', id FROM aa""",
         "bat04_length_batches": "SELECT k // 32 AS batch_id, count(*) AS n, CAST(max(n) AS INTEGER) AS longest FROM (SELECT length(text) AS n, row_number() OVER (ORDER BY length(text), doc_id) - 1 AS k FROM documents WHERE text IS NOT NULL) GROUP BY 1",
         "bat05_static_split": "SELECT doc_id, ntile(7) OVER (ORDER BY doc_id) - 1 AS part FROM documents",
@@ -558,16 +598,24 @@ def oracle_sql() -> dict[str, str]:
         "tim02_char_times": 'WITH w AS (SELECT row_id, start, "end" - start AS dur, length(word) AS n, unnest(range(length(word))) AS k FROM word_transcripts WHERE word <> \'\' AND "end" > start) SELECT row_id, CAST(k AS INTEGER) AS k, round(start + k * dur / n, 9) AS s, round(start + (k + 1) * dur / n, 9) AS e FROM w',
         "stm01_decode": "SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'empty' ELSE (['handshake', 'audio', 'text', 'control', 'metadata', 'error', 'ping', 'coloured', 'unknown'])[event_id % 9 + 1] END AS kind, CASE WHEN event_id % 10 <> 0 AND event_id % 9 IN (2, 4, 5) THEN event_type WHEN event_id % 10 <> 0 AND event_id % 9 = 7 THEN event_type[2:] END AS text FROM events",
         "stm03_rechunk": f"WITH {chunk} SELECT user_id, event_id, frame FROM f",
-        "stm04_phases": f"WITH {chunk}, p AS (SELECT 0 AS phase, unnest(range((SELECT CAST(sum(coalesce(n_chars, 0)) // 1920 AS BIGINT) FROM documents))) AS k UNION ALL SELECT 1, frame FROM f WHERE user_id = 8) SELECT CAST(phase AS INTEGER) AS phase, k, row_number() OVER (ORDER BY phase, k) - 1 AS frame FROM p",
-        "stm05_text_emission": f"WITH {Q.V1}, k AS (SELECT row_id, list_filter(a[1], lambda x: x NOT IN (0, 3)) AS x FROM v1) SELECT row_id, CAST(len(x) AS INTEGER) AS n, replace('▁' || array_to_string(list_transform(x[1:3], lambda q: CAST(q AS VARCHAR)), '▁'), '▁', ' ') AS text FROM k",
+        "stm04_phases": f"WITH {chunk}, p AS (SELECT user_id, 0 AS phase, unnest(range((SELECT CAST(sum(coalesce(n_chars, 0)) // 1920 AS BIGINT) FROM documents))) AS k FROM (SELECT DISTINCT user_id FROM events) UNION ALL SELECT user_id, 1, frame FROM f) SELECT user_id, CAST(phase AS INTEGER) AS phase, k, row_number() OVER (PARTITION BY user_id ORDER BY phase, k) - 1 AS frame FROM p",
+        "stm05_text_emission": f"WITH {Q.V1}, k AS (SELECT row_id, list_filter(a[1], lambda x: x NOT IN (0, 3)) AS x FROM v1) SELECT row_id, CAST(len(x) AS INTEGER) AS n, replace('▁' || array_to_string(list_transform(x, lambda q: CAST(q AS VARCHAR)), '▁'), '▁', ' ') AS text FROM k",
         "stm07_idle_sessions": "WITH s AS (SELECT user_id, event_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS f, ts FROM events), r AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts) AS g FROM s) SELECT user_id, min(event_id) AS first_id, count(*) AS n FROM r GROUP BY user_id, g",
-        "stm08_accumulate": "SELECT user_id, CAST(count(*) AS INTEGER) AS n, md5(string_agg(event_type, '' ORDER BY event_id)) AS digest FROM events GROUP BY 1",
-        "tok18_overlay": f"""WITH {turn}, t AS (SELECT doc_id, speaker, pos, pos * 11 AS f0, greatest(1, least(100, pos * 11 + length(text) % 30) - pos * 11) AS span, length(text) % 12 + 1 AS n FROM turns WHERE pos < 8),
+        "stm08_accumulate": """WITH s AS (SELECT user_id, event_id, event_type, sum(CASE WHEN event_id % 9 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS socket FROM events),
+            g AS (SELECT user_id, CAST(socket AS BIGINT) AS socket, count(*) AS n, md5(string_agg(event_type, '' ORDER BY event_id)) AS digest FROM s WHERE event_id % 9 <> 0 GROUP BY 1, 2)
+            SELECT user_id, socket, n, CAST(sum(n) OVER (PARTITION BY user_id ORDER BY socket) AS BIGINT) AS n_total, digest FROM g""",
+        "tok18_overlay": f"""WITH {turn}, t AS (SELECT doc_id, speaker, pos, pos * 11 AS f0, greatest(1, length(text) % 30) AS span, length(text) % 12 + 1 AS n FROM turns),
             k AS (SELECT *, unnest(range(least(n, span))) AS k FROM t), c AS (SELECT doc_id, speaker, pos, f0 + CASE WHEN span >= n THEN CASE WHEN k = n - 1 AND n > 1 THEN span - 1 ELSE CAST(floor(k * ((span - 1) / greatest(n - 1, 1))) AS BIGINT) END ELSE k END AS frame, pos * 100 + k + 11 AS id FROM k),
             l AS (SELECT doc_id, speaker, frame, arg_max(id, pos) AS id FROM c GROUP BY 1, 2, 3), m AS (SELECT doc_id, speaker, map(list(frame), list(id)) AS m FROM l GROUP BY 1, 2), d AS (SELECT doc_id, speaker, CAST(sum(greatest(n - span, 0)) AS BIGINT) AS dropped FROM t GROUP BY 1, 2)
-            SELECT doc_id, speaker, {digest('list_transform(range(100), lambda f: coalesce(m[f], 3))')} AS digest, dropped FROM m JOIN d USING (doc_id, speaker)""",
-        "tok24_chat_ids": f"WITH {turn}, x AS (SELECT doc_id, pos, list_concat([CASE WHEN (row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1) % 2 = 0 THEN 1 ELSE 2 END], {code('text')}) AS ids FROM turns), y AS (SELECT doc_id, flatten(list(ids ORDER BY pos)) AS ids FROM x GROUP BY 1) SELECT doc_id, CAST(len(ids) AS INTEGER) AS n, {digest('ids')} AS digest FROM y",
-        "tok23_text_blocks": f"WITH x AS (SELECT doc_id, text, strpos(text, chr(10) || '---' || chr(10)) AS p FROM documents WHERE text IS NOT NULL AND form = 'prompt'), y AS (SELECT doc_id, lower(CASE WHEN p > 0 THEN text[1:p - 1] ELSE '' END) AS a, lower(CASE WHEN p > 0 THEN text[p + 5:] ELSE text END) AS b FROM x), z AS (SELECT doc_id, CASE WHEN a = '' THEN [] ELSE {code('a')} END AS a, CASE WHEN b = '' THEN [] ELSE {code('b')} END AS b FROM y) SELECT doc_id, CAST(least(len(a) + 2, 512) AS INTEGER) AS prompt_len, {digest('(list_concat(list_concat(list_concat([1], a), [2]), b))[1:512]')} AS digest FROM z",
+            , z AS (SELECT doc_id, max(pos) * 11 + 30 AS frames FROM turns GROUP BY 1)
+            SELECT doc_id, speaker, {digest('list_transform(range(frames), lambda f: coalesce(m[f], 3))')} AS digest, dropped FROM m JOIN d USING (doc_id, speaker) JOIN z USING (doc_id)""",
+        "tok24_chat_ids": f"""WITH {turn}, s AS (SELECT doc_id, pos, {P._WIDE(f"lower(regexp_replace(text, '^[{P._SPACE}]+|[{P._SPACE}]+$', '', 'g'))")} AS s FROM turns), q AS (SELECT doc_id, pos, CASE WHEN regexp_matches(s, '[。、!?]$') THEN s ELSE s || '。' END AS s FROM s),
+            x AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id ORDER BY pos) % 2 AS odd, {code('s')} AS ids FROM q),
+            y AS (SELECT doc_id, flatten(list(list_concat([CASE WHEN odd = 1 THEN 1 ELSE 2 END], ids) ORDER BY pos)) AS a, flatten(list(list_concat([CASE WHEN odd = 1 THEN 2 ELSE 1 END], ids) ORDER BY pos)) AS b FROM x GROUP BY 1)
+            SELECT doc_id, CAST(len(a) AS INTEGER) AS n, {digest('a')} AS digest, {digest('b')} AS other_digest FROM y""",
+        "tok23_text_blocks": f"{blocks} SELECT doc_id, CAST(CASE WHEN p > 0 THEN least(len(a) + 2, 512) ELSE 0 END AS INTEGER) AS prompt_len, {digest('ids[1:512]')} AS digest FROM w",
+        "tok23_text_concat": f"""{blocks}, f AS (SELECT doc_id // 16 AS grp, flatten(list(ids ORDER BY doc_id)) AS ids FROM w GROUP BY 1), g AS (SELECT *, len(ids) AS t, (len(ids) + 2047) // 2048 AS nb FROM f), h AS (SELECT grp, ids, t // nb AS base, t % nb AS extra, unnest(range(nb)) AS block FROM g),
+            o AS (SELECT grp, block, ids[block * base + least(block, extra) + 1 : (block + 1) * base + least(block + 1, extra)] AS x FROM h) SELECT grp, CAST(block AS INTEGER) AS block, CAST(len(x) AS INTEGER) AS n, {digest('x')} AS digest FROM o""",
         "tok31_swapped_prompts": f"WITH s AS (SELECT doc_id, {P._STYLE} AS style FROM documents WHERE text IS NOT NULL), r AS (SELECT doc_id, style, unnest(['matched', 'swapped']) AS how FROM s WHERE style <> 'mixed') SELECT doc_id, how, CASE WHEN (style = 'polite') = (how = 'matched') THEN '丁寧な話し方で話します。' ELSE 'くだけた話し方で話します。' END AS prompt FROM r",
         "jsn03_config_diff": "SELECT CAST(p_partkey AS VARCHAR) AS k, CAST(p_size AS VARCHAR) AS a, CAST(p_size + 1 AS VARCHAR) AS b FROM part WHERE p_partkey % 9 = 0 AND p_partkey NOT IN (9, 18)",
     }

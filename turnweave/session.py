@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -22,6 +23,7 @@ def local_session(cpus: str | int = "*", partitions: int = 8, name: str = "turnw
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.host", "127.0.0.1")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("TURNWEAVE_DRIVER_MEMORY", "8g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
@@ -34,20 +36,25 @@ def checkpointed(df: DataFrame) -> DataFrame:
     The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset
     (tests on one machine) a temporary folder is used.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = context.getConf().get("spark.checkpoint.dir", None)
-        if not named and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="turnweave-checkpoint-"))
+    if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        _set_checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def small_enough(df: DataFrame, most_bytes: int) -> bool:
-    """Whether the optimizer's size estimate of ``df`` is at most ``most_bytes``."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size)) <= most_bytes
+def _set_checkpoint_folder(spark: SparkSession) -> None:
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir", None)
+    if not named and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="turnweave-checkpoint-"))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder for this application's own files, below the folder that all executors share."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        _set_checkpoint_folder(spark)
+    return f"{context._jsc.sc().getCheckpointDir().get().rstrip('/')}/files-{uuid.uuid4().hex}"
 
 
 def key_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:

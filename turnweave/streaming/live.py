@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -102,50 +102,61 @@ class JitterBuffer:
 
 
 class Jitter(StatefulProcessor):
-    """The buffer of each key on a stream; its state goes from micro-batch to micro-batch."""
+    """The buffer of each key on a stream; its state goes from micro-batch to micro-batch and is reported after ``every`` messages, too."""
+
+    def __init__(self, every: int = 0):
+        self.every = every
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.kept = handle.getValueState("buffer", "level double, partial double, maximum double, dropped double, underruns long, started boolean, wait double, n long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        buffer, n = JitterBuffer(), 0
+        buffer, n, out = JitterBuffer(), 0, []
         if self.kept.exists():
             buffer.level, buffer.partial, buffer.maximum, buffer.dropped, buffer.underruns, buffer.started, buffer.wait, n = self.kept.get()
         arrivals = pd.concat(list(rows)).sort_values("event_id")
         for a, p in zip(arrivals["arrive_ms"], arrivals["play_ms"]):
             buffer.play(float(p))
             buffer.arrive(float(a))
-        n += len(arrivals)
+            n += 1
+            if self.every and n % self.every == 0:
+                out.append((key[0], *buffer.state(), n))
         self.kept.update((*buffer.state(), buffer.wait, n))
-        yield pd.DataFrame([(key[0], *buffer.state(), n)], columns=["user_id", "level", "partial", "maximum", "dropped", "underruns", "playing", "n"])
+        if not out or out[-1][-1] != n:
+            out.append((key[0], *buffer.state(), n))
+        yield pd.DataFrame(out, columns=["user_id", "level", "partial", "maximum", "dropped", "underruns", "playing", "n"])
 
     def close(self) -> None:
         pass
 
 
-def jitter_stream(stream: DataFrame) -> DataFrame:
+def jitter_stream(stream: DataFrame, every: int = 0) -> DataFrame:
     """The buffer's state of each key after each micro-batch, with the messages seen so far. Needs the RocksDB state store."""
     ddl = "user_id long, level double, partial double, maximum double, dropped double, underruns long, playing boolean, n long"
-    return stream.groupBy("user_id").transformWithStateInPandas(statefulProcessor=Jitter(), outputStructType=ddl, outputMode="Update", timeMode="None")
+    return stream.groupBy("user_id").transformWithStateInPandas(statefulProcessor=Jitter(every), outputStructType=ddl, outputMode="Update", timeMode="None")
+
 
+def jitter(arrivals: DataFrame, every: int = 0) -> DataFrame:
+    """Batch twin: the buffer of each key (user_id) at its end, fed with (event_id, arrive_ms, play_ms) in order.
 
-def jitter(arrivals: DataFrame) -> DataFrame:
-    """Batch twin: the buffer of each key (user_id) at its end, fed with (event_id, arrive_ms, play_ms) in order."""
+    ``every`` also reports it after each so many messages; ``n`` counts those seen.
+    """
     import pyarrow as pa
 
     from turnweave.session import map_groups
 
     def kernel(table: pa.Table) -> Iterator[tuple]:
-        buffer = JitterBuffer()
-        for a, p in zip(table.column(1).to_pylist(), table.column(2).to_pylist()):
+        buffer, n = JitterBuffer(), table.num_rows
+        for k, (a, p) in enumerate(zip(table.column(1).to_pylist(), table.column(2).to_pylist()), 1):
             buffer.play(p)
             buffer.arrive(a)
-        yield (table.column(0)[0].as_py(), *buffer.state())
+            if k == n or every and k % every == 0:
+                yield (table.column(0)[0].as_py(), *buffer.state(), k)
 
-    names = ["level", "partial", "maximum", "dropped", "underruns", "playing"]
-    kinds = [pa.float64()] * 4 + [pa.int64(), pa.bool_()]
+    names = ["level", "partial", "maximum", "dropped", "underruns", "playing", "n"]
+    kinds = [pa.float64()] * 4 + [pa.int64(), pa.bool_(), pa.int64()]
     schema = pa.schema([("user_id", pa.int64()), *zip(names, kinds)])
-    ddl = "user_id long, level double, partial double, maximum double, dropped double, underruns long, playing boolean"
+    ddl = "user_id long, level double, partial double, maximum double, dropped double, underruns long, playing boolean, n long"
     return map_groups(arrivals.select("user_id", "arrive_ms", "play_ms", "event_id"), ["user_id"], ["event_id"], kernel, ddl, schema)
 
 
@@ -156,19 +167,68 @@ def idle_sessions(stream: DataFrame, gap: str = "10 seconds", late: str = "0 sec
     return rows.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
 
 
-def text_cursor(emissions: list[int], texts: list[int], pad: int = 3, force_after: int = 20) -> list[int]:
-    """Which text id stands at each step: one is consumed when the model emits no padding, or after ``force_after`` pads in a row.
+def accumulated(messages: DataFrame, key: str, order: str) -> DataFrame:
+    """Each socket's text: messages (key, order, opens, text) in order; one that ``opens`` a new socket empties the text, not the count.
+
+    (key, socket, n, n_total, text): texts of the socket and of all sockets up to its end. Messages
+    without text only open sockets; those before the first opening belong to socket 0.
+    """
+    w = Window.partitionBy(key).orderBy(order)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = messages.withColumn("socket", F.sum(F.col("opens").cast("long")).over(upto)).where("text IS NOT NULL")
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "text"))), lambda x: x.text), "")
+    per = rows.groupBy(key, "socket").agg(F.count("*").alias("n"), texts.alias("text"))
+    total = F.sum("n").over(Window.partitionBy(key).orderBy("socket").rowsBetween(Window.unboundedPreceding, 0))
+    return per.withColumn("n_total", total)
+
+
+class Accumulate(StatefulProcessor):
+    """The text of each key's open socket on a stream, with the count of all its messages."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.kept = handle.getValueState("text", "socket long, text string, n long, n_total long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        socket, text, n, n_total = self.kept.get() if self.kept.exists() else (0, "", 0, 0)
+        arrivals = pd.concat(list(rows)).sort_values("event_id")
+        for opens, said in zip(arrivals["opens"], arrivals["text"]):
+            if opens:
+                socket, text, n = socket + 1, "", 0
+            if said is not None:
+                text, n, n_total = text + said, n + 1, n_total + 1
+        self.kept.update((socket, text, n, n_total))
+        yield pd.DataFrame([(key[0], socket, n, n_total, text)], columns=["user_id", "socket", "n", "n_total", "text"])
+
+    def close(self) -> None:
+        pass
+
 
-    Given emissions only; when the texts run out, pads follow. An emission of -1 ends the run.
+def accumulate_stream(stream: DataFrame) -> DataFrame:
+    """``accumulated`` on a stream (user_id, event_id, opens, text): the open socket of each key after each micro-batch. Needs the RocksDB state store."""
+    ddl = "user_id long, socket long, n long, n_total long, text string"
+    return stream.groupBy("user_id").transformWithStateInPandas(statefulProcessor=Accumulate(), outputStructType=ddl, outputMode="Update", timeMode="None")
+
+
+def text_cursor(emissions: list[int], texts: list[int], pad: int = 3, epad: int = 0, end: int = -1) -> list[int]:
+    """The text row of a run: what stands at each step, given what the model emitted there and the text it has to say.
+
+    The next text id is taken, and stands, where the emission is neither of the two paddings, or where
+    that next id is itself padding; elsewhere the emitted padding stands. Behind the last text id the
+    next one counts as padding. The run is as long as the steps before the first ``end`` that stands.
     """
-    out, at, quiet = [], 0, 0
+    out, at = [], 0
     for e in emissions:
-        if e == -1:
+        following = texts[at] if at < len(texts) else pad
+        taken = following == pad or e not in (pad, epad)
+        stands = following if taken else e
+        if stands == end:
             break
-        if e != pad or quiet >= force_after:
-            out.append(texts[at] if at < len(texts) else pad)
-            at, quiet = min(at + 1, len(texts)), 0
-        else:
-            out.append(pad)
-            quiet += 1
+        at += taken
+        out.append(stands)
     return out
+
+
+def held_audio(streams: Column, delays: list[int], given: int, initial: int) -> Column:
+    """Audio rows of a run: cells hold the initial id until their row's delay has passed; ``given`` frames of it lie in the prompt."""
+    waits = F.array(*[F.lit(max(0, d - given)) for d in delays])
+    return F.transform(streams, lambda row, k: F.transform(row, lambda x, t: F.when(t < F.get(waits, k), initial).otherwise(x)))
