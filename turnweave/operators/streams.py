@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from turnweave.config import TokenConfig
 from turnweave.functions import arrays as X
+from turnweave.operators import examples as E
 
 CFG = TokenConfig()
 
@@ -46,9 +49,14 @@ def main_speaker_streams(sides: DataFrame) -> DataFrame:
 
 def preprocess_dialogue(sides: DataFrame, most: int, least: int, cfg: TokenConfig = CFG) -> DataFrame:
     """Main view, delay, split, minimum length, labels. The delay comes first, so only a dialogue's first part begins with initial columns."""
-    delayed = main_speaker_streams(sides).withColumn("streams", X.delay(F.col("streams"), cfg))
-    parts = delayed.select(*[c for c in delayed.columns if c != "streams"], F.posexplode(X.split(F.col("streams"), most)).alias("part", "streams"))
-    return _examples(parts, least, cfg)
+
+    def examples(a, b):
+        for rank, (main, other) in enumerate(((a, b), (b, a))):
+            for k, m in enumerate(E.parts(E.delayed(np.concatenate((main, other[1:])), cfg), most)):
+                if m.shape[1] >= least:
+                    yield rank, k, m, E.labelled(m, cfg)
+
+    return E.made(sides, ["A", "B"], [("speaker_rank", IntegerType()), ("part", IntegerType())], examples)
 
 
 def _examples(parts: DataFrame, least: int, cfg: TokenConfig) -> DataFrame:
@@ -114,17 +122,18 @@ def number_rows(rows: DataFrame, order: list[Column], out: str) -> DataFrame:
 
 def prompted(sides: DataFrame, role: Column, voice: Column | None, delimiter: int | None, most: int | None, least: int, cfg: TokenConfig = CFG) -> DataFrame:
     """Prompt before the dialogue with A as main speaker, the tail cut at ``most``, delayed, labelled, prompt labels ignored."""
-    # The length test comes first and from sizes alone: on the built matrix it would be pushed down with all of it.
+    # The length test comes first and from sizes alone, so nothing is built for rows that it drops.
     whole = X.prompt_length(role, voice, delimiter) + X.length_of(F.col("A"))
     whole = whole if most is None else F.least(whole, F.lit(most))
     rows = sides.where(whole + 1 + max(cfg.delays) >= least)
     rows = rows.withColumns({"prompt_len": X.prompt_length(role, voice, delimiter), "_prefix": X.prompt_prefix(role, voice, delimiter, 1 + 2 * cfg.codebooks, cfg)})
-    joined = X.join_time(F.col("_prefix"), X.main_view(F.col("A"), F.col("B")))
-    joined = joined if most is None else X.cut_time(joined, 0, most)
-    rows = rows.withColumn("streams", X.delay(joined, cfg)).drop("A", "B", "_prefix")
-    return rows.withColumns(
-        {"labels": X.mask_prompt(X.labels(F.col("streams"), cfg), F.col("prompt_len"), cfg), "num_streams": F.size("streams"), "num_frames": X.length_of(F.col("streams"))}
-    )
+
+    def example(a, b, prefix, prompt_len):
+        joined = np.concatenate((prefix, np.concatenate((a, b[1:]))), axis=1)
+        m = E.delayed(joined if most is None else joined[:, :most], cfg)
+        yield prompt_len, m, E.labelled(m, cfg, prompt_len)
+
+    return E.made(rows, ["A", "B", "_prefix", "prompt_len"], [("prompt_len", IntegerType())], example)
 
 
 def overlay_turns(turns: DataFrame, frames: DataFrame, key: str, cfg: TokenConfig = CFG) -> DataFrame:
