@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Size of a sketch, buckets in each of the three parts of a source's values, and parts a source's records are dealt into.
+#: Size of a sketch, buckets in each of the three parts of a source's values, and parts (a power of two) a source's records are dealt into.
 SKETCH_K, BUCKETS, SALTS = 800, 64, 32
 
 
@@ -49,7 +49,8 @@ def counted(records: DataFrame) -> DataFrame:
 
 def _met(records: DataFrame, known: DataFrame) -> DataFrame:
     """Records with what is ``known`` of their source; no task holds more than a part of a source."""
-    salt = F.pmod(F.xxhash64("stem" if "stem" in records.columns else "cer"), F.lit(SALTS)).cast("int")
+    # By bits, not by a remainder: that could be null to the optimizer, whose filter would part equal shuffles.
+    salt = F.xxhash64("stem" if "stem" in records.columns else "cer").bitwiseAND(F.lit(SALTS - 1)).cast("int")
     salted = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return records.withColumn("_salt", salt).join(salted, ["source", "_salt"]).drop("_salt")
 
