@@ -36,7 +36,7 @@ LEAST, GRAM, STEP = 120, 60, 60
 #: An anchor of 60 characters is rarely shared by chance, where 24 leave 40 % of all anchors as candidates.
 #: Documents and places of an anchor from which its contexts are taken window by window; characters of contexts in one index.
 HOT_DOCS, HOT_PLACES, SHARD_CHARS = 1_500, 5_000, 400_000
-#: Parts that rows of one anchor or class are dealt into, and members of a class in a block of a pair of blocks.
+#: Parts (a power of two) that rows of one anchor or class are dealt into, and members of a class in a block of a pair of blocks.
 SALTS, BLOCK = 16, 1_500
 
 
@@ -119,7 +119,8 @@ def anchors(documents: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataF
 
 
 def _salt(key: str | Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")
+    """By bits, not by a remainder: that could be null to the optimizer, whose filter would part equal shuffles."""
+    return F.xxhash64(key).bitwiseAND(F.lit(SALTS - 1)).cast("int")
 
 
 def _salted(rows: DataFrame) -> DataFrame:
@@ -135,7 +136,8 @@ def members(documents: DataFrame, least: int = LEAST, gram: int = GRAM, hot_docs
     ``cls`` names the context's text within its anchor, ``starts`` where it stands in the document.
     """
     # Anchors are dealt out by document and grouped once; both the counts and the join below use that grouping.
-    dealt = anchors(documents, least, gram).withColumn("salt", _salt("doc_id")).repartition("anchor", "salt")
+    # Neither column is ever null; said so, no filter on nulls parts the two uses.
+    dealt = anchors(documents, least, gram).select(F.coalesce("anchor", F.lit(0)).alias("anchor"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "at", _salt("doc_id").alias("salt")).repartition("anchor", "salt")
     counts = dealt.groupBy("anchor", "salt").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("docs"), F.sum(F.size("at")).alias("places"))
     shared = counts.groupBy("anchor").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("docs").alias("docs"), F.sum("places").alias("places")).where("lo < hi")
     hot = (F.col("docs") > (hot_docs or HOT_DOCS)) | (F.col("places") > (hot_places or HOT_PLACES))
