@@ -80,18 +80,23 @@ def rolled_on(rows: list[tuple], tolerance_ms: int, least: int = 2) -> list[bool
     for channel in {r[3] for r in rows}:
         at = [k for k, r in enumerate(rows) if r[3] == channel]
         forms = [rows[k][4].lower() for k in at]
+        starts, ends = [rows[k][0] for k in at], [rows[k][1] for k in at]
         last: dict[str, list[int]] = {}
-        for i, k in enumerate(at):
-            start = rows[k][0]
-            places = last.setdefault(forms[i], [])
-            while places and start - rows[at[places[0]]][0] > tolerance_ms:
-                places.pop(0)
+        total = len(at)
+        for i, form in enumerate(forms):
+            places = last.get(form)
+            if places is None:
+                last[form] = [i]
+                continue
+            start = starts[i]
+            if start - starts[places[0]] > tolerance_ms:
+                places[:] = [j for j in places if start - starts[j] <= tolerance_ms]
             for j in places:
-                if start < rows[at[j]][1] and forms[i]:
-                    out[k] = True
-                # Words j..i-1 stand; do the next ones repeat them?
+                if start < ends[j] and form:
+                    out[at[i]] = True
+                # Words j..i-1 stand; do the next ones repeat them? The second word tells most apart.
                 n = i - j
-                if n >= least and i + n <= len(at) and forms[j:i] == forms[i : i + n] and rows[at[i + n - 1]][0] - rows[at[j]][0] <= tolerance_ms and len(set(forms[j:i])) > 1:
+                if n >= least and i + n <= total and (n < 2 or forms[j + 1] == forms[i + 1]) and starts[i + n - 1] - starts[j] <= tolerance_ms and forms[j:i] == forms[i : i + n] and len(set(forms[j:i])) > 1:
                     for x in at[i : i + n]:
                         out[x] = True
             places.append(i)
