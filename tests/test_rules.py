@@ -125,3 +125,19 @@ def test_byte_pieces_are_joined_to_characters():
     model = SentencePiece("nowhere")
     model._model = Model()
     assert model.encode_pieces("x") == ["▁", "a", "🙂", "b", "\ufffd", "c", "\ufffd"]
+
+
+def test_alternating_batches_of_a_short_base(spark):
+    import pytest
+
+    ids = lambda n: spark.range(n)
+    with pytest.raises(ValueError, match="half a global batch"):
+        S.alternating_batches(ids(7), ids(3), 2, 4, 4)
+    assert S.alternating_batches(ids(7), ids(3), 2, 4, 4, drop_last=True).count() == 0
+    plan = S.alternating_batches(ids(40), ids(3), 2, 4, 4).collect()
+    steps = {}
+    for r in plan:
+        steps.setdefault((r.step, r.kind), []).append((r["rank"], r.slot))
+    # Three base batches, the last filled from the base's own start; one of the other kind behind the second, filled by repeating.
+    assert sorted(steps) == [(0, "base"), (1, "base"), (2, "alt"), (3, "base")]
+    assert all(sorted(places) == [(k // 4, k % 4) for k in range(16)] for places in steps.values())

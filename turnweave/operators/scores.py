@@ -289,6 +289,7 @@ def alternating_batches(base: DataFrame, alt: DataFrame, ratio: int, batch: int,
 
     Both sides are shuffled by hash. A short last base batch is filled from the base's own start, or
     dropped; the other kind is repeated until it fills its batches. ``base`` and ``alt`` have one column, id.
+    A base of under half a global batch cannot fill one and is an error, unless it may be dropped.
     """
     from turnweave.operators.streams import number_rows
 
@@ -296,6 +297,8 @@ def alternating_batches(base: DataFrame, alt: DataFrame, ratio: int, batch: int,
     shuffled = lambda df: number_rows(df.withColumn("_h", F.md5(F.concat(F.col("id").cast("string"), F.lit(f":{seed}")))), [F.col("_h"), F.col("id")], "k").drop("_h")
     b, a = shuffled(base), shuffled(alt)
     n_base, n_alt = b.count(), a.count()
+    if not drop_last and n_base and 2 * n_base < size:
+        raise ValueError("the base is under half a global batch: its own start cannot fill it")
     n_batches = n_base // size + (1 if n_base % size and not drop_last else 0)
     wrap = n_batches * size - n_base
     b = b.where(F.col("k") < n_batches * size)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from turnweave.functions import arrays as X
 from turnweave.functions import text as T
 from turnweave.operators import intervals as I
+from turnweave.operators import joins as J
 from turnweave.operators import scores as S
 from turnweave.operators.corpus import induced_subgraph, recovered_spans, repeated, single_speaker
 from turnweave.operators.streams import number_rows
@@ -130,19 +131,16 @@ def win04_length_order(spark, d):
 
 
 def win05_first_n(spark, d):
-    return read(spark, d, "documents").select("doc_id").orderBy("doc_id").limit(100).withColumn("example_id", F.row_number().over(Window.orderBy("doc_id")) - 1)
+    return J.first_n(read(spark, d, "documents").select("doc_id"), "doc_id", 100, "example_id")
 
 
 def win06_slice(spark, d):
     both = read(spark, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("name")).unionByName(read(spark, d, "cer_all").select(F.concat(F.lit("c"), "rec_id").alias("name")))
-    return number_rows(both, [F.col("name")], "k").where("k >= 500 AND k < 1500")
+    return J.slice_of(both, "name", 500, 1500)
 
 
 def win07_first_k_per_style(spark, d):
-    """The first five per style: a bounded list per group is kept, no group is sorted whole."""
-    s = docs(spark, d).select("doc_id", T.formality(F.col("text")).alias("style"))
-    w = Window.partitionBy("style").orderBy("doc_id")
-    return s.withColumn("k", F.row_number().over(w)).where("k <= 5")
+    return J.first_k(docs(spark, d).select("doc_id", T.formality(F.col("text")).alias("style")), "style", "doc_id", 5)
 
 
 def win08_first_per_topic(spark, d):
@@ -151,17 +149,12 @@ def win08_first_per_topic(spark, d):
 
 
 def win09_next_topic(spark, d):
-    t = read(spark, d, "dialogues").where("topic IS NOT NULL").select("topic").distinct()
-    k = number_rows(t, [F.col("topic")], "k")
-    n = k.agg(F.count("*").alias("n"))
-    shifted = k.select(F.col("topic").alias("next_topic"), F.col("k").alias("j"))
-    return k.crossJoin(F.broadcast(n)).withColumn("j", (F.col("k") + 7) % F.col("n")).join(shifted, "j").select("topic", "next_topic")
+    return J.shifted(read(spark, d, "dialogues"), "topic", 7, "next_topic")
 
 
 def win10_caps(spark, d):
     """At most three windows per session, and of those the first 200 in all."""
-    e = read(spark, d, "events").withColumn("k", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))).where("k <= 3")
-    return e.select("event_id", "user_id", "k").orderBy("event_id").limit(200)
+    return J.capped(read(spark, d, "events").select("event_id", "user_id"), "user_id", "event_id", 3, 200)
 
 
 def win11_spans(spark, d):
@@ -178,61 +171,42 @@ def win11_spans(spark, d):
 
 def win12_proportional(spark, d):
     """A thousand ms shared out among a dialogue's turns by text length."""
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    t = turns(spark, d).withColumn("n", F.greatest(F.length("text"), F.lit(1)))
-    t = t.withColumns({"upto": F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)), "total": F.sum("n").over(Window.partitionBy("doc_id"))})
-    at = lambda x: F.rint(1000.0 * x / F.col("total")).cast("bigint")
-    return t.select("doc_id", "pos", at(F.col("upto") - F.col("n")).alias("s"), at(F.col("upto")).alias("e"))
+    return J.proportional_spans(turns(spark, d), "doc_id", "pos", F.greatest(F.length("text"), F.lit(1)), 1000).select("doc_id", "pos", "s", "e")
 
 
 def win13_window_choice(spark, d):
     """Per user a start cut chosen by hash, and the first cut at least an hour later (else the last)."""
-    cuts = agg07_silence_cuts(spark, d)
-    last = cuts.groupBy("user_id").agg(F.max("cut").alias("total"))
-    c = cuts.join(last, "user_id")
-    word = F.md5(F.concat(F.col("user_id").cast("string"), F.lit(":"), F.floor("cut").cast("string")))
-    start = c.where("cut < total - 1000").groupBy("user_id").agg(F.min_by("cut", word).alias("t0"), F.first("total").alias("total"))
-    later = start.join(cuts, "user_id").where("cut >= t0 + 3600000").groupBy("user_id").agg(F.min("cut").alias("t1"))
-    out = start.join(later, "user_id", "left").withColumn("t1", F.coalesce("t1", "total"))
-    return out.where("t1 - t0 >= 1000").select("user_id", "t0", "t1")
+    return J.window_choice(agg07_silence_cuts(spark, d), "user_id", "cut", 3_600_000, 1_000)
 
 
 def jn06_score_lookup(spark, d):
-    e = read(spark, d, "events").select("event_id")
-    a = read(spark, d, "orders").where("o_orderkey % 2 = 0").groupBy(F.col("o_orderkey").alias("event_id")).agg(F.max("o_totalprice").alias("natural"))
-    b = read(spark, d, "documents").select(F.col("doc_id").alias("event_id"), F.col("n_chars").alias("meaning"))
-    return e.join(a, "event_id", "left").join(b, "event_id", "left")
+    a = read(spark, d, "orders").where("o_orderkey % 2 = 0").groupBy(F.col("o_orderkey").alias("event_id")).agg(F.max("o_totalprice").alias("score"))
+    b = read(spark, d, "documents").select(F.col("doc_id").alias("event_id"), F.col("n_chars").alias("score"))
+    return J.score_lookup(read(spark, d, "events").select("event_id"), "event_id", {"natural": a, "meaning": b})
 
 
 def jn07_candidate_grid(spark, d):
     """Contexts of the first seed with every seed under which they exist."""
-    e = read(spark, d, "events").select("user_id", F.col("event_type").alias("seed")).distinct()
-    first = e.where("seed = 'click'").select("user_id")
-    return e.join(first, "user_id")
+    return J.candidate_grid(read(spark, d, "events").select("user_id", F.col("event_type").alias("seed")), "user_id", "seed", "click")
 
 
 def jn08_gold_pairs(spark, d):
-    a = read(spark, d, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("name"))
-    b = read(spark, d, "documents").where("doc_id % 3 = 0").select(F.col("doc_id").alias("name"))
-    return a.join(b, "name")
+    names = read(spark, d, "documents").select(F.col("doc_id").alias("name"))
+    return J.common_names(names.where("name % 2 = 0"), names.where("name % 3 = 0"), "name")
 
 
 def jn09_prelabel(spark, d):
-    a = read(spark, d, "documents").select("doc_id", "n_chars")
-    b = read(spark, d, "documents").where("doc_id % 5 <> 0").select("doc_id", F.col("n_chars").alias("pre"))
-    return a.join(b, "doc_id", "left").select("doc_id", F.when(F.col("pre").isNull(), "WARN").otherwise("ok").alias("status"))
+    rows = read(spark, d, "documents").select("doc_id", "n_chars")
+    return J.with_prelabel(rows, rows.where("doc_id % 5 <> 0"), "doc_id", "n_chars").select("doc_id", "status")
 
 
 def jn12_positional(spark, d):
-    a = number_rows(read(spark, d, "customer").select("c_custkey"), [F.col("c_custkey")], "k")
-    b = number_rows(read(spark, d, "part").select("p_partkey"), [F.col("p_partkey")], "k")
-    return a.join(b, "k")
+    return J.positional(read(spark, d, "customer").select("c_custkey"), "c_custkey", read(spark, d, "part").select("p_partkey"), "p_partkey")
 
 
 def jn13_reference_log_probs(spark, d):
-    a = read(spark, d, "events").select("event_id", F.col("value").alias("logp"))
-    b = read(spark, d, "events").where("event_id % 3 = 0").select("event_id", (-F.col("value")).alias("w"), F.col("value").alias("l"))
-    return a.join(b, "event_id", "left").select("event_id", F.coalesce("w", F.lit(0.0)).alias("w"), F.coalesce("l", F.lit(0.0)).alias("l"))
+    reference = read(spark, d, "events").where("event_id % 3 = 0").select("event_id", (-F.col("value")).alias("w"), F.col("value").alias("l"))
+    return J.reference_log_probs(read(spark, d, "events").select("event_id"), reference, "event_id", ["w", "l"])
 
 
 def flt02_by_speaker(spark, d):
@@ -333,16 +307,12 @@ def bat04_length_batches(spark, d):
 
 def bat05_static_split(spark, d):
     """Contiguous near-equal parts of the sorted documents (the first ones longer by one)."""
-    rows = number_rows(read(spark, d, "documents").select("doc_id"), [F.col("doc_id")], "k")
-    n = rows.agg(F.count("*").alias("n"))
-    base, extra = F.floor(F.col("n") / 7), F.col("n") % 7
-    part = F.when(F.col("k") < extra * (base + 1), F.floor(F.col("k") / (base + 1))).otherwise(extra + F.floor((F.col("k") - extra * (base + 1)) / F.greatest(base, F.lit(1))))
-    return rows.crossJoin(F.broadcast(n)).select("doc_id", part.alias("part"))
+    return J.contiguous_parts(read(spark, d, "documents").select("doc_id"), "doc_id", 7)
 
 
 def bat06_resume(spark, d):
-    step = F.col("event_id")
-    return read(spark, d, "events").select("event_id", (step % 313 * 4).alias("skip"), F.floor(step / 313).alias("epoch"))
+    epoch, skip = J.resume_position(F.col("event_id"), 313, 4)
+    return read(spark, d, "events").select("event_id", skip.alias("skip"), epoch.alias("epoch"))
 
 
 def bat07_upsample(spark, d):
