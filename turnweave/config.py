@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 @dataclass(frozen=True)
 class TokenConfig:
-    """Ids of the stream format. ``delays`` has one entry per row of the merged 17-row matrix."""
+    """Ids, delays and frame rate of the stream format. ``delays`` has one entry per row of the merged 17-row matrix."""
 
     text_pad: int = 3
     text_epad: int = 0

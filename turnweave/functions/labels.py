@@ -17,7 +17,7 @@ GREEK_AS_LATIN = {
     "ο": "o", "ν": "v",
 }
 
-#: Words that may stand before the role in a label.
+# Words that may stand before the role in a label.
 LABEL_PREFIX = "^(speaker|spk)"
 
 

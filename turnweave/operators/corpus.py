@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# The speakers' labels and the form of a turn's line.
 TURN = "^[ \\t]*(A|B|Ａ|Ｂ|USER|SYSTEM)[ \\t]*[:：][ \\t]*([^\\n]*?)[ \\t]*\\z"
 
 

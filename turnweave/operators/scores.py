@@ -238,7 +238,7 @@ def annotation_status(problems: Column) -> Column:
     return F.when(F.size(problems) == 0, "PASS").when(F.forall(problems, doubtful), "WARN").otherwise("FAIL")
 
 
-#: Names of JavaScript prototypes, which no cell of a diagram may have as its id.
+# Names of JavaScript prototypes, which no cell of a diagram may have as its id.
 RESERVED = """
     constructor hasOwnProperty isPrototypeOf propertyIsEnumerable toLocaleString toString valueOf __proto__ __defineGetter__ __defineSetter__ __lookupGetter__ __lookupSetter__
     length at concat copyWithin entries every fill filter find findIndex findLast findLastIndex flat flatMap forEach includes indexOf join keys lastIndexOf map pop push reduce
