@@ -210,7 +210,9 @@ def calibrated_pauses(words: DataFrame, roles: DataFrame, dialogues: DataFrame,
     from turnweave.functions.labels import usable
 
     timed = usable(words.select("row_id", "dialogue_id", "speaker", "start", "end"), roles).withColumn("block", F.floor(F.col("start_ms") / BLOCK_MS))
-    w = Window.partitionBy("dialogue_id", "block", "channel").orderBy("start_ms", "row_id")
+    # Numbers are sorted, not names; ties in start give no silence in whatever order they come.
+    timed = timed.select("dialogue_id", F.xxhash64("dialogue_id", "block", "channel").alias("stream"), "start_ms", "end_ms")
+    w = Window.partitionBy("stream").orderBy("start_ms")
     silence = F.col("start_ms") - F.max("end_ms").over(w.rowsBetween(Window.unboundedPreceding, -1))
     sketches = timed.select("dialogue_id", silence.alias("ms")).where("ms > 0").groupBy("dialogue_id").agg(F.kll_sketch_agg_bigint("ms", F.lit(800)).alias("sketch"))
     by_lang = sketches.join(languages(dialogues), "dialogue_id", "left").select(F.explode(F.array(F.col("_lang"), F.lit(None).cast("string"))).alias("lang"), "sketch")
