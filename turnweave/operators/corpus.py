@@ -153,14 +153,20 @@ def best_by_jaccard(rows: DataFrame, key: str, label: str, items: str, salts: in
 
     ``items`` are sets. Ties go to the smaller label; a row without items gives none. An item's labels are
     one short array (as long as there are labels), so no pairs of rows are formed; frequent items are
-    dealt out by row. The row's own size rides along, and the best is the least of (-score, label).
+    dealt out by row (``salts``: a power of two). The row's own size rides along, and the best is the least of (-score, label).
     """
+    from turnweave.session import checkpointed
+
     one = rows.select(key, label, F.size(items).alias("_size"), F.explode(items).alias("_item"))
-    of = one.groupBy("_item").agg(F.collect_set(label).alias("_labels"))
+    labels = F.sort_array(F.collect_set(label))
+    of = checkpointed(one.groupBy("_item").agg(labels.alias("_labels")).withColumn("_set", F.md5(F.to_json(F.struct("_labels")))))
     sizes = of.select(F.explode("_labels").alias("_label")).groupBy("_label").agg(F.count("*").alias("_n"))
-    salted = of.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    dealt = one.select(key, "_size", "_item", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int").alias("_salt"))
-    shared = dealt.join(salted, ["_item", "_salt"]).select(key, "_size", F.explode("_labels").alias("_label")).groupBy(key, "_size", "_label").agg(F.count("*").alias("_shared"))
+    sets = of.groupBy("_set").agg(F.first("_labels").alias("_labels"))
+    salted = of.select("_item", "_set", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+    dealt = one.select(key, "_size", "_item", F.xxhash64(key).bitwiseAND(F.lit(salts - 1)).cast("int").alias("_salt"))
+    # Many items of a row have the same labels: they are counted together before their labels are unfolded.
+    counted = dealt.join(salted, ["_item", "_salt"]).groupBy(key, "_size", "_set").agg(F.count("*").alias("_c"))
+    shared = counted.join(sets, "_set").select(key, "_size", F.explode("_labels").alias("_label"), "_c").groupBy(key, "_size", "_label").agg(F.sum("_c").alias("_shared"))
     score = F.col("_shared") / (F.col("_size") + F.col("_n") - F.col("_shared") + 1e-9)
     best = shared.join(sizes, "_label").groupBy(key).agg(F.min(F.struct((-score).alias("_less"), F.col("_label"))).alias("_best"))
     return best.select(key, F.col("_best._label").alias(label), (-F.col("_best._less")).alias("score"))
