@@ -383,14 +383,26 @@ def stm03_rechunk(spark, d):
 
 
 def stm04_phases(spark, d):
-    """Frames of each user's session: the prompt's first (whole ones only), then the live ones, numbered on."""
+    """Frames of each user's session: the prompt's first (whole ones only), then the live ones, numbered on.
+
+    Every user has every frame of the prompt. These rows lie frame by frame within blocks of users and ranges of frames:
+    in a file each frame is then one run and the block's users repeat, where a user's frames in order would hardly compress.
+    """
     a = read(spark, d, "documents").groupBy().agg(F.expr("coalesce(sum(n_chars), 0) div 1920").alias("n"))
-    # A number of partitions that stays: the few rows of users become that many times the prompt's frames.
-    users = read(spark, d, "events").select("user_id").distinct().repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
-    prompt = users.crossJoin(F.broadcast(a)).where("n > 0").select("user_id", F.lit(0).alias("phase"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("k"))
+    users = read(spark, d, "events").select("user_id").distinct()
+    blocks = users.groupBy().agg(F.expr("greatest((count(*) + 255) div 256, 1)").alias("n_blocks"))
+    block = F.expr("pmod(xxhash64(user_id), n_blocks)").alias("block")
+    # Structs, as a list of bare ids would leave out a null.
+    held = users.crossJoin(F.broadcast(blocks)).groupBy(block).agg(F.transform(F.collect_list(F.struct("user_id")), lambda u: u.user_id).alias("users"))
+    ranges = held.crossJoin(F.broadcast(a)).where("n > 0").select("users", "n", F.explode(F.expr("sequence(0L, n - 1, 4096L)")).alias("low"))
+    # A number of partitions that stays: these few rows become as many as users times the prompt's frames.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    frames = ranges.repartition(parts).select("users", F.explode(F.expr("sequence(low, least(low + 4095, n - 1))")).alias("k"))
+    # ``coalesce`` moves nothing, but ends the generated code: within it a range's rows, a million, would all be held before the first is written.
+    prompt = frames.coalesce(parts).select(F.explode("users").alias("user_id"), F.lit(0).alias("phase"), "k").withColumn("frame", F.col("k"))
     # Both phases count their frames from 0 without holes.
     live = stm03_rechunk(spark, d).crossJoin(F.broadcast(a)).select("user_id", F.lit(1).alias("phase"), F.col("frame").alias("k"), (F.col("n") + F.col("frame")).alias("frame"))
-    return prompt.withColumn("frame", F.col("k")).unionByName(live)
+    return prompt.unionByName(live)
 
 
 def stm05_text_emission(spark, d):
