@@ -54,6 +54,28 @@ def gram_set(text: Column) -> Column:
     return grams_of(bare)
 
 
+def bigram_pairs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The sets of ``bigram_set`` as pairs of a row and a place in the last array, which has each 2-gram once, as a number.
+
+    No strings are made of the 2-grams: a number holds both code points, or a mark and the only one.
+    """
+    held = [t or "" for t in texts.to_pylist()]
+    points = np.frombuffer("".join(held).encode("utf-32-le"), np.uint32).astype(np.int64)
+    rows = np.repeat(np.arange(len(held)), np.fromiter(map(len, held), np.int64, len(held)))
+    kept = ~np.isin(points, _SPACE_CODES, kind="table")
+    points, rows = points[kept], rows[kept]
+    same = rows[1:] == rows[:-1]
+    alone = np.ones(len(rows), bool)
+    alone[1:] &= ~same
+    alone[:-1] &= ~same
+    codes = np.concatenate([(points[:-1] << 21 | points[1:])[same], points[alone] | 0x1FFFFF << 21])
+    keys = np.unique(codes << 21 | np.concatenate([rows[:-1][same], rows[alone]]))
+    codes = keys >> 21
+    first = np.ones(len(codes), bool)
+    first[1:] = codes[1:] != codes[:-1]
+    return keys & 0x1FFFFF, np.cumsum(first) - 1, pa.array(codes[first])
+
+
 def repetition_ratio(text: Column, n: int = 4) -> Column:
     """Occurrences of the most frequent n-gram over the text's length; 0 for texts shorter than n.
 

@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
+
+from turnweave.session import checkpointed
+
+#: Of a batch's column: a row and a place for each item, and the items.
+Pairs = Callable[[pa.Array], tuple[np.ndarray, np.ndarray, pa.Array]]
 
 # The speakers' labels and the form of a turn's line.
 TURN = "^[ \\t]*(A|B|Ａ|Ｂ|USER|SYSTEM)[ \\t]*[:：][ \\t]*([^\\n]*?)[ \\t]*\\z"
@@ -148,25 +158,142 @@ def repeated(rows: DataFrame, times: int) -> DataFrame:
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(times))))
 
 
-def best_by_jaccard(rows: DataFrame, key: str, label: str, items: str, salts: int = 8) -> DataFrame:
+def array_pairs(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The elements of sets as pairs of a row and a place in the last array, which has each element once. Nulls are none."""
+    flat = pc.list_flatten(lists).dictionary_encode()
+    there = flat.indices.is_valid()
+    return pc.list_parent_indices(lists).filter(there).to_numpy(), flat.indices.filter(there).to_numpy(), flat.dictionary
+
+
+#: Pairs of an item and a label up to which the table of items is broadcast (4 bytes each and 8 an item); beyond that the rows' items are shuffled.
+HELD_PAIRS = 4_000_000
+
+
+def best_by_jaccard(rows: DataFrame, key: str, label: str, items: str, of: Pairs | None = None, held: int | None = None) -> DataFrame:
     """(key, label, score): the label whose items, those of all its rows together, are most like the row's by Jaccard similarity.
 
-    ``items`` are sets. Ties go to the smaller label; a row without items gives none. An item's labels are
-    one short array (as long as there are labels), so no pairs of rows are formed; frequent items are
-    dealt out by row (``salts``: a power of two). The row's own size rides along, and the best is the least of (-score, label).
-    """
-    from turnweave.session import checkpointed
+    ``items`` are sets; with ``of`` any column whose batches it turns into pairs of a row and an item (``text.bigram_pairs``).
+    Keys are unique. Ties go to the smaller label; a row without items gives none. The labels are few: an item has a list of them.
 
-    one = rows.select(key, label, F.size(items).alias("_size"), F.explode(items).alias("_item"))
-    labels = F.sort_array(F.collect_set(label))
-    of = checkpointed(one.groupBy("_item").agg(labels.alias("_labels")).withColumn("_set", F.md5(F.to_json(F.struct("_labels")))))
+    Items never become rows of Spark where this can be helped: each task unites the items of its rows by label and hands
+    over one row an item. The rows then meet the table of items in a second pass, in which a common item counts for all
+    labels less those that lack it. Batches are cut by the bytes of their items, so the memory of a worker does not
+    depend on them. A table of over ``held`` pairs is not broadcast: the rows' items are then shuffled to it.
+    """
+    kinds = {c: rows.schema[c].dataType for c in (key, label, items)}
+    item_kind = LongType() if of else kinds[items].elementType
+    pairs = of or array_pairs
+    names = rows.select(label).where(F.col(label).isNotNull()).distinct().orderBy(label).toArrow().column(0).combine_chunks()
+    if not len(names):
+        return rows.select(key, label, F.lit(0.0).alias("score")).where("false")
+    n_labels = len(names)
+
+    def pieces(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+        step = max(1, min(4_000_000 // n_labels, batch.num_rows * 1_000_000 // max(1, batch.column(column).nbytes)))
+        for a in range(0, batch.num_rows, step):
+            yield batch.slice(a, step)
+
+    def label_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict = {}
+        found: list[np.ndarray] = []
+
+        def emit(pair: np.ndarray) -> Iterator[pa.RecordBatch]:
+            starts = np.flatnonzero(np.diff(pair // n_labels, prepend=-1))
+            values = pa.array(list(known), type=to_arrow_type(item_kind)).take(pa.array(pair[starts] // n_labels))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(pair)), pa.int32()), pa.array(pair % n_labels, pa.int32()))
+            for a in range(0, len(values), 20_000):
+                yield pa.RecordBatch.from_arrays([values.slice(a, 20_000), lists.slice(a, 20_000)], ["_item", "_labels"])
+
+        for batch in batches:
+            for piece in pieces(batch, 1):
+                piece = piece.filter(pc.is_valid(piece.column(0)))
+                own = pc.index_in(piece.column(0), names.cast(piece.column(0).type)).to_numpy()
+                row, item, values = pairs(piece.column(1))
+                ids = np.fromiter((known.setdefault(v, len(known)) for v in values.to_pylist()), np.int64, len(values))
+                found.append(np.unique(ids[item] * n_labels + own[row]))
+                if sum(map(len, found)) > 1_500_000:
+                    found = [np.unique(np.concatenate(found))]
+                    if len(found[0]) > 1_000_000:
+                        yield from emit(found[0])
+                        known.clear()
+                        found.clear()
+        if found:
+            yield from emit(np.unique(np.concatenate(found)))
+
+    table_kind = StructType([StructField("_item", item_kind), StructField("_labels", ArrayType(IntegerType()))])
+    own = rows.select(label, items).mapInArrow(label_items, table_kind)
+    table = checkpointed(own.groupBy("_item").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_labels")))).alias("_labels")))
+    n_pairs = table.agg(F.coalesce(F.sum(F.size("_labels")), F.lit(0))).first()[0]
+    if n_pairs > (HELD_PAIRS if held is None else held):
+        return _best_by_join(rows.select(key, items), key, label, names, table, pairs, pieces, StructType([StructField(key, kinds[key]), StructField("_size", LongType()), StructField("_item", item_kind)]))
+
+    found = table.toArrow()
+    values, lists = found.column(0).combine_chunks(), found.column(1).combine_chunks()
+    common = pc.list_value_length(lists).to_numpy() * 2 > n_labels
+    at, of_labels = pc.list_parent_indices(lists).to_numpy(), pc.list_flatten(lists).to_numpy()
+    sizes = np.bincount(of_labels, minlength=n_labels)
+    # Of a common item the table tells the labels that lack it, of another those that have it.
+    told_at, told_labels = [at[~common[at]]], [of_labels[~common[at]]]
+    commons, place = np.flatnonzero(common), np.cumsum(common) - 1
+    for a in range(0, len(commons), chunk := max(1, 4_000_000 // n_labels)):
+        lacks = np.ones((min(chunk, len(commons) - a), n_labels), bool)
+        here = common[at] & (place[at] >= a) & (place[at] < a + chunk)
+        lacks[place[at[here]] - a, of_labels[here]] = False
+        k, lacking = np.nonzero(lacks)
+        told_at.append(commons[a + k])
+        told_labels.append(lacking)
+    at = np.concatenate(told_at)
+    of_labels = np.concatenate(told_labels).astype(np.int32)[np.argsort(at, kind="stable")]
+    starts = np.append(0, np.cumsum(np.bincount(at, minlength=len(values))))
+    shared = rows.sparkSession.sparkContext.broadcast((values, common, starts, of_labels, sizes))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, common, starts, of_labels, sizes = shared.value
+        # A last place, for items that no label has.
+        common, starts = np.append(common, False), np.append(starts, starts[-1])
+        for batch in batches:
+            for piece in pieces(batch, 1):
+                n = piece.num_rows
+                row, item, own = pairs(piece.column(1))
+                place = pc.index_in(own, values).fill_null(len(values)).to_numpy()[item]
+                counts = np.zeros(n * n_labels)
+                told = starts[place + 1] - starts[place]
+                upto = np.cumsum(told)
+                cuts = np.unique(np.searchsorted(upto, np.arange(0, upto[-1] + 1_000_000 if len(upto) else 0, 1_000_000), side="left"))
+                for a, b in zip(cuts, np.append(cuts[1:], len(place))):
+                    t = told[a:b]
+                    k = np.arange(t.sum()) + np.repeat(starts[place[a:b]] - (np.cumsum(t) - t), t)
+                    counts += np.bincount(np.repeat(row[a:b] * n_labels, t) + of_labels[k], np.repeat(np.where(common[place[a:b]], -1.0, 1.0), t), n * n_labels)
+                counts = counts.reshape(n, n_labels) + np.bincount(row[common[place]], minlength=n)[:, None]
+                score = counts / (np.bincount(row, minlength=n)[:, None] + sizes - counts + 1e-9)
+                first = score.argmax(axis=1)
+                score = score[np.arange(n), first]
+                some = pa.array(score > 0)
+                yield pa.RecordBatch.from_arrays([piece.column(0).filter(some), names.take(pa.array(first)).filter(some), pa.array(score).filter(some)], [key, label, "score"])
+
+    return rows.select(key, items).mapInArrow(best, StructType([StructField(key, kinds[key]), StructField(label, kinds[label]), StructField("score", DoubleType())]))
+
+
+def _best_by_join(rows: DataFrame, key: str, label: str, names: pa.Array, table: DataFrame, pairs: Pairs, pieces: Callable, kind: StructType, salts: int = 8) -> DataFrame:
+    """``best_by_jaccard`` by a join of the rows' items with a table of any size; frequent items are dealt out by row (``salts``: a power of two)."""
+
+    def unfolded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch, 1):
+                row, item, values = pairs(piece.column(1))
+                sizes = np.bincount(row, minlength=piece.num_rows)
+                yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(row)), pa.array(sizes[row]), values.take(pa.array(item))], [key, "_size", "_item"])
+
+    of = table.withColumn("_set", F.md5(F.to_json(F.struct("_labels"))))
     sizes = of.select(F.explode("_labels").alias("_label")).groupBy("_label").agg(F.count("*").alias("_n"))
     sets = of.groupBy("_set").agg(F.first("_labels").alias("_labels"))
     salted = of.select("_item", "_set", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
-    dealt = one.select(key, "_size", "_item", F.xxhash64(key).bitwiseAND(F.lit(salts - 1)).cast("int").alias("_salt"))
+    dealt = rows.mapInArrow(unfolded, kind).withColumn("_salt", F.xxhash64(key).bitwiseAND(F.lit(salts - 1)).cast("int"))
     # Many items of a row have the same labels: they are counted together before their labels are unfolded.
     counted = dealt.join(salted, ["_item", "_salt"]).groupBy(key, "_size", "_set").agg(F.count("*").alias("_c"))
     shared = counted.join(sets, "_set").select(key, "_size", F.explode("_labels").alias("_label"), "_c").groupBy(key, "_size", "_label").agg(F.sum("_c").alias("_shared"))
     score = F.col("_shared") / (F.col("_size") + F.col("_n") - F.col("_shared") + 1e-9)
+    # The labels' numbers are in their order.
     best = shared.join(sizes, "_label").groupBy(key).agg(F.min(F.struct((-score).alias("_less"), F.col("_label"))).alias("_best"))
-    return best.select(key, F.col("_best._label").alias(label), (-F.col("_best._less")).alias("score"))
+    told = rows.sparkSession.createDataFrame(pa.table({"_label": pa.array(range(len(names)), pa.int32()), label: names}))
+    return best.select(key, F.col("_best._label").alias("_label"), (-F.col("_best._less")).alias("score")).join(F.broadcast(told), "_label").select(key, label, "score")

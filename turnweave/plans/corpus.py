@@ -204,7 +204,8 @@ def agg16_topic_sets(spark, d):
 
 def set04_best_topic(spark, d):
     """Each text's best topic by Jaccard similarity of 2-gram sets; the first topic by name wins ties."""
-    best = C.best_by_jaccard(_gram_sets(spark, d), "doc_id", "topic", "grams")
+    rows = docs(spark, d).select("doc_id", F.coalesce("source", F.lit("none")).alias("topic"), "text")
+    best = C.best_by_jaccard(rows, "doc_id", "topic", "text", of=T.bigram_pairs)
     return best.select("doc_id", "topic", F.round("score", 6).alias("score"))
 
 
